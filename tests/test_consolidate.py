@@ -81,13 +81,12 @@ CASES = {
 }
 
 
-@pytest.mark.parametrize("chunk_s", [None, 1, 300, 777])
+@pytest.mark.parametrize("hot_rows", [None, 1, 3])
 @pytest.mark.parametrize("name", CASES)
-def test_intervals(spark, name, chunk_s):
+def test_intervals(spark, name, hot_rows):
     points, (step, heartbeat, start, end), expected = CASES[name]
-    chunk = None if chunk_s is None else chunk_s * 1000
     rows = primary_data(
-        samples_of(spark, pair(points)), start * 1000, end * 1000, descriptor(step, heartbeat), chunk_ms=chunk
+        samples_of(spark, pair(points)), start * 1000, end * 1000, descriptor(step, heartbeat), hot_rows=hot_rows
     ).collect()
     same(table_of(rows, "metric"), cells(expected))
 

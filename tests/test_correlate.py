@@ -41,8 +41,8 @@ def test_best_of_the_catalog(spark, samples):
     ranked = pairs(correlate_known(samples, everyone, found).collect())
     assert [m for m, _ in ranked] == ["m2", "m4", "m3"]
     assert [round(abs(c), 4) for _, c in ranked] == [0.6864, 0.6124, 0.4841]
-    for chunk in (1, 3):
-        assert pairs(correlate_known(samples, everyone, found, chunk_ms=chunk).collect()) == ranked
+    for hot_rows in (1, 3):
+        assert pairs(correlate_known(samples, everyone, found, hot_rows=hot_rows).collect()) == ranked
 
 
 def test_propagated_nan(spark, samples):

@@ -42,12 +42,12 @@ def test_resolution_must_be_a_multiple_of_the_step(spark):
         process(samples_of(spark, {"m0": {0: 1}}), 0, 1, STEP.datasource("m0"), 400_000)
 
 
-@pytest.mark.parametrize("chunk_ms", [None, 1000, 1_000_000])
+@pytest.mark.parametrize("hot_rows", [None, 1, 7])
 @pytest.mark.parametrize("with_attributes", [False, True])
-def test_calculated(spark, chunk_ms, with_attributes):
+def test_calculated(spark, hot_rows, with_attributes):
     d = STEP.datasource("m0").datasource("m1").calculate("total", add, "m0", "m1").export("total")
     samples = samples_of(spark, {"m0": COUNTS, "m1": COUNTS}, kind="COUNTER", attributes={"a": "b"})
-    out = process(samples, START, END, d, HOUR, chunk_ms=chunk_ms, with_attributes=with_attributes)
+    out = process(samples, START, END, d, HOUR, hot_rows=hot_rows_ms, with_attributes=with_attributes)
     rows = out.collect()
     same(table_of(rows, "label"), {BASE + 3600: {"total": 20.0}, BASE + 7200: {"total": 20.0}})
     if with_attributes:
@@ -157,8 +157,8 @@ def test_rate_rules(spark):
         got,
         {0: {"c": NAN, "g": 5.0}, 300: {"c": 1.0}, 600: {"c": 2.0, "g": 7.0}, 900: {"c": 2.0}},
     )
-    for chunk in (None, 1000, 400_000):
-        strict = table_of(rate(samples, strict_adjacency=True, chunk_ms=chunk).collect(), "metric")
+    for hot_rows in (None, 1, 3):
+        strict = table_of(rate(samples, strict_adjacency=True, hot_rows=hot_rows).collect(), "metric")
         same(strict, {0: {"c": NAN, "g": 5.0}, 300: {"c": 1.0}, 600: {"c": 2.0}, 900: {"c": 2.0}})
 
 

@@ -64,11 +64,12 @@ def collection_aggregation(
 
     The values gathered per call are the intervals of one bucket, a count fixed
     by resolution and step rather than by the data.  Arrow batches carry them.
+    No values at all are unknown without a call.
     """
 
     @F.pandas_udf("double")
     def apply(groups: pd.Series) -> pd.Series:
-        return groups.map(lambda values: float(function(list(values)))).astype("float64")
+        return groups.map(lambda values: float(function(list(values))) if len(values) else NAN).astype("float64")
 
     return Aggregation(name, lambda value: apply(F.collect_list(value)), skips_unknown)
 

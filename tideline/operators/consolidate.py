@@ -19,7 +19,7 @@ from tideline.functions.grid import TimeGrid, spine, step_ceiling, step_floor
 from tideline.functions.values import unknown
 from tideline.model import SERIES, ResultDescriptor
 from tideline.operators import attributes as attrs
-from tideline.operators.neighbours import CHUNK, PREV_TS, chunk_width, chunked, with_previous
+from tideline.operators.neighbours import CHUNK, PREV_TS, with_previous
 from tideline.sources.requests import literal_rows
 
 INTERVAL = "interval_ms"
@@ -104,7 +104,7 @@ def consolidate(
     grid: TimeGrid,
     max_heartbeat_ms: int,
     keys: DataFrame,
-    chunk_ms: int | None = None,
+    hot_rows: int | None = None,
     resolution_ms: int | None = None,
     every_interval: bool = True,
     partition_by: Sequence[str] = (*SERIES, BUCKET),
@@ -120,7 +120,7 @@ def consolidate(
     ``partition_by``, so that a rollup needs no exchange of its own.
     """
     if PREV_TS not in samples.columns:
-        samples = with_previous(samples, chunk_ms)
+        samples = with_previous(samples, hot_rows)
     width = resolution_ms if resolution_ms is not None else grid.step
 
     chunk = [CHUNK] if CHUNK in samples.columns else []
@@ -164,7 +164,7 @@ def primary_data(
     end_ms: int,
     descriptor: ResultDescriptor,
     resources: DataFrame | None = None,
-    chunk_ms: int | None = None,
+    hot_rows: int | None = None,
     with_attributes: bool = False,
 ) -> DataFrame:
     """Primary data of every resource on the descriptor's grid.
@@ -177,7 +177,9 @@ def primary_data(
     if resources is None:
         resources = samples.select("resource").distinct()
     present = samples.where(F.col("value").isNotNull())
-    rows = with_heartbeats(_with_previous_once(present, descriptor, start_ms, end_ms, chunk_ms), descriptor.source_heartbeats)
+    if PREV_TS not in present.columns:
+        present = with_previous(present.where(F.col("metric").isin(descriptor.source_names)), hot_rows)
+    rows = with_heartbeats(present, descriptor.source_heartbeats)
     consolidated = consolidate(
         rows,
         grid,
@@ -188,14 +190,3 @@ def primary_data(
     extra = ["attributes"] if with_attributes else []
     return consolidated.select("resource", F.col(INTERVAL).alias("ts_ms"), "metric", HEARTBEAT, "value", *extra)
 
-
-def _with_previous_once(
-    samples: DataFrame, descriptor: ResultDescriptor, start_ms: int, end_ms: int, chunk_ms: int | None
-) -> DataFrame:
-    if PREV_TS in samples.columns:
-        return samples
-    named = samples.where(F.col("metric").isin(descriptor.source_names))
-    return with_previous(named, chunk_ms or chunk_width(start_ms, end_ms))
-
-
-__all__ = ["primary_data", "consolidate", "contributions", "source_keys", "with_heartbeats", "chunked"]

@@ -1,16 +1,17 @@
-"""The previous sample of each sample, with long series split over time.
+"""The previous sample of each sample, with hot series split over time.
 
-A window over a whole series puts that series into one task.  Here the window
-runs over (series, time chunk), and the first sample of a chunk takes its
-predecessor from a summary holding one row per (series, non-empty chunk).  The
-result is the plain ``lag`` whatever the chunk width.
+A window over a whole series puts that series into one task.  Series with more
+than ``HOT_ROWS`` samples are therefore cut into time chunks, each a window
+partition of its own; the first sample of a chunk takes its predecessor from a
+summary with one row per chunk of a hot series.  The result is the plain ``lag``
+however a series is cut.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.model import SERIES
@@ -18,81 +19,101 @@ from tideline.model import SERIES
 CHUNK = "_chunk"
 PREV_TS = "prev_ts"
 PREV_VALUE = "prev_value"
+PREV_ROW_TS = "prev_row_ts"
 
-# A queried range is cut into this many chunks, so that a series holding a
-# third of all rows becomes that many independent groups.
-RANGE_CHUNKS = 64
+# Samples one window partition should hold at most.
+HOT_ROWS = 5_000_000
 
+# Chunks per HOT_ROWS samples of a hot series, as samples are not evenly spaced.
+OVERSPLIT = 4
 
-def chunk_width(start_ms: int, end_ms: int) -> int:
-    return max(1, -(-(end_ms - start_ms + 1) // RANGE_CHUNKS))
+# Input estimated below this fits into one task even as a single series.
+ONE_TASK_BYTES = 64 * 1024 * 1024
 
 
-def chunked(samples: DataFrame, chunk_ms: int) -> DataFrame:
-    return samples.withColumn(CHUNK, F.floor(F.col("ts_ms") / F.lit(chunk_ms)).cast("bigint"))
+def estimated_bytes(rows: DataFrame) -> int | None:
+    """The optimizer's size estimate of a plan; runs no job."""
+    try:
+        return int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except Exception:  # no access to the plan, e.g. through a remote session
+        return None
 
 
-def with_previous(
-    samples: DataFrame, chunk_ms: int | None = None, partition_by: Sequence[str] = SERIES
-) -> DataFrame:
-    """Adds ``prev_ts`` and ``prev_value``, NULL for the first sample of a series.
+def may_be_hot(samples: DataFrame) -> bool:
+    size = estimated_bytes(samples)
+    return size is None or size > ONE_TASK_BYTES
+
 
-    ``(resource, metric, ts_ms)`` must be unique.  Without a chunk width each
-    series is one window partition.  ``partition_by`` may name fewer columns
-    than the series key, to share the exchange with a coarser window.
+def hot_groups(samples: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
+    """Groups of more than ``hot_rows`` samples with the width of their chunks.
+
+    At most one row per ``hot_rows`` input rows, which bounds a broadcast of it.
     """
-    if chunk_ms is None:
-        ordered = Window.partitionBy(*SERIES).orderBy("ts_ms")
-        return samples.repartition(*partition_by).withColumns(
-            {PREV_TS: F.lag("ts_ms").over(ordered), PREV_VALUE: F.lag("value").over(ordered)}
-        )
-
-    pieces = chunked(samples, chunk_ms)
-    tails = pieces.groupBy(*SERIES, CHUNK).agg(
-        F.max("ts_ms").alias("tail_ts"), F.max_by("value", "ts_ms").alias("tail_value")
+    load = samples.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("_rows"), F.min("ts_ms").alias("_first"), F.max("ts_ms").alias("_last")
     )
-    by_chunk = Window.partitionBy(*SERIES).orderBy(CHUNK)
-    carried = tails.select(
-        *SERIES,
-        CHUNK,
-        F.lag("tail_ts").over(by_chunk).alias("carry_ts"),
-        F.lag("tail_value").over(by_chunk).alias("carry_value"),
+    pieces = F.ceil(F.col("_rows") * F.lit(OVERSPLIT) / F.lit(hot_rows))
+    width = F.ceil((F.col("_last") - F.col("_first") + F.lit(1)) / pieces)
+    return load.where(F.col("_rows") > hot_rows).select(*keys, width.cast("bigint").alias("_width"))
+
+
+def _lag(
+    samples: DataFrame, keys: Sequence[str], columns: dict[str, str], hot_rows: int | None, distinct_ts: bool = False
+) -> DataFrame:
+    """Adds the value each column (new name: source column) has in the previous
+    sample of the group, or at the previous distinct timestamp."""
+
+    def look_back(partition: Sequence[str]) -> dict[str, Column]:
+        ordered = Window.partitionBy(*partition).orderBy("ts_ms")
+        if distinct_ts:
+            earlier = ordered.rangeBetween(Window.unboundedPreceding, -1)
+            return {name: F.max(source).over(earlier) for name, source in columns.items()}
+        return {name: F.lag(source).over(ordered) for name, source in columns.items()}
+
+    samples = samples.drop(CHUNK)
+    if hot_rows is None:
+        if not may_be_hot(samples):
+            return samples.withColumns(look_back(keys))
+        hot_rows = HOT_ROWS
+
+    hot = F.broadcast(hot_groups(samples, keys, hot_rows))
+    chunk = F.coalesce(F.floor(F.col("ts_ms") / F.col("_width")).cast("bigint"), F.lit(0).cast("bigint"))
+    pieces = samples.join(hot, list(keys), "left").withColumn(CHUNK, chunk).drop("_width")
+
+    tails = (
+        samples.join(hot, list(keys))
+        .withColumn(CHUNK, chunk)
+        .groupBy(*keys, CHUNK)
+        .agg(*(F.max_by(source, "ts_ms").alias(f"_tail_{name}") for name, source in columns.items()))
     )
-    ordered = Window.partitionBy(*SERIES, CHUNK).orderBy("ts_ms")
-    within = pieces.repartition(*partition_by, CHUNK).withColumns(
-        {"lag_ts": F.lag("ts_ms").over(ordered), "lag_value": F.lag("value").over(ordered)}
+    by_chunk = Window.partitionBy(*keys).orderBy(CHUNK)
+    carried = tails.select(
+        *keys, CHUNK, *(F.lag(f"_tail_{name}").over(by_chunk).alias(f"_carried_{name}") for name in columns)
     )
-    first = F.col("lag_ts").isNull()
-    return (
-        within.join(carried, [*SERIES, CHUNK], "left")
-        .withColumns(
-            {
-                PREV_TS: F.when(first, F.col("carry_ts")).otherwise(F.col("lag_ts")),
-                PREV_VALUE: F.when(first, F.col("carry_value")).otherwise(F.col("lag_value")),
-            }
-        )
-        .drop("lag_ts", "lag_value", "carry_ts", "carry_value")
+    within = pieces.withColumns({f"_lag_{k}": v for k, v in look_back([*keys, CHUNK]).items()})
+    first = F.col(f"_lag_{next(iter(columns))}").isNull()
+    rest = [c for c in samples.columns if c not in keys]
+    return within.join(carried, [*keys, CHUNK], "left").select(
+        *keys,
+        *rest,
+        CHUNK,
+        *(
+            F.when(first, F.col(f"_carried_{name}")).otherwise(F.col(f"_lag_{name}")).alias(name)
+            for name in columns
+        ),
     )
 
 
-def with_previous_row(samples: DataFrame, chunk_ms: int | None = None) -> DataFrame:
+def with_previous(samples: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """Adds ``prev_ts`` and ``prev_value``, NULL for the first sample of a series.
+
+    ``(resource, metric, ts_ms)`` must be unique.  Where series may be hot, rows
+    also carry the number of their chunk, by which they are then partitioned.
+    """
+    return _lag(samples, SERIES, {PREV_TS: "ts_ms", PREV_VALUE: "value"}, hot_rows)
+
+
+def with_previous_row(samples: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """Adds ``prev_row_ts``: the latest earlier timestamp at which the resource
     has a sample of any metric, NULL at its first timestamp."""
-    name = "prev_row_ts"
-    if chunk_ms is None:
-        earlier = Window.partitionBy("resource").orderBy("ts_ms").rangeBetween(Window.unboundedPreceding, -1)
-        return samples.withColumn(name, F.max("ts_ms").over(earlier))
-
-    pieces = samples if CHUNK in samples.columns else chunked(samples, chunk_ms)
-    earlier = (
-        Window.partitionBy("resource", CHUNK).orderBy("ts_ms").rangeBetween(Window.unboundedPreceding, -1)
-    )
-    tails = pieces.groupBy("resource", CHUNK).agg(F.max("ts_ms").alias("tail_ts"))
-    by_chunk = Window.partitionBy("resource").orderBy(CHUNK)
-    carried = tails.select("resource", CHUNK, F.lag("tail_ts").over(by_chunk).alias("carry_ts"))
-    return (
-        pieces.withColumn("lag_ts", F.max("ts_ms").over(earlier))
-        .join(carried, ["resource", CHUNK], "left")
-        .withColumn(name, F.coalesce("lag_ts", "carry_ts"))
-        .drop("lag_ts", "carry_ts")
-    )
+    return _lag(samples, ["resource"], {PREV_ROW_TS: "ts_ms"}, hot_rows, distinct_ts=True).drop(CHUNK)

@@ -12,6 +12,7 @@ from tideline.functions.values import known_or_nan, unknown
 from tideline.model import COUNTER_TYPES, GAUGE, METRIC_TYPES
 from tideline.operators.neighbours import (
     CHUNK,
+    PREV_ROW_TS,
     PREV_TS,
     PREV_VALUE,
     with_previous,
@@ -37,11 +38,11 @@ def _delta(counter_reset: str) -> Column:
 def rate_with_previous(
     samples: DataFrame,
     sources: Sequence[str] | None = None,
-    chunk_ms: int | None = None,
+    hot_rows: int | None = None,
     counter_reset: str = "raw",
     strict_adjacency: bool = False,
 ) -> DataFrame:
-    """``rate`` keeping ``prev_ts`` (and the time chunk), which consolidation
+    """``rate`` keeping ``prev_ts`` (and the chunk of a hot series), which consolidation
     reuses so that both stages share one window."""
     if counter_reset not in RESETS:
         raise ValueError(f"counter_reset must be one of {RESETS}, got {counter_reset!r}")
@@ -49,14 +50,14 @@ def rate_with_previous(
     present = samples.where(F.col("value").isNotNull())
     if strict_adjacency:
         # A resource's rows include metrics that are not asked for.
-        rows = with_previous_row(present, chunk_ms)
+        rows = with_previous_row(present, hot_rows)
         rows = rows if sources is None else rows.where(F.col("metric").isin(list(sources)))
-        paired = with_previous(rows, chunk_ms, partition_by=["resource"])
-        first_row = F.col("prev_row_ts").isNull()
-        paired = paired.where(first_row | (F.col(PREV_TS) == F.col("prev_row_ts"))).drop("prev_row_ts")
+        paired = with_previous(rows, hot_rows)
+        first_row = F.col(PREV_ROW_TS).isNull()
+        paired = paired.where(first_row | (F.col(PREV_TS) == F.col(PREV_ROW_TS))).drop(PREV_ROW_TS)
     else:
         rows = present if sources is None else present.where(F.col("metric").isin(list(sources)))
-        paired = with_previous(rows, chunk_ms)
+        paired = with_previous(rows, hot_rows)
 
     elapsed = epoch_seconds(F.col("ts_ms")) - epoch_seconds(F.col(PREV_TS))
     kind = F.col("metric_type")
@@ -73,7 +74,7 @@ def rate_with_previous(
 def rate(
     samples: DataFrame,
     sources: Sequence[str] | None = None,
-    chunk_ms: int | None = None,
+    hot_rows: int | None = None,
     counter_reset: str = "raw",
     strict_adjacency: bool = False,
 ) -> DataFrame:
@@ -84,8 +85,9 @@ def rate(
     difference means: ``raw`` keeps it, ``nan`` makes it unknown, ``wrap32`` and
     ``wrap64`` undo an overflow.  ``strict_adjacency`` drops samples, gauges too,
     whose metric is absent at the resource's immediately preceding timestamp.
+    ``hot_rows`` overrides the size from which a series is split over tasks.
     """
-    return rate_with_previous(samples, sources, chunk_ms, counter_reset, strict_adjacency).drop(PREV_TS, CHUNK)
+    return rate_with_previous(samples, sources, hot_rows, counter_reset, strict_adjacency).drop(PREV_TS, CHUNK)
 
 
 __all__ = ["rate", "rate_with_previous", "METRIC_TYPES"]

@@ -31,7 +31,7 @@ def correlate(
     drop_nan: bool = False,
     lookback_ms: int | None = None,
     pad_first_bucket: bool = True,
-    chunk_ms: int | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """The top candidates as ``resource, metric, coefficient``, best first.
 
@@ -41,7 +41,7 @@ def correlate(
     if not isinstance(candidates, DataFrame):
         candidates = candidates_from_list(samples.sparkSession, candidates)
     listed = without_target(candidates, request.target)
-    scored = score(samples, request, listed, nan_policy, drop_nan, lookback_ms, pad_first_bucket, chunk_ms)
+    scored = score(samples, request, listed, nan_policy, drop_nan, lookback_ms, pad_first_bucket, hot_rows)
     return top_candidates(listed, scored, request.top_n)
 
 
@@ -53,7 +53,7 @@ def score(
     drop_nan: bool = False,
     lookback_ms: int | None = None,
     pad_first_bucket: bool = True,
-    chunk_ms: int | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """The coefficient of every distinct candidate, unranked."""
     target, start, end = request.target, request.start_ms, request.end_ms
@@ -62,7 +62,7 @@ def score(
 
     def averages(rows: DataFrame, keys: DataFrame) -> DataFrame:
         return average_series(
-            rows, keys, start, end, request.resolution_ms, request.rollup_ms, pad_first_bucket, chunk_ms
+            rows, keys, start, end, request.resolution_ms, request.rollup_ms, pad_first_bucket, hot_rows
         )
 
     keys = candidates.select(*SERIES).distinct()

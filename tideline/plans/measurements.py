@@ -9,7 +9,6 @@ from tideline.functions.values import AVERAGE
 from tideline.model import DEFAULT_HEARTBEAT_STEPS, DEFAULT_XFF, SERIES, ResultDescriptor, resolve_range
 from tideline.operators.compute import calculate, lengthen, widen
 from tideline.operators.consolidate import BUCKET, HEARTBEAT, consolidate, source_keys, with_heartbeats
-from tideline.operators.neighbours import PREV_TS, chunk_width
 from tideline.operators.rate import rate_with_previous
 from tideline.operators.rollup import (
     aggregate_buckets,
@@ -33,7 +32,7 @@ def process(
     counter_reset: str = "raw",
     strict_adjacency: bool = False,
     with_attributes: bool = False,
-    chunk_ms: int | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """The exported measurements of every resource, one row per bucket and label.
 
@@ -47,15 +46,13 @@ def process(
     if resources is None:
         named = samples.where(F.col("metric").isin(descriptor.source_names))
         resources = named.select("resource").distinct()
-    width = chunk_ms or chunk_width(grid.lo, grid.hi)
 
-    rated = rate_with_previous(samples, descriptor.source_names, width, counter_reset, strict_adjacency)
+    rated = rate_with_previous(samples, descriptor.source_names, hot_rows, counter_reset, strict_adjacency)
     intervals = consolidate(
         with_heartbeats(rated, descriptor.source_heartbeats),
         grid,
         descriptor.max_heartbeat_ms,
         source_keys(resources, descriptor.source_heartbeats),
-        chunk_ms=width,
         resolution_ms=resolution_ms,
         every_interval=descriptor.needs_every_interval,
         partition_by=["resource", BUCKET],
@@ -78,7 +75,7 @@ def average_series(
     step_ms: int,
     resolution_ms: int,
     pad_first_bucket: bool = True,
-    chunk_ms: int | None = None,
+    hot_rows: int | None = None,
 ) -> DataFrame:
     """Bucket averages ``resource, metric, ts_ms, value`` of every series in
     ``keys``, all under the same default datasource.
@@ -89,11 +86,10 @@ def average_series(
     heartbeat = DEFAULT_HEARTBEAT_STEPS * step_ms
     grid = interval_grid(start_ms, end_ms, step_ms, resolution_ms, pad_first_bucket)
     buckets = bucket_grid(start_ms, end_ms, resolution_ms)
-    width = chunk_ms or chunk_width(grid.lo, grid.hi)
 
     uniform = F.lit(heartbeat).cast("bigint")
     intervals = consolidate(
-        rate_with_previous(samples, chunk_ms=width).withColumn(HEARTBEAT, uniform),
+        rate_with_previous(samples, hot_rows=hot_rows).withColumn(HEARTBEAT, uniform),
         grid,
         heartbeat,
         keys.select(*SERIES).withColumn(HEARTBEAT, uniform),
@@ -129,6 +125,3 @@ def select_measurements(
     metrics = None if options.get("strict_adjacency") else descriptor.source_names
     read = select_samples(samples, resources, start - reach, end, metrics=metrics)
     return process(read, start, end, descriptor, resolution_ms, resources=resources, **options)
-
-
-__all__ = ["process", "average_series", "select_measurements", "PREV_TS"]
