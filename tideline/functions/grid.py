@@ -53,16 +53,24 @@ def from_timestamp(ts: Column) -> Column:
     return F.unix_millis(ts.cast("timestamp"))
 
 
-def step_floor(ts_ms: Column, step_ms: int | Column) -> Column:
+def step_floor(ts_ms: Column, step_ms: int) -> Column:
     """Largest multiple of the step that is not after ``ts_ms``."""
-    step = step_ms if isinstance(step_ms, Column) else F.lit(step_ms).cast("bigint")
-    return ts_ms - F.pmod(ts_ms, step)
+    return ts_ms - F.pmod(ts_ms, F.lit(step_ms).cast("bigint"))
 
 
-def step_ceiling(ts_ms: Column, step_ms: int | Column) -> Column:
+def step_ceiling(ts_ms: Column, step_ms: int) -> Column:
     """Smallest multiple of the step that is not before ``ts_ms``."""
-    step = step_ms if isinstance(step_ms, Column) else F.lit(step_ms).cast("bigint")
-    return ts_ms + F.pmod(-ts_ms, step)
+    return ts_ms + F.pmod(-ts_ms, F.lit(step_ms).cast("bigint"))
+
+
+def floor_sql(ts_ms: str, step_ms: int) -> str:
+    """``step_floor`` of a SQL expression, as SQL."""
+    return f"({ts_ms} - pmod({ts_ms}, {step_ms}L))"
+
+
+def ceiling_sql(ts_ms: str, step_ms: int) -> str:
+    """``step_ceiling`` of a SQL expression, as SQL."""
+    return f"({ts_ms} + pmod(-({ts_ms}), {step_ms}L))"
 
 
 def is_multiple(duration_ms: int, of_ms: int) -> bool:
@@ -91,11 +99,11 @@ class TimeGrid:
     def starting_at(self, lo: int) -> "TimeGrid":
         return TimeGrid(max(self.lo, lo), self.hi, self.step)
 
-    def points_within(self, bucket: Column, width_ms: int) -> Column:
+    def points_within(self, bucket: str, width_ms: int) -> Column:
         """How many grid points fall into ``(bucket - width, bucket]``."""
-        upper = F.least(bucket, F.lit(self.hi).cast("bigint"))
-        lower = F.greatest(bucket - F.lit(width_ms), F.lit(self.lo - self.step).cast("bigint"))
-        return F.greatest(F.floor((upper - lower) / F.lit(self.step)), F.lit(0).cast("bigint"))
+        upper = f"least({bucket}, {self.hi}L)"
+        lower = f"greatest({bucket} - {width_ms}L, {self.lo - self.step}L)"
+        return F.expr(f"greatest(({upper} - {lower}) div {self.step}L, 0L)")
 
 
 def spine(keys: DataFrame, grid: TimeGrid, name: str = "ts_ms") -> DataFrame:

@@ -15,8 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.functions.grid import TimeGrid, spine, step_ceiling, step_floor
-from tideline.functions.values import unknown
+from tideline.functions.grid import TimeGrid, ceiling_sql, floor_sql, spine
 from tideline.model import SERIES, ResultDescriptor
 from tideline.operators import attributes as attrs
 from tideline.operators.neighbours import CHUNK, PREV_TS, with_previous
@@ -27,7 +26,8 @@ HEARTBEAT = "heartbeat_ms"
 BUCKET = "bucket_ms"
 SOURCE_KEY = [*SERIES, HEARTBEAT]
 
-_PARTIALS = {"weighted": "double", "known": "bigint", "unknown": "bigint"}
+# True on the rows of a series that ``keys`` names, at least one per bucket.
+REQUESTED = "_requested"
 
 
 def with_heartbeats(samples: DataFrame, pairs: Sequence[tuple[str, int]]) -> DataFrame:
@@ -52,42 +52,35 @@ def contributions(samples: DataFrame, grid: TimeGrid, max_heartbeat_ms: int) ->
     Needs ``prev_ts`` and ``heartbeat_ms``.  The widest heartbeat bounds which
     intervals a sample reaches, its own decides between known and unknown time.
     """
-    ts, prev = F.col("ts_ms"), F.col(PREV_TS)
-    lo = F.greatest(
-        step_ceiling(ts - F.lit(max_heartbeat_ms), grid.step),
-        step_ceiling(prev + F.lit(1), grid.step),
-        F.lit(grid.lo).cast("bigint"),
-    )
-    hi = F.least(
-        step_ceiling(ts, grid.step),
-        step_floor(ts + F.lit(max_heartbeat_ms), grid.step),
-        F.lit(grid.hi).cast("bigint"),
-    )
-    reach = samples.withColumns({"_lo": lo, "_hi": hi}).where(F.col("_lo") <= F.col("_hi"))
-    step = F.lit(grid.step).cast("bigint")
-    spread = reach.withColumn(INTERVAL, F.explode(F.sequence("_lo", "_hi", step))).drop("_lo", "_hi")
+    step, reach = grid.step, max_heartbeat_ms
+    after_previous = ceiling_sql(f"({PREV_TS} + 1L)", step)
+    lo = f"greatest({ceiling_sql(f'(ts_ms - {reach}L)', step)}, {after_previous}, {grid.lo}L)"
+    hi = f"least({ceiling_sql('ts_ms', step)}, {floor_sql(f'(ts_ms + {reach}L)', step)}, {grid.hi}L)"
+    reached = samples.selectExpr("*", f"{lo} AS _lo", f"{hi} AS _hi").where("_lo <= _hi")
+    spread = reached.withColumn(INTERVAL, F.explode(F.expr(f"sequence(_lo, _hi, {step}L)"))).drop("_lo", "_hi")
 
-    interval = F.col(INTERVAL)
-    floor = interval - step
-    follows = (prev > floor) & (prev >= interval - F.lit(max_heartbeat_ms))
-    elapsed = F.when(follows, F.least(ts, interval) - prev).otherwise(ts - floor)
-    return spread.withColumn("elapsed", elapsed)
+    floor = f"({INTERVAL} - {step}L)"
+    follows = f"{PREV_TS} > {floor} AND {PREV_TS} >= {INTERVAL} - {reach}L"
+    elapsed = f"CASE WHEN {follows} THEN least(ts_ms, {INTERVAL}) - {PREV_TS} ELSE ts_ms - {floor} END"
+    return spread.withColumn("elapsed", F.expr(elapsed))
 
 
 def _partial_sums(rows: DataFrame, keys: Sequence[str], with_attributes: bool) -> DataFrame:
-    counted = F.col("elapsed") < F.col(HEARTBEAT)
-    measures = {
-        "weighted": F.when(counted, F.col("value") * F.col("elapsed")),
-        "known": F.when(counted, F.col("elapsed")),
-        "unknown": F.when(~counted, F.col("elapsed")),
-    }
+    counted = f"elapsed < {HEARTBEAT}"
     if not with_attributes:
-        return rows.groupBy(*keys).agg(*(F.sum(m).alias(name) for name, m in measures.items()))
+        return rows.groupBy(*keys).agg(
+            F.expr(f"sum(value * elapsed) FILTER (WHERE {counted}) AS weighted"),
+            F.expr(f"sum(elapsed) FILTER (WHERE {counted}) AS known"),
+            F.expr(f"sum(elapsed) FILTER (WHERE NOT {counted}) AS unknown"),
+        )
+    measure = f"{attrs.ENTRY_KEY} IS NULL"
     return (
         attrs.unfold(rows)
         .groupBy(*keys, attrs.ENTRY_KEY)
         .agg(
-            *(F.sum(attrs.measure_only(m)).alias(name) for name, m in measures.items()),
+            F.expr(f"sum(value * elapsed) FILTER (WHERE {measure} AND {counted}) AS weighted"),
+            F.expr(f"sum(elapsed) FILTER (WHERE {measure} AND {counted}) AS known"),
+            F.expr(f"sum(elapsed) FILTER (WHERE {measure} AND NOT {counted}) AS unknown"),
             F.max_by(attrs.ENTRY_VALUE, "ts_ms").alias(attrs.ENTRY_VALUE),
             F.max("ts_ms").alias("ts_ms"),
         )
@@ -95,8 +88,8 @@ def _partial_sums(rows: DataFrame, keys: Sequence[str], with_attributes: bool) -
 
 
 def _interval_value() -> Column:
-    valid = F.coalesce(F.col("unknown"), F.lit(0)) < F.coalesce(F.col("known"), F.lit(0))
-    return F.when(valid, F.col("weighted") / F.col("known")).otherwise(unknown())
+    valid = "coalesce(unknown, 0L) < coalesce(known, 0L)"
+    return F.expr(f"CASE WHEN {valid} THEN weighted / known ELSE double('NaN') END AS value")
 
 
 def consolidate(
@@ -117,7 +110,9 @@ def consolidate(
     they have samples: at every interval, or with ``every_interval=False`` at the
     last interval of each bucket only.  ``bucket_ms`` (the interval itself when no
     resolution is given) is part of the output, and rows are partitioned by
-    ``partition_by``, so that a rollup needs no exchange of its own.
+    ``partition_by``, so that a rollup needs no exchange of its own.  Series with
+    samples that ``keys`` does not name have no ``_requested`` row; dropping them
+    here, after the reduction, spares the samples a join with the keys.
     """
     if PREV_TS not in samples.columns:
         samples = with_previous(samples, hot_rows)
@@ -128,26 +123,27 @@ def consolidate(
     partials = _partial_sums(measured, [*SOURCE_KEY, *chunk, INTERVAL], with_attributes).drop(CHUNK)
 
     points = grid if every_interval else TimeGrid.covering(grid.lo, grid.hi, width)
-    blanks = spine(keys.select(*SOURCE_KEY), points, INTERVAL)
+    blanks = spine(keys.select(*SOURCE_KEY, F.lit(True).alias(REQUESTED)), points, INTERVAL)
     union = (
         partials.unionByName(blanks, allowMissingColumns=True)
-        .withColumn(BUCKET, step_ceiling(F.col(INTERVAL), width))
+        .withColumn(BUCKET, F.expr(ceiling_sql(INTERVAL, width)))
         .repartition(*partition_by)
     )
 
     key = [*SOURCE_KEY, BUCKET, INTERVAL]
-    sums = [F.sum(name).alias(name) for name in _PARTIALS]
+    measures = [F.sum(name).alias(name) for name in ("weighted", "known", "unknown")]
+    measures.append(F.max(REQUESTED).alias(REQUESTED))
     if not with_attributes:
-        totals = union.groupBy(*key).agg(*sums)
-        return totals.select(*key, _interval_value().alias("value"))
+        return union.groupBy(*key).agg(*measures).select(*key, REQUESTED, _interval_value())
     merged = union.groupBy(*key, attrs.ENTRY_KEY).agg(
-        *sums, F.max_by(attrs.ENTRY_VALUE, "ts_ms").alias(attrs.ENTRY_VALUE)
+        *measures, F.max_by(attrs.ENTRY_VALUE, "ts_ms").alias(attrs.ENTRY_VALUE)
     )
     totals = merged.groupBy(*key).agg(
-        *(F.max(attrs.measure_only(F.col(name))).alias(name) for name in _PARTIALS),
+        *(F.max(attrs.measure_only(F.col(name))).alias(name) for name in ("weighted", "known", "unknown")),
+        F.max(REQUESTED).alias(REQUESTED),
         attrs.folded_map().alias("attributes"),
     )
-    return totals.select(*key, _interval_value().alias("value"), "attributes")
+    return totals.select(*key, REQUESTED, _interval_value(), "attributes")
 
 
 def source_keys(resources: DataFrame, pairs: Sequence[tuple[str, int]]) -> DataFrame:
@@ -188,5 +184,5 @@ def primary_data(
         with_attributes=with_attributes,
     )
     extra = ["attributes"] if with_attributes else []
-    return consolidated.select("resource", F.col(INTERVAL).alias("ts_ms"), "metric", HEARTBEAT, "value", *extra)
+    return consolidated.where(REQUESTED).select("resource", F.col(INTERVAL).alias("ts_ms"), "metric", HEARTBEAT, "value", *extra)
 

@@ -90,7 +90,8 @@ def _lag(
     carried = tails.select(
         *keys, CHUNK, *(F.lag(f"_tail_{name}").over(by_chunk).alias(f"_carried_{name}") for name in columns)
     )
-    within = pieces.withColumns({f"_lag_{k}": v for k, v in look_back([*keys, CHUNK]).items()})
+    # Without this a preceding exchange by the keys alone would do for the window.
+    within = pieces.repartition(*keys, CHUNK).withColumns({f"_lag_{k}": v for k, v in look_back([*keys, CHUNK]).items()})
     first = F.col(f"_lag_{next(iter(columns))}").isNull()
     rest = [c for c in samples.columns if c not in keys]
     return within.join(carried, [*keys, CHUNK], "left").select(

@@ -11,7 +11,7 @@ from tideline.functions.grid import TimeGrid, spine, step_ceiling
 from tideline.functions.values import Aggregation, known_or_nan, unknown
 from tideline.model import ResultDescriptor
 from tideline.operators import attributes as attrs
-from tideline.operators.consolidate import BUCKET, HEARTBEAT, INTERVAL, SOURCE_KEY
+from tideline.operators.consolidate import BUCKET, HEARTBEAT, INTERVAL, REQUESTED, SOURCE_KEY
 from tideline.sources.requests import literal_rows
 
 COUNT = "_count"
@@ -36,11 +36,27 @@ def aggregate_buckets(
     intervals: DataFrame, functions: Sequence[Aggregation], with_attributes: bool = False
 ) -> DataFrame:
     """One row per source and bucket with a column ``_fn<i>`` for each function
-    and the number of interval rows.  Keeps the partitioning of its input."""
+    and the number of interval rows.  Keeps the partitioning of its input.
+
+    Where intervals tell which series were requested, only those remain.
+    """
     key = [*SOURCE_KEY, BUCKET]
+    if REQUESTED in intervals.columns:
+        asked = [F.max(REQUESTED).alias(REQUESTED)]
+        return _reduce(intervals, key, functions, with_attributes, asked).where(REQUESTED).drop(REQUESTED)
+    return _reduce(intervals, key, functions, with_attributes, [])
+
+
+def _reduce(
+    intervals: DataFrame,
+    key: Sequence[str],
+    functions: Sequence[Aggregation],
+    with_attributes: bool,
+    asked: Sequence[Column],
+) -> DataFrame:
     if not with_attributes:
         named = [fn(F.col("value")).alias(f"_fn{i}") for i, fn in enumerate(functions)]
-        return intervals.groupBy(*key).agg(F.count(F.lit(1)).alias(COUNT), *named)
+        return intervals.groupBy(*key).agg(F.count(F.lit(1)).alias(COUNT), *named, *asked)
 
     value = attrs.measure_only(F.col("value"))
     reduced = (
@@ -50,12 +66,14 @@ def aggregate_buckets(
             F.count(value).alias(COUNT),
             *(fn(value).alias(f"_fn{i}") for i, fn in enumerate(functions)),
             F.max_by(attrs.ENTRY_VALUE, INTERVAL).alias(attrs.ENTRY_VALUE),
+            *asked,
         )
     )
     measures = [COUNT, *(f"_fn{i}" for i in range(len(functions)))]
     return reduced.groupBy(*key).agg(
         *(F.max(attrs.measure_only(F.col(name))).alias(name) for name in measures),
         attrs.folded_map().alias("attributes"),
+        *asked,
     )
 
 

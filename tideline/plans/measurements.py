@@ -37,8 +37,9 @@ def process(
     """The exported measurements of every resource, one row per bucket and label.
 
     ``samples`` should reach back before the start by as much as the first
-    bucket needs (``select_measurements`` does so).  ``resources`` names who must
-    appear; by default those that have samples of the descriptor's sources.
+    bucket needs (``select_measurements`` does so).  ``resources`` names who
+    appears, with or without samples; by default those having samples of the
+    descriptor's sources.
     """
     descriptor.check_resolution(resolution_ms)
     buckets = bucket_grid(start_ms, end_ms, resolution_ms)
@@ -59,7 +60,7 @@ def process(
         with_attributes=with_attributes,
     )
     rolled = aggregate_buckets(intervals, distinct_functions(descriptor), with_attributes)
-    present = grid.points_within(F.col(BUCKET), resolution_ms)
+    present = grid.points_within(BUCKET, resolution_ms)
     measured = to_labels(
         rolled.where(F.col(BUCKET).between(buckets.lo, buckets.hi)), descriptor, resolution_ms, present
     )
@@ -97,7 +98,7 @@ def average_series(
         every_interval=False,
     )
     rolled = aggregate_buckets(intervals, [AVERAGE]).where(F.col(BUCKET).between(buckets.lo, buckets.hi))
-    present = grid.points_within(F.col(BUCKET), resolution_ms)
+    present = grid.points_within(BUCKET, resolution_ms)
     value = covered_value(F.col("_fn0"), present, resolution_ms / step_ms, F.lit(DEFAULT_XFF))
     return rolled.select(*SERIES, F.col(BUCKET).alias("ts_ms"), value.alias("value"))
 
