@@ -14,6 +14,8 @@ from tideline.sources.samples import SHARD_MS
 
 NAN = "'nan'::DOUBLE"
 
+DERIVE = "'DERIVE'"
+
 EVENTS = """ev AS (
   SELECT 'u' || user_id AS resource, epoch_us(ts) // 1000 AS ts_ms, event_type AS metric,
          value, props, event_id AS seq
@@ -343,6 +345,13 @@ def process_counters_query() -> str:
     return unpivot(wide(ctes, names), shown, 9)
 
 
+def process_hot_query() -> str:
+    ctes = f"{TOTALS}, {rates('totals', DERIVE)}"
+    labels = [("A", "A", days(4), AVG, 0.5), ("N_max", "N", days(4), HIGH, 0.5)]
+    ctes = measured(ctes, "rated", labels, t.LINES_START, t.LINES_END, days(2), days(10))
+    return unpivot(wide(ctes, ["A", "N_max"]), {"A": "A", "sum": "A + N_max"}, 9)
+
+
 def average_per_series_query() -> str:
     ctes = aligned(f"{DAILY}, keys AS ({ALL_LINE_SERIES})", "daily", t.LINES_START, t.LINES_END, days(14), days(4000))
     return f"WITH {ctes} SELECT resource, metric, b AS ts_ms, {out('value')} AS value FROM al"
@@ -498,6 +507,13 @@ FROM ro WHERE label = 'view'""",
     )} SELECT {COEFFICIENT} FROM sc WHERE NOT isnan(c) {TOP} 15""",
     "correlate_job": job_query(),
     "result_json": f"WITH {line_scores(ALL_LINE_SERIES, True)} SELECT {COEFFICIENT} FROM sc WHERE NOT isnan(c)",
+    "rate_hot_series": f"""WITH {TOTALS}, {rates("totals", "'COUNTER'")}
+SELECT resource, metric, ts_ms, 'GAUGE' AS metric_type, {out("value", 9)} AS value FROM rated""",
+    "primary_hot_series": primary_listing(
+        TOTALS, "totals", [(f, hours(72)) for f in FLAGS], TimeGrid.covering(t.LINES_START, t.LINES_END, hours(36))
+    ),
+    "process_hot_series": process_hot_query(),
+    "correlate_hot_series": f"WITH {line_scores(ALL_LINE_SERIES, True)} SELECT {COEFFICIENT} FROM sc",
     "tree_flatten": f"""WITH RECURSIVE {TREE}
 SELECT id, resource, metric, resource || ':' || metric AS key, array_to_string(path, '/') AS path FROM flat""",
     "display_lookup": display_query(),

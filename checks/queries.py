@@ -412,6 +412,35 @@ def result_json(spark, sf):
     return _scored(results.from_json(results.to_json(scored)))
 
 
+# --- hot series: the same operators with every long series split over tasks ---
+
+HOT = 200
+
+
+def rate_hot_series(spark, sf):
+    counters = t.daily_totals(spark, sf).withColumn("metric_type", F.lit("COUNTER"))
+    return _rated(rate(counters, hot_rows=HOT))
+
+
+def primary_hot_series(spark, sf):
+    d = ResultDescriptor(hours(36)).datasource("A").datasource("N").datasource("R")
+    totals = t.daily_totals(spark, sf)
+    return tidy(primary_data(totals, t.LINES_START, t.LINES_END, d, hot_rows=HOT)).drop("heartbeat_ms")
+
+
+def process_hot_series(spark, sf):
+    d = ResultDescriptor(days(2)).datasource("A").datasource("N-max", "N", MAX).calculate("sum", add, "A", "N-max")
+    counters = t.daily_totals(spark, sf).withColumn("metric_type", F.lit("DERIVE"))
+    rows = process(counters, t.LINES_START, t.LINES_END, d.export("A", "sum"), days(10), hot_rows=HOT)
+    return tidy(rows, 9)
+
+
+def correlate_hot_series(spark, sf):
+    samples = t.daily_lines(spark, sf)
+    candidates = without_target(_all_series(t.line_samples(spark, sf)), t.LINE_TARGET)
+    return _scored(score(samples, _line_request(), candidates, "zero", hot_rows=HOT // 10))
+
+
 # --- resource tree -----------------------------------------------------------
 
 
@@ -486,6 +515,10 @@ QUERIES = {
         correlate_list,
         correlate_job,
         result_json,
+        rate_hot_series,
+        primary_hot_series,
+        process_hot_series,
+        correlate_hot_series,
         tree_flatten,
         display_lookup,
     )

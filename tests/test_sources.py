@@ -1,0 +1,235 @@
+import pytest
+from pyspark.sql import functions as F
+
+from tideline.functions import grid
+from tideline.functions.grid import TimeGrid, days
+from tideline.model import Metric, ResultDescriptor, parse_literal, resolve_range
+from tideline.operators.compute import extract
+from tideline.operators.hierarchy import NODE_SCHEMA, display_ids, flatten_tree
+from tideline.sources import catalog as cat
+from tideline.sources.requests import candidates_from_json, candidates_from_list, without_target
+from tideline.sources.samples import (
+    SAMPLE_SCHEMA,
+    SHARD_MS,
+    latest_samples,
+    read_samples,
+    select_samples,
+    shard_bounds,
+    timestamp_rows,
+    upsert_samples,
+    write_samples,
+)
+
+
+def sample(resource, ts, metric, value, seq, attributes=None):
+    return (resource, ts, metric, "GAUGE", float(value), attributes, seq)
+
+
+@pytest.fixture(scope="module")
+def stored(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("samples"))
+    rows = [
+        sample(f"r{i % 3}", day * 86_400_000 + i, m, day + i, day * 10 + i)
+        for day in range(40)
+        for i in range(5)
+        for m in ("a", "b")
+    ]
+    frame = spark.createDataFrame(rows, SAMPLE_SCHEMA + ", seq bigint")
+    write_samples(frame.unionByName(frame.withColumns({"seq": F.col("seq") - 1000, "value": F.lit(-1.0)})), path)
+    return path, rows
+
+
+def test_written_once_per_key(spark, stored):
+    path, rows = stored
+    got = read_samples(spark, path)
+    assert got.count() == len(rows)
+    assert got.where("value < 0").count() == 0
+    assert {r["shard"] for r in got.select("shard").distinct().collect()} == {
+        ts // SHARD_MS * (SHARD_MS // 1000) for _, ts, *_ in rows
+    }
+
+
+def test_range_is_inclusive_and_reaches_the_scan(spark, stored):
+    path, rows = stored
+    lo, hi = days(3), days(12) + 4
+    found = select_samples(read_samples(spark, path), ["r0", "r1"], lo, hi, metrics=["a"]).select("ts_ms", "value")
+    expected = [r for r in rows if lo <= r[1] <= hi and r[0] in ("r0", "r1") and r[2] == "a"]
+    assert found.count() == len(expected)
+    plan = found._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
+    )
+    scan = plan[plan.index("Location") :]
+    assert f"GreaterThanOrEqual(ts_ms,{lo})" in scan and f"LessThanOrEqual(ts_ms,{hi})" in scan
+    assert "In(resource, [r0,r1])" in scan and "EqualTo(metric,a)" in scan
+    low, high = shard_bounds(lo, hi)
+    partitions = scan[scan.index("PartitionFilters") : scan.index("PushedFilters")]
+    assert f">= {low}" in partitions and f"<= {high}" in partitions
+    schema = scan[scan.index("ReadSchema") :].split("\n")[0]
+    assert "attributes" not in schema and "seq" not in schema
+
+
+def test_upsert_replaces_newer_only_and_leaves_other_shards(spark, tmp_path):
+    path = str(tmp_path / "t")
+    schema = SAMPLE_SCHEMA + ", seq bigint"
+    first = [sample("r", 5, "m", 1, 10), sample("r", 6, "m", 2, 10), sample("r", SHARD_MS + 5, "m", 3, 10)]
+    write_samples(spark.createDataFrame(first, schema), path)
+    untouched = [r["f"] for r in read_samples(spark, path).where("shard > 0").select(F.input_file_name().alias("f")).collect()]
+    more = [sample("r", 5, "m", 7, 11), sample("r", 6, "m", 8, 9), sample("r", 7, "m", 9, 11), sample("r", 7, "m", 10, 12)]
+    upsert_samples(spark, path, spark.createDataFrame(more, schema))
+    got = {r["ts_ms"]: r["value"] for r in read_samples(spark, path).collect()}
+    assert got == {5: 7.0, 6: 2.0, 7: 10.0, SHARD_MS + 5: 3.0}
+    after = [r["f"] for r in read_samples(spark, path).where("shard > 0").select(F.input_file_name().alias("f")).collect()]
+    assert after == untouched
+
+
+def test_repeated_keys_are_reduced_before_the_shuffle(spark):
+    rows = spark.range(1000).select(
+        F.lit("r").alias("resource"),
+        F.lit(1).cast("bigint").alias("ts_ms"),
+        F.lit("m").alias("metric"),
+        F.lit("GAUGE").alias("metric_type"),
+        F.col("id").cast("double").alias("value"),
+        F.create_map(F.lit("k"), F.col("id").cast("string")).alias("attributes"),
+        F.col("id").alias("seq"),
+    )
+    newest = latest_samples(rows)
+    assert [(r["value"], r["attributes"]) for r in newest.collect()] == [(999.0, {"k": "999"})]
+    plan = newest._jdf.queryExecution().executedPlan().toString()
+    assert "partial_max_by" in plan[plan.index("Exchange") :]
+
+
+def test_rows_by_timestamp(spark):
+    rows = [("r", 1, "a", 1.0, 1), ("r", 1, "a", 0.5, 2), ("r", 1, "b", 3.0, 1), ("r", 2, "b", 4.0, 1)]
+    frame = spark.createDataFrame(rows, "resource string, ts_ms bigint, metric string, value double, seq bigint")
+    got = {r["ts_ms"]: (r["a"], r["b"]) for r in timestamp_rows(frame, ["a", "b"], "seq").collect()}
+    assert got == {1: (0.5, 3.0), 2: (None, 4.0)}
+    assert timestamp_rows(frame, ["a", "b"]).where("ts_ms = 1").first()["a"] == 1.0
+
+
+def test_default_range():
+    assert resolve_range(None, None, 100_000_000) == (13_600_000, 100_000_000)
+    assert resolve_range(5, None, 9) == (5, 9)
+    assert resolve_range(None, 86_400_007) == (7, 86_400_007)
+
+
+def test_catalog(spark, tmp_path):
+    rows = [
+        sample("a", 1, "x", 1, 1, {"kind": "snmp", "site": "n"}),
+        sample("a", 2, "y", 1, 1, {"kind": "http"}),
+        sample("b", 1, "x", 1, 1, {"kind": "response"}),
+        sample("c", 1, "z", 1, 1, {"site": "snmp-like"}),
+        sample("d", 1, "z", 1, 1, None),
+    ]
+    index = cat.index_samples(spark.createDataFrame(rows, SAMPLE_SCHEMA + ", seq bigint"))
+    index.write(str(tmp_path / "cat"))
+    index = cat.Catalog.read(spark, str(tmp_path / "cat"))
+    found = lambda frame: sorted(tuple(r) for r in frame.collect())
+    assert found(cat.all_metrics(index)) == [("a", "x"), ("a", "y"), ("b", "x")]
+    assert found(cat.match_term(index, "kind", "http")) == [("a", "x"), ("a", "y")]
+    assert found(cat.match_term(index, "site", "snmp")) == []
+    assert found(cat.match_any_value(index, "n", "snmp-like")) == [("a", "x"), ("a", "y"), ("c", "z")]
+    assert found(cat.all_metrics(index, context="other")) == []
+    latest = {(r["resource"], r["attribute"]): r["value"] for r in index.resource_attributes.collect()}
+    assert latest == {
+        ("a", "kind"): "http",
+        ("a", "site"): "n",
+        ("b", "kind"): "response",
+        ("c", "site"): "snmp-like",
+    }
+    assert index.resource_metrics.count() == 5
+    sets = cat.metrics_by_resource(cat.match_term(index, "kind", "http")).collect()
+    assert [(r["resource"], r["metrics"]) for r in sets] == [("a", ["x", "y"])]
+
+
+def test_candidate_lists(spark):
+    bodies = spark.createDataFrame(
+        [(1, '[{"resource":"a","metric":"m"},{"metric":"n","resource":"b"},{"resource":"a"}]'), (2, "[]")],
+        "request int, body string",
+    )
+    listed = candidates_from_json(bodies)
+    got = [(r["request"], r["ordinal"], r["resource"], r["metric"]) for r in listed.collect()]
+    assert got == [(1, 0, "a", "m"), (1, 1, "b", "n"), (1, 2, "a", None)]
+    left = without_target(listed, Metric("a", "m")).collect()
+    assert [r["ordinal"] for r in left] == [1, 2]
+    many = candidates_from_list(spark, [Metric(f'r"{i}', "ü'\\") for i in range(300)]).collect()
+    assert [(r["ordinal"], r["resource"], r["metric"]) for r in many] == [(i, f'r"{i}', "ü'\\") for i in range(300)]
+
+
+def test_grid(spark):
+    assert TimeGrid.covering(1, 10, 5) == TimeGrid(0, 10, 5)
+    assert TimeGrid.covering(-7, 11, 5) == TimeGrid(-10, 15, 5)
+    assert TimeGrid.covering(-7, 11, 5).size == 6
+    keys = spark.createDataFrame([("a",), ("b",)], "resource string")
+    assert grid.spine(keys, TimeGrid(10, 5, 5)).count() == 0
+    long = TimeGrid(3, 3 + 7 * 25_000, 7)
+    rows = grid.spine(keys, long)
+    assert rows.count() == 2 * long.size
+    assert rows.select("resource", "ts_ms").distinct().count() == 2 * long.size
+    assert rows.agg(F.min("ts_ms"), F.max("ts_ms"), F.max(F.pmod(F.col("ts_ms") - 3, F.lit(7)))).first()[:] == (3, long.hi, 0)
+    numbers = spark.range(-20, 21).select(
+        "id",
+        grid.step_floor(F.col("id"), 6).alias("f"),
+        grid.step_ceiling(F.col("id"), 6).alias("c"),
+        F.expr(grid.floor_sql("id", 6)).alias("fs"),
+        F.expr(grid.ceiling_sql("id", 6)).alias("cs"),
+        TimeGrid(-6, 12, 6).points_within("id", 12).alias("n"),
+    )
+    for r in numbers.collect():
+        assert r["f"] == r["fs"] == r["id"] // 6 * 6 and r["c"] == r["cs"] == -(-r["id"] // 6) * 6
+        if r["id"] % 6 == 0:
+            assert r["n"] == len([p for p in (-6, 0, 6, 12) if r["id"] - 12 < p <= r["id"]])
+
+
+def test_literals():
+    for text, value in (("1", 1.0), ("1d", 1.0), ("-2.5e3", -2500.0), (".5F", 0.5), (" 3 ", 3.0)):
+        assert parse_literal(text) == value
+    for text in ("", "m1", "1x", "1_000", "d"):
+        assert parse_literal(text) is None
+    assert parse_literal("NaN") != parse_literal("NaN")
+
+
+def test_descriptor_checks():
+    d = ResultDescriptor(10).datasource("a")
+    with pytest.raises(ValueError, match="already"):
+        d.datasource("a")
+    with pytest.raises(ValueError, match="positive"):
+        ResultDescriptor(0)
+    assert d.export("a", "a").exports == ("a",)
+    assert d.source_heartbeats == [("a", 20)]
+    assert d.datasource("b", "a", heartbeat_ms=50).max_heartbeat_ms == 50
+
+
+def test_extract_names_what_is_available(spark):
+    frame = spark.createDataFrame([("r", 1, "a", 2.0)], "resource string, ts_ms bigint, label string, value double")
+    assert extract(frame, "a", ["a", "b"]).count() == 1
+    with pytest.raises(ValueError, match="z is not available.*a,b"):
+        extract(frame, "z", ["a", "b"])
+
+
+def test_tree(spark):
+    nodes = spark.createDataFrame(
+        [
+            ("root", None, 0, []),
+            ("a%5B1%5D", "root", 1, [("file1", "in"), ("file2", "out")]),
+            ("b", "root", 0, [("file1", "load")]),
+            ("b%2Fc", "b", 0, [("file3", "in")]),
+            ("orphan", "missing", 0, [("file9", "in")]),
+            ("other", None, 1, None),
+        ],
+        NODE_SCHEMA,
+    )
+    flat = flatten_tree(nodes)
+    rows = [(r["id"], r["resource"], r["metric"], r["key"]) for r in flat.orderBy("path").collect()]
+    assert rows == [
+        ("b", "file1", "load", "file1:load"),
+        ("b/c", "file3", "in", "file3:in"),
+        ("a[1]", "file1", "in", "file1:in"),
+        ("a[1]", "file2", "out", "file2:out"),
+    ]
+    found = spark.createDataFrame(
+        [("file1", "in", 0.5), ("file2", "x", 0.4), ("nowhere", "y", 0.1)],
+        "resource string, metric string, coefficient double",
+    )
+    shown = {(r["id"], r["attribute"], r["coefficient"]) for r in display_ids(found, flat).collect()}
+    # The first row of a resource counts, whatever its metric.
+    assert shown == {("b", "in", 0.5), ("a[1]", "x", 0.4), (None, "y", 0.1)}
