@@ -2,19 +2,24 @@
 
 import math
 
-from tideline.sources.samples import SAMPLE_SCHEMA
+import pyarrow as pa
 
 BASE = 900_000_000
 
 
 def samples_of(spark, series, resource="localhost", kind="GAUGE", unit=1000, attributes=None):
     """``series``: metric -> {timestamp: value}; ``unit``: ms per timestamp unit."""
-    rows = [
-        (resource, ts * unit, metric, kind, float(value), attributes)
-        for metric, points in series.items()
-        for ts, value in points.items()
-    ]
-    return spark.createDataFrame(rows, SAMPLE_SCHEMA)
+    points = [(metric, ts * unit, float(v)) for metric, values in series.items() for ts, v in values.items()]
+    entries = None if attributes is None else list(attributes.items())
+    columns = {
+        "resource": pa.array([resource] * len(points), pa.string()),
+        "ts_ms": pa.array([ts for _, ts, _ in points], pa.int64()),
+        "metric": pa.array([metric for metric, _, _ in points], pa.string()),
+        "metric_type": pa.array([kind] * len(points), pa.string()),
+        "value": pa.array([v for _, _, v in points], pa.float64()),
+        "attributes": pa.array([entries] * len(points), pa.map_(pa.string(), pa.string())),
+    }
+    return spark.createDataFrame(pa.table(columns))
 
 
 def table_of(rows, name, unit=1000):

@@ -47,7 +47,7 @@ def test_resolution_must_be_a_multiple_of_the_step(spark):
 def test_calculated(spark, hot_rows, with_attributes):
     d = STEP.datasource("m0").datasource("m1").calculate("total", add, "m0", "m1").export("total")
     samples = samples_of(spark, {"m0": COUNTS, "m1": COUNTS}, kind="COUNTER", attributes={"a": "b"})
-    out = process(samples, START, END, d, HOUR, hot_rows=hot_rows_ms, with_attributes=with_attributes)
+    out = process(samples, START, END, d, HOUR, hot_rows=hot_rows, with_attributes=with_attributes)
     rows = out.collect()
     same(table_of(rows, "label"), {BASE + 3600: {"total": 20.0}, BASE + 7200: {"total": 20.0}})
     if with_attributes:

@@ -57,11 +57,13 @@ def test_hot_series_are_split_in_the_plan_for_large_inputs(spark, samples, stati
     monkeypatch.setattr(neighbours, "ONE_TASK_BYTES", 0)
     resources = spark.createDataFrame([("r1",)], "resource string")
     plan = plan_of(process(samples, 0, hours(5), DESCRIPTOR, hours(1), resources=resources))
-    # All samples go by (series, chunk); the other exchanges hold one row per
-    # series and task, or per chunk of a hot series.
-    assert exchanges(plan).count("resource, metric, _chunk") >= 1
-    window = plan[plan.index("Window [lag") :]
-    assert exchanges(window)[0] == "resource, metric, _chunk"
+    # Series that fit a task leave out the hot ones by a broadcast of these; hot
+    # series go by chunk, and only their sums per interval go by bucket.
+    found = exchanges(plan)
+    assert found.count("resource, metric, _chunk") == 2  # samples, and one row per chunk
+    assert found.count("resource, metric, bucket_ms") == 1
+    assert "LeftAnti, BuildRight" in plan
+    assert found.count("resource, bucket_ms") == 1
 
 
 def test_correlation_of_small_candidate_lists_filters_the_scan(spark, samples, static):

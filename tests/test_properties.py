@@ -9,7 +9,7 @@ from helpers import samples_of
 from tideline.functions.grid import TimeGrid
 from tideline.model import Metric, ResultDescriptor, CorrelationRequest
 from tideline.operators.consolidate import primary_data
-from tideline.operators.neighbours import with_previous, with_previous_row
+from tideline.operators.neighbours import adjacent_parts, previous_parts, union, with_previous
 from tideline.plans.correlation import score
 from tideline.plans.measurements import process
 
@@ -89,17 +89,18 @@ def test_previous_is_lag_however_series_are_split(spark, hot_rows):
 
     stamps = sorted({ts for points in series.values() for ts in points})
     before = dict(zip(stamps, [None, *stamps]))
-    rows = with_previous_row(samples, hot_rows).collect()
+    rows = union([p.drop("_chunk") for p in adjacent_parts(samples, hot_rows)]).collect()
     assert len(rows) == len(expected)
     assert all(r["prev_row_ts"] == before[r["ts_ms"]] for r in rows)
 
 
 def test_hot_series_becomes_many_groups(spark):
     series = {"hot": {t: 1.0 for t in range(0, 4000)}, "cold": {t: 1.0 for t in range(0, 4000, 100)}}
-    rows = with_previous(samples_of(spark, series, unit=1), hot_rows=100)
-    sizes = {(r["metric"], r["_chunk"]): r["count"] for r in rows.groupBy("metric", "_chunk").count().collect()}
-    assert max(sizes.values()) <= 100
-    assert sum(1 for metric, _ in sizes if metric == "cold") == 1
+    whole, split = previous_parts(samples_of(spark, series, unit=1), hot_rows=100)
+    assert {r["metric"]: r["count"] for r in whole.groupBy("metric").count().collect()} == {"cold": 40}
+    sizes = {(r["metric"], r["_chunk"]): r["count"] for r in split.groupBy("metric", "_chunk").count().collect()}
+    assert {metric for metric, _ in sizes} == {"hot"}
+    assert max(sizes.values()) <= 100 and sum(sizes.values()) == 4000
 
 
 def test_split_pipeline_gives_the_same(spark):

@@ -16,9 +16,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.grid import TimeGrid, ceiling_sql, floor_sql, spine
+from tideline.functions.values import known_or_nan
 from tideline.model import SERIES, ResultDescriptor
 from tideline.operators import attributes as attrs
-from tideline.operators.neighbours import CHUNK, PREV_TS, with_previous
+from tideline.operators.neighbours import CHUNK, PREV_TS, previous_parts, union
 from tideline.sources.requests import literal_rows
 
 INTERVAL = "interval_ms"
@@ -26,7 +27,9 @@ HEARTBEAT = "heartbeat_ms"
 BUCKET = "bucket_ms"
 SOURCE_KEY = [*SERIES, HEARTBEAT]
 
-# True on the rows of a series that ``keys`` names, at least one per bucket.
+_SUMS = ("weighted", "known", "unknown")
+
+# True on the rows of a series that was asked for.
 REQUESTED = "_requested"
 
 
@@ -92,58 +95,76 @@ def _interval_value() -> Column:
     return F.expr(f"CASE WHEN {valid} THEN weighted / known ELSE double('NaN') END AS value")
 
 
-def consolidate(
-    samples: DataFrame,
+def interval_values(
+    part: DataFrame,
     grid: TimeGrid,
     max_heartbeat_ms: int,
-    keys: DataFrame,
-    hot_rows: int | None = None,
     resolution_ms: int | None = None,
-    every_interval: bool = True,
-    partition_by: Sequence[str] = (*SERIES, BUCKET),
     with_attributes: bool = False,
 ) -> DataFrame:
-    """Interval values per (resource, metric, heartbeat).
-
-    ``samples`` carries ``heartbeat_ms``, and ``prev_ts`` where the rate stage
-    already found it.  ``keys`` names the series that must appear whether or not
-    they have samples: at every interval, or with ``every_interval=False`` at the
-    last interval of each bucket only.  ``bucket_ms`` (the interval itself when no
-    resolution is given) is part of the output, and rows are partitioned by
-    ``partition_by``, so that a rollup needs no exchange of its own.  Series with
-    samples that ``keys`` does not name have no ``_requested`` row; dropping them
-    here, after the reduction, spares the samples a join with the keys.
+    """Values of the intervals that samples reach, for one part of the series.
+
+    ``part`` carries ``heartbeat_ms`` and ``prev_ts``.  Whole series are reduced
+    where their window left them.  Chunks of a hot series are reduced to sums per
+    interval first, and only these are exchanged.  The output has the interval's
+    ``bucket_ms`` (the interval itself without a resolution) and is partitioned
+    so that a rollup needs no exchange.
     """
-    if PREV_TS not in samples.columns:
-        samples = with_previous(samples, hot_rows)
-    width = resolution_ms if resolution_ms is not None else grid.step
-
-    chunk = [CHUNK] if CHUNK in samples.columns else []
-    measured = contributions(samples, grid, max_heartbeat_ms)
-    partials = _partial_sums(measured, [*SOURCE_KEY, *chunk, INTERVAL], with_attributes).drop(CHUNK)
-
-    points = grid if every_interval else TimeGrid.covering(grid.lo, grid.hi, width)
-    blanks = spine(keys.select(*SOURCE_KEY, F.lit(True).alias(REQUESTED)), points, INTERVAL)
-    union = (
-        partials.unionByName(blanks, allowMissingColumns=True)
-        .withColumn(BUCKET, F.expr(ceiling_sql(INTERVAL, width)))
-        .repartition(*partition_by)
-    )
+    split = CHUNK in part.columns
+    keys = [*SOURCE_KEY, CHUNK, INTERVAL] if split else [*SOURCE_KEY, INTERVAL]
+    sums = _partial_sums(contributions(part, grid, max_heartbeat_ms), keys, with_attributes)
+    bucket = F.expr(ceiling_sql(INTERVAL, resolution_ms or grid.step))
+    sums = sums.withColumn(BUCKET, bucket)
 
     key = [*SOURCE_KEY, BUCKET, INTERVAL]
-    measures = [F.sum(name).alias(name) for name in ("weighted", "known", "unknown")]
-    measures.append(F.max(REQUESTED).alias(REQUESTED))
+    entry = [attrs.ENTRY_KEY] if with_attributes else []
+    if split:
+        merged = [F.sum(name).alias(name) for name in _SUMS]
+        if with_attributes:
+            merged.append(F.max_by(attrs.ENTRY_VALUE, "ts_ms").alias(attrs.ENTRY_VALUE))
+        sums = sums.drop(CHUNK).repartition(*SERIES, BUCKET).groupBy(*key, *entry).agg(*merged)
     if not with_attributes:
-        return union.groupBy(*key).agg(*measures).select(*key, REQUESTED, _interval_value())
-    merged = union.groupBy(*key, attrs.ENTRY_KEY).agg(
-        *measures, F.max_by(attrs.ENTRY_VALUE, "ts_ms").alias(attrs.ENTRY_VALUE)
-    )
-    totals = merged.groupBy(*key).agg(
-        *(F.max(attrs.measure_only(F.col(name))).alias(name) for name in ("weighted", "known", "unknown")),
-        F.max(REQUESTED).alias(REQUESTED),
+        return sums.select(*key, _interval_value())
+    totals = sums.groupBy(*key).agg(
+        *(F.max(attrs.measure_only(F.col(name))).alias(name) for name in _SUMS),
         attrs.folded_map().alias("attributes"),
     )
-    return totals.select(*key, REQUESTED, _interval_value(), "attributes")
+    return totals.select(*key, _interval_value(), "attributes")
+
+
+def fill(measured: DataFrame, blanks: DataFrame, key: Sequence[str], partition_by: Sequence[str]) -> DataFrame:
+    """Rows of ``measured`` and of the keys in ``blanks`` that it lacks, one per key.
+
+    The column ``_requested`` is true for the keys in ``blanks``.  Telling apart
+    who was asked for here, after the reduction, spares the samples a join.
+    """
+    rest = [c for c in measured.columns if c not in key]
+    merge = {"attributes": lambda c: F.any_value(c, ignoreNulls=True)}
+    return (
+        measured.unionByName(blanks.select(*key, F.lit(True).alias(REQUESTED)), allowMissingColumns=True)
+        .repartition(*partition_by)
+        .groupBy(*key)
+        .agg(*(merge.get(c, F.max)(c).alias(c) for c in [*rest, REQUESTED]))
+    )
+
+
+def consolidate(
+    parts: Sequence[DataFrame],
+    keys: DataFrame,
+    grid: TimeGrid,
+    max_heartbeat_ms: int,
+    resolution_ms: int | None = None,
+    partition_by: Sequence[str] = (*SERIES, BUCKET),
+    with_attributes: bool = False,
+) -> DataFrame:
+    """Every interval of every (resource, metric, heartbeat) in ``keys``."""
+    measured = union(
+        [interval_values(p, grid, max_heartbeat_ms, resolution_ms, with_attributes) for p in parts]
+    )
+    bucket = F.expr(ceiling_sql(INTERVAL, resolution_ms or grid.step))
+    blanks = spine(keys.select(*SOURCE_KEY), grid, INTERVAL).withColumn(BUCKET, bucket)
+    filled = fill(measured, blanks, [*SOURCE_KEY, BUCKET, INTERVAL], partition_by)
+    return filled.withColumn("value", known_or_nan(F.col("value")))
 
 
 def source_keys(resources: DataFrame, pairs: Sequence[tuple[str, int]]) -> DataFrame:
@@ -173,14 +194,13 @@ def primary_data(
     if resources is None:
         resources = samples.select("resource").distinct()
     present = samples.where(F.col("value").isNotNull())
-    if PREV_TS not in present.columns:
-        present = with_previous(present.where(F.col("metric").isin(descriptor.source_names)), hot_rows)
-    rows = with_heartbeats(present, descriptor.source_heartbeats)
+    parts = previous_parts(present.where(F.col("metric").isin(descriptor.source_names)), hot_rows)
+    pairs = descriptor.source_heartbeats
     consolidated = consolidate(
-        rows,
+        [with_heartbeats(part, pairs) for part in parts],
+        source_keys(resources, pairs),
         grid,
         descriptor.max_heartbeat_ms,
-        source_keys(resources, descriptor.source_heartbeats),
         with_attributes=with_attributes,
     )
     extra = ["attributes"] if with_attributes else []

@@ -1,15 +1,17 @@
 """The previous sample of each sample, with hot series split over time.
 
-A window over a whole series puts that series into one task.  Series with more
-than ``HOT_ROWS`` samples are therefore cut into time chunks, each a window
-partition of its own; the first sample of a chunk takes its predecessor from a
-summary with one row per chunk of a hot series.  The result is the plain ``lag``
-however a series is cut.
+A window over a whole series puts that series into one task.  Samples are
+therefore told apart by the load of their series: those of series with at most
+``HOT_ROWS`` samples go through a plain window; longer series are cut into time
+chunks, each a window partition of its own, and the first sample of a chunk
+takes its predecessor from a summary with one row per chunk.  The result is the
+plain ``lag`` however a series is cut.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +19,7 @@ from pyspark.sql import functions as F
 from tideline.model import SERIES
 
 CHUNK = "_chunk"
+WIDTH = "_width"
 PREV_TS = "prev_ts"
 PREV_VALUE = "prev_value"
 PREV_ROW_TS = "prev_row_ts"
@@ -52,69 +55,112 @@ def hot_groups(samples: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFr
     load = samples.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_rows"), F.min("ts_ms").alias("_first"), F.max("ts_ms").alias("_last")
     )
-    pieces = F.ceil(F.col("_rows") * F.lit(OVERSPLIT) / F.lit(hot_rows))
-    width = F.ceil((F.col("_last") - F.col("_first") + F.lit(1)) / pieces)
-    return load.where(F.col("_rows") > hot_rows).select(*keys, width.cast("bigint").alias("_width"))
+    width = f"ceil((_last - _first + 1L) / ceil(_rows * {OVERSPLIT}L / {hot_rows}L))"
+    return load.where(f"_rows > {hot_rows}L").selectExpr(*keys, f"cast({width} AS bigint) AS {WIDTH}")
 
 
-def _lag(
-    samples: DataFrame, keys: Sequence[str], columns: dict[str, str], hot_rows: int | None, distinct_ts: bool = False
-) -> DataFrame:
-    """Adds the value each column (new name: source column) has in the previous
-    sample of the group, or at the previous distinct timestamp."""
+def by_load(samples: DataFrame, keys: Sequence[str] = SERIES, hot_rows: int | None = None) -> list[DataFrame]:
+    """The samples in disjoint parts: of groups that fit a task, and of hot
+    groups, the latter with the width of their chunks.
 
-    def look_back(partition: Sequence[str]) -> dict[str, Column]:
-        ordered = Window.partitionBy(*partition).orderBy("ts_ms")
-        if distinct_ts:
-            earlier = ordered.rangeBetween(Window.unboundedPreceding, -1)
-            return {name: F.max(source).over(earlier) for name, source in columns.items()}
-        return {name: F.lag(source).over(ordered) for name, source in columns.items()}
-
-    samples = samples.drop(CHUNK)
+    Only the first part where the whole input fits a task.
+    """
     if hot_rows is None:
         if not may_be_hot(samples):
-            return samples.withColumns(look_back(keys))
+            return [samples]
         hot_rows = HOT_ROWS
-
     hot = F.broadcast(hot_groups(samples, keys, hot_rows))
-    chunk = F.coalesce(F.floor(F.col("ts_ms") / F.col("_width")).cast("bigint"), F.lit(0).cast("bigint"))
-    pieces = samples.join(hot, list(keys), "left").withColumn(CHUNK, chunk).drop("_width")
-
-    tails = (
-        samples.join(hot, list(keys))
-        .withColumn(CHUNK, chunk)
-        .groupBy(*keys, CHUNK)
-        .agg(*(F.max_by(source, "ts_ms").alias(f"_tail_{name}") for name, source in columns.items()))
-    )
-    by_chunk = Window.partitionBy(*keys).orderBy(CHUNK)
-    carried = tails.select(
-        *keys, CHUNK, *(F.lag(f"_tail_{name}").over(by_chunk).alias(f"_carried_{name}") for name in columns)
-    )
-    # Without this a preceding exchange by the keys alone would do for the window.
-    within = pieces.repartition(*keys, CHUNK).withColumns({f"_lag_{k}": v for k, v in look_back([*keys, CHUNK]).items()})
-    first = F.col(f"_lag_{next(iter(columns))}").isNull()
-    rest = [c for c in samples.columns if c not in keys]
-    return within.join(carried, [*keys, CHUNK], "left").select(
-        *keys,
-        *rest,
-        CHUNK,
-        *(
-            F.when(first, F.col(f"_carried_{name}")).otherwise(F.col(f"_lag_{name}")).alias(name)
-            for name in columns
-        ),
-    )
+    return [samples.join(hot, list(keys), "left_anti"), samples.join(hot, list(keys))]
 
 
-def with_previous(samples: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """Adds ``prev_ts`` and ``prev_value``, NULL for the first sample of a series.
+@dataclass(frozen=True)
+class LookBack:
+    """Columns (new name: source column) taken from the previous sample of a
+    group, or, with ``distinct_ts``, from its previous distinct timestamp."""
+
+    keys: Sequence[str]
+    columns: Mapping[str, str]
+    distinct_ts: bool = False
+
+    def within(self, chunk: Sequence[str], prefix: str = "") -> dict[str, Column]:
+        ordered = Window.partitionBy(*self.keys, *chunk).orderBy("ts_ms")
+        if self.distinct_ts:
+            earlier = ordered.rangeBetween(Window.unboundedPreceding, -1)
+            return {prefix + name: F.max(source).over(earlier) for name, source in self.columns.items()}
+        return {prefix + name: F.lag(source).over(ordered) for name, source in self.columns.items()}
+
+    def carried(self, pieces: DataFrame) -> DataFrame:
+        """What each chunk's first sample looks back on, one row per chunk."""
+        tails = pieces.groupBy(*self.keys, CHUNK).agg(
+            *(F.max_by(source, "ts_ms").alias(f"_tail_{name}") for name, source in self.columns.items())
+        )
+        by_chunk = Window.partitionBy(*self.keys).orderBy(CHUNK)
+        looked_back = (F.lag(f"_tail_{n}").over(by_chunk).alias(f"_carried_{n}") for n in self.columns)
+        return tails.select(*self.keys, CHUNK, *looked_back)
 
-    ``(resource, metric, ts_ms)`` must be unique.  Where series may be hot, rows
-    also carry the number of their chunk, by which they are then partitioned.
+
+PREVIOUS_SAMPLE = LookBack(SERIES, {PREV_TS: "ts_ms", PREV_VALUE: "value"})
+PREVIOUS_TIME = LookBack(SERIES, {PREV_TS: "ts_ms"})
+PREVIOUS_ROW = LookBack(["resource"], {PREV_ROW_TS: "ts_ms"}, distinct_ts=True)
+
+
+def look_back(part: DataFrame, looks: Sequence[LookBack], partition_by: Sequence[str] = SERIES) -> DataFrame:
+    """Adds the columns of all ``looks`` to one part of the samples.
+
+    One exchange by ``partition_by``, which every key of ``looks`` contains,
+    serves all their windows.
     """
-    return _lag(samples, SERIES, {PREV_TS: "ts_ms", PREV_VALUE: "value"}, hot_rows)
+    if WIDTH not in part.columns and CHUNK not in part.columns:
+        rows = part if list(partition_by) == SERIES else part.repartition(*partition_by)
+        for look in looks:
+            rows = rows.withColumns(look.within([]))
+        return rows
+
+    pieces = part
+    if WIDTH in part.columns:
+        pieces = part.withColumn(CHUNK, F.expr(f"cast(floor(ts_ms / {WIDTH}) AS bigint)")).drop(WIDTH)
+    # Without this a preceding exchange by the keys alone would do for the windows.
+    rows = pieces.repartition(*partition_by, CHUNK)
+    for look in looks:
+        rows = rows.withColumns(look.within([CHUNK], "_lag_"))
+    for look in looks:
+        first = f"_lag_{next(iter(look.columns))} IS NULL"
+        names = list(look.columns)
+        found = {n: F.expr(f"CASE WHEN {first} THEN _carried_{n} ELSE _lag_{n} END") for n in names}
+        spent = [f"_carried_{n}" for n in names] + [f"_lag_{n}" for n in names]
+        rows = rows.join(look.carried(pieces), [*look.keys, CHUNK], "left").withColumns(found).drop(*spent)
+    return rows
+
+
+def union(parts: Sequence[DataFrame]) -> DataFrame:
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+def previous_parts(samples: DataFrame, hot_rows: int | None = None) -> list[DataFrame]:
+    """The samples with ``prev_ts`` and ``prev_value``, in parts by load.
+
+    Rows of the first part are partitioned by series, those of the second, which
+    have a column ``_chunk``, by series and chunk.
+    """
+    return [look_back(part, [PREVIOUS_SAMPLE]) for part in by_load(samples, SERIES, hot_rows)]
+
 
+def adjacent_parts(samples: DataFrame, hot_rows: int | None = None) -> list[DataFrame]:
+    """The samples with ``prev_ts``, ``prev_value`` and ``prev_row_ts``: the latest
+    earlier timestamp at which the resource has a sample of any metric.
 
-def with_previous_row(samples: DataFrame, hot_rows: int | None = None) -> DataFrame:
-    """Adds ``prev_row_ts``: the latest earlier timestamp at which the resource
-    has a sample of any metric, NULL at its first timestamp."""
-    return _lag(samples, ["resource"], {PREV_ROW_TS: "ts_ms"}, hot_rows, distinct_ts=True).drop(CHUNK)
+    In parts by the load of the resources.
+    """
+    parts = by_load(samples, ["resource"], hot_rows)
+    return [look_back(part, [PREVIOUS_ROW, PREVIOUS_SAMPLE], ["resource"]) for part in parts]
+
+
+def with_previous(samples: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """Adds ``prev_ts`` and ``prev_value``, NULL for the first sample of a series.
+
+    ``(resource, metric, ts_ms)`` must be unique.
+    """
+    return union([part.drop(CHUNK) for part in previous_parts(samples, hot_rows)])

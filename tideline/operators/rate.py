@@ -9,14 +9,17 @@ from pyspark.sql import functions as F
 
 from tideline.functions.grid import epoch_seconds
 from tideline.functions.values import known_or_nan, unknown
-from tideline.model import COUNTER_TYPES, GAUGE, METRIC_TYPES
+from tideline.model import COUNTER_TYPES, GAUGE
 from tideline.operators.neighbours import (
     CHUNK,
     PREV_ROW_TS,
     PREV_TS,
     PREV_VALUE,
-    with_previous,
-    with_previous_row,
+    PREVIOUS_TIME,
+    adjacent_parts,
+    look_back,
+    previous_parts,
+    union,
 )
 
 RESETS = ("raw", "nan", "wrap32", "wrap64")
@@ -35,40 +38,45 @@ def _delta(counter_reset: str) -> Column:
     return F.when(fallen, replacement).otherwise(delta)
 
 
-def rate_with_previous(
+def _value(counter_reset: str) -> Column:
+    elapsed = epoch_seconds(F.col("ts_ms")) - epoch_seconds(F.col(PREV_TS))
+    kind = F.col("metric_type")
+    return (
+        F.when(kind == GAUGE, F.col("value").cast("double"))
+        .when(kind.isin(*COUNTER_TYPES), known_or_nan(F.try_divide(_delta(counter_reset), elapsed)))
+        .otherwise(F.raise_error(F.concat(F.lit("unknown metric type: "), kind)).cast("double"))
+    )
+
+
+def rate_parts(
     samples: DataFrame,
     sources: Sequence[str] | None = None,
     hot_rows: int | None = None,
     counter_reset: str = "raw",
     strict_adjacency: bool = False,
-) -> DataFrame:
-    """``rate`` keeping ``prev_ts`` (and the chunk of a hot series), which consolidation
-    reuses so that both stages share one window."""
+) -> list[DataFrame]:
+    """``rate`` in parts by the load of the series (see ``previous_parts``).
+
+    The parts keep ``prev_ts``, so that consolidation needs no window of its own.
+    """
     if counter_reset not in RESETS:
         raise ValueError(f"counter_reset must be one of {RESETS}, got {counter_reset!r}")
 
+    def rated(part: DataFrame) -> DataFrame:
+        return part.withColumns({"value": _value(counter_reset), "metric_type": F.lit(GAUGE)}).drop(PREV_VALUE)
+
     present = samples.where(F.col("value").isNotNull())
-    if strict_adjacency:
-        # A resource's rows include metrics that are not asked for.
-        rows = with_previous_row(present, hot_rows)
-        rows = rows if sources is None else rows.where(F.col("metric").isin(list(sources)))
-        paired = with_previous(rows, hot_rows)
-        first_row = F.col(PREV_ROW_TS).isNull()
-        paired = paired.where(first_row | (F.col(PREV_TS) == F.col(PREV_ROW_TS))).drop(PREV_ROW_TS)
-    else:
-        rows = present if sources is None else present.where(F.col("metric").isin(list(sources)))
-        paired = with_previous(rows, hot_rows)
+    if not strict_adjacency:
+        named = present if sources is None else present.where(F.col("metric").isin(list(sources)))
+        return [rated(part) for part in previous_parts(named, hot_rows)]
 
-    elapsed = epoch_seconds(F.col("ts_ms")) - epoch_seconds(F.col(PREV_TS))
-    kind = F.col("metric_type")
-    value = (
-        F.when(kind == GAUGE, F.col("value").cast("double"))
-        .when(kind.isin(*COUNTER_TYPES), known_or_nan(F.try_divide(_delta(counter_reset), elapsed)))
-        .otherwise(F.raise_error(F.concat(F.lit("unknown metric type: "), kind)).cast("double"))
-    )
-    rated = paired.withColumns({"value": value, "metric_type": F.lit(GAUGE)}).drop(PREV_VALUE)
-    # Rows dropped for adjacency change who precedes whom.
-    return rated.drop(PREV_TS, CHUNK) if strict_adjacency else rated
+    # A resource's rows include metrics that are not asked for.  Dropped rows
+    # change who precedes whom.
+    adjacent = f"{PREV_ROW_TS} IS NULL OR {PREV_TS} = {PREV_ROW_TS}"
+    kept = [part.where(adjacent).drop(PREV_ROW_TS) for part in adjacent_parts(present, hot_rows)]
+    if sources is not None:
+        kept = [part.where(F.col("metric").isin(list(sources))) for part in kept]
+    return [look_back(rated(part).drop(PREV_TS), [PREVIOUS_TIME]) for part in kept]
 
 
 def rate(
@@ -87,7 +95,5 @@ def rate(
     whose metric is absent at the resource's immediately preceding timestamp.
     ``hot_rows`` overrides the size from which a series is split over tasks.
     """
-    return rate_with_previous(samples, sources, hot_rows, counter_reset, strict_adjacency).drop(PREV_TS, CHUNK)
-
-
-__all__ = ["rate", "rate_with_previous", "METRIC_TYPES"]
+    parts = rate_parts(samples, sources, hot_rows, counter_reset, strict_adjacency)
+    return union([part.drop(PREV_TS, CHUNK) for part in parts])

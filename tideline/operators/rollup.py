@@ -36,24 +36,9 @@ def aggregate_buckets(
     intervals: DataFrame, functions: Sequence[Aggregation], with_attributes: bool = False
 ) -> DataFrame:
     """One row per source and bucket with a column ``_fn<i>`` for each function
-    and the number of interval rows.  Keeps the partitioning of its input.
-
-    Where intervals tell which series were requested, only those remain.
-    """
+    and the number of interval rows.  Keeps the partitioning of its input."""
     key = [*SOURCE_KEY, BUCKET]
-    if REQUESTED in intervals.columns:
-        asked = [F.max(REQUESTED).alias(REQUESTED)]
-        return _reduce(intervals, key, functions, with_attributes, asked).where(REQUESTED).drop(REQUESTED)
-    return _reduce(intervals, key, functions, with_attributes, [])
-
-
-def _reduce(
-    intervals: DataFrame,
-    key: Sequence[str],
-    functions: Sequence[Aggregation],
-    with_attributes: bool,
-    asked: Sequence[Column],
-) -> DataFrame:
+    asked = [F.max(REQUESTED).alias(REQUESTED)] if REQUESTED in intervals.columns else []
     if not with_attributes:
         named = [fn(F.col("value")).alias(f"_fn{i}") for i, fn in enumerate(functions)]
         return intervals.groupBy(*key).agg(F.count(F.lit(1)).alias(COUNT), *named, *asked)

@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.functions.values import AVERAGE
+from tideline.functions.grid import TimeGrid, spine
+from tideline.functions.values import AVERAGE, Aggregation
 from tideline.model import DEFAULT_HEARTBEAT_STEPS, DEFAULT_XFF, SERIES, ResultDescriptor, resolve_range
 from tideline.operators.compute import calculate, lengthen, widen
-from tideline.operators.consolidate import BUCKET, HEARTBEAT, consolidate, source_keys, with_heartbeats
-from tideline.operators.rate import rate_with_previous
+from tideline.operators.consolidate import (
+    BUCKET,
+    HEARTBEAT,
+    REQUESTED,
+    SOURCE_KEY,
+    consolidate,
+    fill,
+    interval_values,
+    source_keys,
+    with_heartbeats,
+)
+from tideline.operators.neighbours import union
+from tideline.operators.rate import rate_parts
 from tideline.operators.rollup import (
+    COUNT,
     aggregate_buckets,
     bucket_grid,
     covered_value,
@@ -21,6 +36,43 @@ from tideline.operators.rollup import (
 from tideline.sources.samples import select_samples
 
 
+# Buckets of one series that may share a task.
+SERIES_BUCKETS = 100_000
+
+
+def requested_buckets(
+    parts: Sequence[DataFrame],
+    keys: DataFrame,
+    grid: TimeGrid,
+    buckets: TimeGrid,
+    max_heartbeat_ms: int,
+    functions: Sequence[Aggregation],
+    partition_by: Sequence[str],
+    with_attributes: bool = False,
+) -> DataFrame:
+    """Aggregates ``_fn<i>`` of every bucket of every (resource, metric, heartbeat)
+    in ``keys``; NULL where nothing is known.
+
+    Series are reduced to buckets before the one exchange that adds the missing
+    buckets.  Functions that must see unknown intervals have them added first.
+    """
+    if all(fn.skips_unknown for fn in functions):
+        reduced = [
+            aggregate_buckets(
+                interval_values(part, grid, max_heartbeat_ms, buckets.step, with_attributes), functions, with_attributes
+            ).drop(COUNT)
+            for part in parts
+        ]
+        blanks = spine(keys.select(*SOURCE_KEY), buckets, BUCKET)
+        filled = fill(union(reduced), blanks, [*SOURCE_KEY, BUCKET], partition_by)
+    else:
+        intervals = consolidate(
+            parts, keys, grid, max_heartbeat_ms, buckets.step, partition_by, with_attributes
+        )
+        filled = aggregate_buckets(intervals, functions, with_attributes)
+    return filled.where(REQUESTED).where(F.col(BUCKET).between(buckets.lo, buckets.hi))
+
+
 def process(
     samples: DataFrame,
     start_ms: int,
@@ -48,22 +100,20 @@ def process(
         named = samples.where(F.col("metric").isin(descriptor.source_names))
         resources = named.select("resource").distinct()
 
-    rated = rate_with_previous(samples, descriptor.source_names, hot_rows, counter_reset, strict_adjacency)
-    intervals = consolidate(
-        with_heartbeats(rated, descriptor.source_heartbeats),
+    pairs = descriptor.source_heartbeats
+    rated = rate_parts(samples, descriptor.source_names, hot_rows, counter_reset, strict_adjacency)
+    rolled = requested_buckets(
+        [with_heartbeats(part, pairs) for part in rated],
+        source_keys(resources, pairs),
         grid,
+        buckets,
         descriptor.max_heartbeat_ms,
-        source_keys(resources, descriptor.source_heartbeats),
-        resolution_ms=resolution_ms,
-        every_interval=descriptor.needs_every_interval,
+        distinct_functions(descriptor),
         partition_by=["resource", BUCKET],
         with_attributes=with_attributes,
     )
-    rolled = aggregate_buckets(intervals, distinct_functions(descriptor), with_attributes)
     present = grid.points_within(BUCKET, resolution_ms)
-    measured = to_labels(
-        rolled.where(F.col(BUCKET).between(buckets.lo, buckets.hi)), descriptor, resolution_ms, present
-    )
+    measured = to_labels(rolled, descriptor, resolution_ms, present)
     wide = calculate(widen(measured, [d.label for d in descriptor.datasources]), descriptor.calculations)
     return lengthen(wide, descriptor.exports, with_attributes)
 
@@ -89,15 +139,16 @@ def average_series(
     buckets = bucket_grid(start_ms, end_ms, resolution_ms)
 
     uniform = F.lit(heartbeat).cast("bigint")
-    intervals = consolidate(
-        rate_with_previous(samples, hot_rows=hot_rows).withColumn(HEARTBEAT, uniform),
+    rolled = requested_buckets(
+        [part.withColumn(HEARTBEAT, uniform) for part in rate_parts(samples, hot_rows=hot_rows)],
+        keys.select(*SERIES).withColumn(HEARTBEAT, uniform),
         grid,
+        buckets,
         heartbeat,
-        keys.select(*SERIES).withColumn(HEARTBEAT, uniform),
-        resolution_ms=resolution_ms,
-        every_interval=False,
+        [AVERAGE],
+        # Few enough rows per series to stay together for what follows, or not.
+        partition_by=SERIES if buckets.size <= SERIES_BUCKETS else [*SERIES, BUCKET],
     )
-    rolled = aggregate_buckets(intervals, [AVERAGE]).where(F.col(BUCKET).between(buckets.lo, buckets.hi))
     present = grid.points_within(BUCKET, resolution_ms)
     value = covered_value(F.col("_fn0"), present, resolution_ms / step_ms, F.lit(DEFAULT_XFF))
     return rolled.select(*SERIES, F.col(BUCKET).alias("ts_ms"), value.alias("value"))
