@@ -13,6 +13,7 @@ from tideline.operators.correlate import top_candidates
 from tideline.plans import correlation
 from tideline.plans.correlation import correlate, score
 from tideline.plans.measurements import process
+from tideline.sources import requests
 from tideline.sources.samples import SAMPLE_SCHEMA, write_samples
 
 
@@ -74,7 +75,7 @@ def test_correlation_of_small_candidate_lists_filters_the_scan(spark, samples, s
 
 
 def test_correlation_of_large_catalogs_joins_no_samples(spark, samples, static, monkeypatch):
-    monkeypatch.setattr(correlation, "BROADCAST_KEY_BYTES", -1)
+    monkeypatch.setattr(requests, "BROADCAST_KEY_BYTES", -1)
     catalog = samples.select("resource", "metric").distinct()
     scored = score(samples, REQUEST, correlation.without_target(catalog, REQUEST.target), "zero")
     assert "LeftSemi" not in plan_of(scored)
@@ -86,7 +87,7 @@ def test_correlation_of_large_catalogs_joins_no_samples(spark, samples, static,
 
 
 def test_unlisted_series_stay_out_without_the_join(spark, samples, monkeypatch):
-    monkeypatch.setattr(correlation, "BROADCAST_KEY_BYTES", -1)
+    monkeypatch.setattr(requests, "BROADCAST_KEY_BYTES", -1)
     rows = score(samples, REQUEST, correlation.candidates_from_list(spark, [Metric("r1", "m1")]), "zero").collect()
     assert [(r["resource"], r["metric"]) for r in rows] == [("r1", "m1")]
 

@@ -1,0 +1,13 @@
+"""Size estimates that decide between plans."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def estimated_bytes(rows: DataFrame) -> int | None:
+    """The optimizer's size estimate of a plan; runs no job."""
+    try:
+        return int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    except Exception:  # no access to the plan, e.g. through a remote session
+        return None

@@ -16,6 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.functions.sizes import estimated_bytes
 from tideline.model import SERIES
 
 CHUNK = "_chunk"
@@ -34,14 +35,6 @@ OVERSPLIT = 4
 ONE_TASK_BYTES = 64 * 1024 * 1024
 
 
-def estimated_bytes(rows: DataFrame) -> int | None:
-    """The optimizer's size estimate of a plan; runs no job."""
-    try:
-        return int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    except Exception:  # no access to the plan, e.g. through a remote session
-        return None
-
-
 def may_be_hot(samples: DataFrame) -> bool:
     size = estimated_bytes(samples)
     return size is None or size > ONE_TASK_BYTES

@@ -14,17 +14,12 @@ from pyspark.sql import functions as F
 
 from tideline.model import DEFAULT_TOP_N, SERIES, CorrelationRequest, JobConfig, Metric
 from tideline.operators.correlate import coefficients, pair_with_target, top_candidates
-from tideline.operators.neighbours import estimated_bytes
 from tideline.operators.rollup import bucket_grid
 from tideline.plans.measurements import average_series
 from tideline.sources.catalog import DEFAULT_CONTEXT, Catalog, all_metrics
-from tideline.sources.requests import candidates_from_list, without_target
+from tideline.sources.requests import candidates_from_list, prefiltered, without_target
 from tideline.sources.samples import in_range, read_samples
 
-# Candidates estimated up to this size filter the scan by a broadcast.  More are
-# told apart after their samples are reduced, without a join of the samples.
-BROADCAST_KEY_BYTES = 32 * 1024 * 1024
-
 SAMPLES_PATH_CONF = "spark.tideline.samples.path"
 
 
@@ -71,10 +66,7 @@ def score(
         )
 
     keys = candidates.select(*SERIES).distinct()
-    others = without_target(read, target)
-    size = estimated_bytes(keys)
-    if size is not None and size <= BROADCAST_KEY_BYTES:
-        others = others.join(F.broadcast(keys), SERIES, "left_semi")
+    others = prefiltered(without_target(read, target), keys, SERIES)
     own = read.where((F.col("resource") == target.resource) & (F.col("metric") == target.metric))
     own_key = candidates_from_list(samples.sparkSession, [target])
 

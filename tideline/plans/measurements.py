@@ -33,7 +33,8 @@ from tideline.operators.rollup import (
     interval_grid,
     to_labels,
 )
-from tideline.sources.samples import select_samples
+from tideline.sources.requests import prefiltered
+from tideline.sources.samples import in_range
 
 
 # Buckets of one series that may share a task.
@@ -175,5 +176,7 @@ def select_measurements(
     reach = resolution_ms if lookback_ms is None else lookback_ms
     # Adjacency looks at all metrics of a resource, otherwise only sources are read.
     metrics = None if options.get("strict_adjacency") else descriptor.source_names
-    read = select_samples(samples, resources, start - reach, end, metrics=metrics)
-    return process(read, start, end, descriptor, resolution_ms, resources=resources, **options)
+    read = in_range(samples, start - reach, end)
+    if metrics is not None:
+        read = read.where(F.col("metric").isin(metrics))
+    return process(prefiltered(read, resources, ["resource"]), start, end, descriptor, resolution_ms, resources=resources, **options)

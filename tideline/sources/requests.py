@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.functions.sizes import estimated_bytes
 from tideline.model import SERIES, Metric
 
-CANDIDATE_SCHEMA = "resource string, metric string"
+# Keys estimated up to this size filter samples by a broadcast.
+BROADCAST_KEY_BYTES = 32 * 1024 * 1024
 
 
 def literal_rows(spark: SparkSession, rows: Iterable[Mapping[str, Any]], schema: str) -> DataFrame:
@@ -46,3 +48,15 @@ def without_target(candidates: DataFrame, target: Metric) -> DataFrame:
     resource, metric = SERIES
     same = F.col(resource).eqNullSafe(target.resource) & F.col(metric).eqNullSafe(target.metric)
     return candidates.where(~same)
+
+
+def prefiltered(samples: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
+    """The samples of some keys, where these are estimated to fit a broadcast.
+
+    More keys leave the samples as they are: the stages tell requested series
+    apart after reducing their samples, which costs no join of the samples.
+    """
+    size = estimated_bytes(keys)
+    if size is None or size > BROADCAST_KEY_BYTES:
+        return samples
+    return samples.join(F.broadcast(keys.select(*on)), list(on), "left_semi")
