@@ -182,3 +182,12 @@ def test_rate_within_a_second_is_unknown(spark):
 def test_unknown_type_is_refused(spark):
     with pytest.raises(Exception, match="unknown metric type"):
         rate(samples_of(spark, {"c": {0: 1}}, kind="HISTOGRAM")).collect()
+
+
+def test_decimal_counters_are_differenced_exactly(spark):
+    big = 2**63
+    samples = samples_of(spark, {"c": {0: 0, 60: 0}}, kind="COUNTER")
+    exact = F.when(F.col("ts_ms") > 0, F.lit(str(big + 60))).otherwise(F.lit(str(big))).cast("decimal(20,0)")
+    for hot_rows in (None, 1):
+        got = table_of(rate(samples.withColumn("value", exact), hot_rows=hot_rows).collect(), "metric")
+        same(got, {0: {"c": NAN}, 60: {"c": 1.0}})
