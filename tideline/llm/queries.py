@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tideline.llm import bpe, dedup, mixing, urls
-from tideline.llm.common import read_table
+from tideline.llm import bpe, dedup, language, licenses, lm, mixing, urls
+from tideline.llm.common import read_table, training_rows
 
 # The rules and listed names of the url filter.
 URL_RULES = [
@@ -28,11 +27,20 @@ def tokenizer_path(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = lm.Pieces.load(tokenizer_path("piece_bpe_32k.model"))
+    return lm.score_documents(read_table(spark, sf_dir, "documents"), pieces, parts=10, held_out=0)
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.Vocabulary.load(tokenizer_path("byte_bpe_50k.json"))
     return bpe.token_digests(read_table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(read_table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -46,6 +54,13 @@ def op9_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_groups(read_table(spark, sf_dir, "documents"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read_table(spark, sf_dir, "documents")
+    held_out = ~training_rows("doc_id", 4, 2)
+    network = language.learn(documents, parts=4, held_out=2)
+    return language.identify(documents, network).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op2_bpe, op6_mixing, op8_urls, op9_dedup)
+    f.__name__: f for f in (op1_lattice_lm, op2_bpe, op5_licenses, op6_mixing, op8_urls, op9_dedup, op10_language)
 }
