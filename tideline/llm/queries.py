@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import bpe, dedup, language, licenses, lm, mixing, urls
+from tideline.llm import bpe, dedup, fingerprints, language, licenses, lm, mixing, urls
 from tideline.llm.common import read_table, training_rows
 
 # The rules and listed names of the url filter.
@@ -45,6 +45,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compare_with_next(read_table(spark, sf_dir, "documents"))
+
+
 def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     judged = urls.judge(read_table(spark, sf_dir, "pages"), URL_RULES, LISTED_NAMES)
     return judged.select("page_id", "host", "path", "rule", "verdict")
@@ -62,5 +66,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lattice_lm, op2_bpe, op5_licenses, op6_mixing, op8_urls, op9_dedup, op10_language)
+    f.__name__: f for f in (op1_lattice_lm, op2_bpe, op5_licenses, op6_mixing, op7_fingerprints, op8_urls, op9_dedup, op10_language)
 }
