@@ -3,17 +3,33 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tideline.llm import bpe, dedup, mixing
+from tideline.llm import bpe, dedup, jaccard, language, mixing
 from tideline.llm.common import read_table, written
 from tideline.llm.queries import tokenizer_path
 
 
+# A text that no language explains better than this is rejected. Clean texts score far higher.
+LEAST_SCORE = 0.5
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without a letter, and those of no language that the labelled rows have, go."""
+    found = language.identify(docs, language.learn(docs), keep=["doc_id", "text", "lang", "source", "n_chars"])
+    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
+
+
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the longest stays."""
     return dedup.without_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by a Jaccard similarity of 0.8 the one with the smallest id stays."""
+    return jaccard.one_per_component(docs)
+
+
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     return mixing.mixed_documents(docs)
@@ -24,7 +40,13 @@ def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bpe.token_digests(docs, bpe.Vocabulary.load(tokenizer_path("byte_bpe_50k.json")))
 
 
-STAGES = [("exact_dedup", exact_dedup), ("mixing", mixed), ("bpe", encoded)]
+STAGES = [
+    ("language", known_language),
+    ("exact_dedup", exact_dedup),
+    ("near_dedup", near_dedup),
+    ("mixing", mixed),
+    ("bpe", encoded),
+]
 
 # Language identification is a trained network; SQL can't express it.
 ORACLE_SQL = None

@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tideline.llm.common import training_rows, utf8_column
 
@@ -241,19 +242,24 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return train(texts, labels) if texts else None
 
 
-def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Per document: doc_id, lang_pred, score (the probability of lang_pred; 0 for ``und``).
 
+    With ``keep``, those columns of the documents come before lang_pred and score instead of doc_id.
+
     Reads whole texts in place, without an exchange. A null or empty text, or one
     without a letter, is ``und``; so is every text if nothing could be learned.
     Equal texts get equal answers; repeated rows are answered each.
     """
     sent = docs.sparkSession.sparkContext.broadcast(network)
+    kept = docs.select(*keep) if keep else docs.select(F.col(id_col).cast("long").alias("doc_id"))
+    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    read = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string")) if keep else docs.select(docs[id_col].cast("long"), docs[text_col].cast("string"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in batches:
-            raw = utf8_column(batch.column(1))
+            raw = utf8_column(batch.column(batch.num_columns - 1))
             at = 0
             while at < len(raw) or at == 0:
                 end, size = at, 0
@@ -268,11 +274,9 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
                     best = p.argmax(axis=0)
                     for column, k in enumerate(asked):
                         names[k], scores[k] = model.languages[best[column]], float(p[best[column], column])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, end - at), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"]
-                )
+                columns = [batch.column(i).slice(at, end - at) for i in range(batch.num_columns - 1)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
                 at = max(end, 1)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        predict, "doc_id long, lang_pred string, score double"
-    )
+    # The text comes last, under whatever name; columns are taken by place.
+    return read.mapInArrow(predict, schema)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tideline.llm import bpe, dedup, fingerprints, language, licenses, lm, mixing, urls
+from tideline.llm import bpe, dedup, fingerprints, jaccard, language, licenses, lm, mixing, urls
 from tideline.llm.common import read_table, training_rows
 
 # The rules and listed names of the url filter.
@@ -37,6 +37,10 @@ def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(read_table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.shingle_components(read_table(spark, sf_dir, "documents"))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(read_table(spark, sf_dir, "documents"))
 
@@ -66,5 +70,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lattice_lm, op2_bpe, op5_licenses, op6_mixing, op7_fingerprints, op8_urls, op9_dedup, op10_language)
+    f.__name__: f for f in (op1_lattice_lm, op2_bpe, op3_jaccard, op5_licenses, op6_mixing, op7_fingerprints, op8_urls, op9_dedup, op10_language)
 }
