@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from tideline.llm import bpe, dedup, jaccard, language, mixing
 from tideline.llm.common import read_table, written
@@ -16,8 +15,10 @@ LEAST_SCORE = 0.5
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, and those of no language that the labelled rows have, go."""
-    found = language.identify(docs, language.learn(docs), keep=["doc_id", "text", "lang", "source", "n_chars"])
-    return found.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).drop("lang_pred", "score")
+    # Names that no column of the documents has.
+    name, score = (f"{part} of " + " ".join(docs.columns) for part in ("language", "score"))
+    found = language.identify(docs, language.learn(docs), keep=docs.columns, answer=(name, score))
+    return found.where((found[name] != language.UNKNOWN) & (found[score] >= LEAST_SCORE)).drop(name, score)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

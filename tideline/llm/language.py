@@ -242,10 +242,10 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     return train(texts, labels) if texts else None
 
 
-def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, answer: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
     """Per document: doc_id, lang_pred, score (the probability of lang_pred; 0 for ``und``).
 
-    With ``keep``, those columns of the documents come before lang_pred and score instead of doc_id.
+    With ``keep``, those columns of the documents come first instead of doc_id; ``answer`` names the other two.
 
     Reads whole texts in place, without an exchange. A null or empty text, or one
     without a letter, is ``und``; so is every text if nothing could be learned.
@@ -253,8 +253,10 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
     """
     sent = docs.sparkSession.sparkContext.broadcast(network)
     kept = docs.select(*keep) if keep else docs.select(F.col(id_col).cast("long").alias("doc_id"))
-    schema = T.StructType([*kept.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    read = docs.select(*[docs[c] for c in keep], docs[text_col].cast("string")) if keep else docs.select(docs[id_col].cast("long"), docs[text_col].cast("string"))
+    schema = T.StructType([*kept.schema.fields, T.StructField(answer[0], T.StringType()), T.StructField(answer[1], T.DoubleType())])
+    # The text comes last under a name that no other column has; columns are taken by place.
+    text = docs[text_col].cast("string").alias("text of " + " ".join(docs.columns))
+    read = docs.select(*(keep or [docs[id_col].cast("long").alias("doc_id")]), text)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -278,5 +280,4 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
                 at = max(end, 1)
 
-    # The text comes last, under whatever name; columns are taken by place.
     return read.mapInArrow(predict, schema)

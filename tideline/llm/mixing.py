@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import WORD_PATTERN
+from tideline.llm.common import WORD_PATTERN, written
 
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
@@ -23,9 +23,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, total_share: float = TOTAL
     """Per source its size, target and the offset of its sample; ``sizes`` has source, size and n_docs.
 
     The share without a limit is a level times the source's weight. Sources below
-    that level stop at their limit; sorted by limit over weight, the level is the
-    first one that exceeds none of the sources left. One row per source is
-    windowed, never documents.
+    that level stop at their limit. Sorted by limit over weight, the level is the
+    first one that exceeds none of the sources left; from there on levels fall, so
+    it is the largest of those. One row per source is windowed, never documents.
     """
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
@@ -41,7 +41,7 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, total_share: float = TOTAL
         .withColumn("cap_before", F.coalesce(F.sum("cap").over(filled), F.lit(0.0)))
         .withColumn("weight_before", F.coalesce(F.sum("weight").over(filled), F.lit(0.0)))
         .withColumn("level", (F.col("wanted") - F.col("cap_before")) / (F.col("weights") - F.col("weight_before")))
-        .withColumn("level", F.min(F.when(F.col("level") <= F.col("limit_ratio"), F.col("level"))).over(everything))
+        .withColumn("level", F.max(F.when(F.col("level") <= F.col("limit_ratio"), F.col("level"))).over(everything))
     )
     target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least("cap", F.col("level") * F.col("weight")))
     digest = F.md5(_source_key(F.col("source")).cast("binary"))
@@ -77,12 +77,13 @@ def mix(
     id are ranked one after the other; an empty table gives no rows. The offset
     comes from the source's name, so reruns agree.
     """
-    sized = docs.select(
+    # A few numbers per document, written once, so that texts are read once.
+    sized = written(docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
         F.coalesce(F.pmod(F.col(id_col).cast("long"), F.lit(STRANDS)), F.lit(-1)).alias("strand"),
-    )
+    ))
     counts = sized.groupBy("source", "size", "strand").agg(F.count(F.lit(1)).alias("n_docs"))
     by_size = counts.groupBy("source", "size").agg(F.sum("n_docs").alias("n_docs"))
     before_size = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)

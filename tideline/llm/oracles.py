@@ -17,7 +17,7 @@ WITH sized AS (
   FROM sources
   WINDOW before AS (ORDER BY 2.0::DOUBLE * source_size / weight, encode(source) NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
 ), level AS (
-  SELECT min((wanted - cap_before) / (weights - weight_before)) AS level FROM filled
+  SELECT max((wanted - cap_before) / (weights - weight_before)) AS level FROM filled
   WHERE (wanted - cap_before) / (weights - weight_before) <= cap / weight
 ), targets AS (
   SELECT source, source_size, coalesce(least(cap, level * weight), cap) AS target FROM filled, level
