@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tideline.llm import bpe, dedup, fingerprints, jaccard, language, licenses, lm, mixing, urls
+from tideline.llm import bpe, dedup, fingerprints, jaccard, language, licenses, lm, mixing, pages, urls
 from tideline.llm.common import read_table, training_rows
 
 # The rules and listed names of the url filter.
@@ -41,6 +42,10 @@ def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.shingle_components(read_table(spark, sf_dir, "documents"))
 
 
+def op4_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(read_table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_report(read_table(spark, sf_dir, "documents"))
 
@@ -70,5 +75,5 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lattice_lm, op2_bpe, op3_jaccard, op5_licenses, op6_mixing, op7_fingerprints, op8_urls, op9_dedup, op10_language)
+    f.__name__: f for f in (op1_lattice_lm, op2_bpe, op3_jaccard, op4_pages, op5_licenses, op6_mixing, op7_fingerprints, op8_urls, op9_dedup, op10_language)
 }
