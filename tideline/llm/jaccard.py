@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import mix64, utf8_column, words_of, written
+from tideline.llm.common import fresh, mix64, utf8_column, words_of, written
 from tideline.llm.components import components
 
 WORDS = 5
@@ -233,7 +233,7 @@ class Region:
         own = self.dense[self.starts[pivot] : self.starts[pivot] + self.sizes[pivot]]
         self.mark[own] = 1
         if len(among) == len(self.sets):
-            common = np.add.reduceat(self.mark[self.dense], self.starts)
+            common = np.add.reduceat(self.mark[self.dense], self.starts)[among]
         else:
             sizes = self.sizes[among]
             ends = np.cumsum(sizes)
@@ -502,5 +502,6 @@ def _attach(documents: DataFrame, named: DataFrame) -> DataFrame:
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
     """The documents without near duplicates: of each component the one with the smallest id stays, with all its columns."""
     found = shingle_components(docs, id_col, text_col, **parameters)
-    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(dropped, F.col(id_col).eqNullSafe(F.col("dropped_id")), "left_anti")
+    dropped_id = fresh("dropped_id", docs.columns)
+    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(dropped_id)).distinct()
+    return docs.join(dropped, F.col(id_col).cast("long").eqNullSafe(F.col(dropped_id)), "left_anti")
