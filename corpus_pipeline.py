@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tideline.llm import bpe, dedup, jaccard, language, mixing
-from tideline.llm.common import read_table, written
+from tideline.llm.common import fresh, read_table, written
 from tideline.llm.queries import tokenizer_path
 
 
@@ -15,8 +15,7 @@ LEAST_SCORE = 0.5
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without a letter, and those of no language that the labelled rows have, go."""
-    # Names that no column of the documents has.
-    name, score = (f"{part} of " + " ".join(docs.columns) for part in ("language", "score"))
+    name, score = fresh("language", docs.columns), fresh("score", docs.columns)
     found = language.identify(docs, language.learn(docs), keep=docs.columns, answer=(name, score))
     return found.where((found[name] != language.UNKNOWN) & (found[score] >= LEAST_SCORE)).drop(name, score)
 

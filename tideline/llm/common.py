@@ -42,6 +42,14 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name that none of ``columns`` has, whatever their case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def words_of(data: bytes) -> list[bytes]:
     """The words of UTF-8 text: ``bytes.split`` cuts at exactly the contract's white space."""
     return data.translate(LOWER_AZ).split()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import WHITE_CHARS, written
+from tideline.llm.common import WHITE_CHARS, fresh, written
 
 SALTS = 16
 # A group above 1/HOT_SHARE of all rows is hot; there are at most HOT_SHARE of them.
@@ -86,5 +86,6 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that stay, with all their columns; rows repeated under a kept id all stay."""
-    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("kept_doc_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("kept_doc_id")), "left_semi")
+    kept_id = fresh("kept_doc_id", docs.columns)
+    kept = exact_groups(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias(kept_id)).distinct()
+    return docs.join(kept, F.col(id_col).cast("long").eqNullSafe(F.col(kept_id)), "left_semi")

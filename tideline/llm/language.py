@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.common import training_rows, utf8_column
+from tideline.llm.common import fresh, training_rows, utf8_column
 
 UNKNOWN = "und"
 HIDDEN = 8
@@ -227,14 +227,17 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     labelled = docs.where(training_rows(id_col, parts, held_out) & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(
         F.col(lang_col).cast("string").alias("lang"), F.xxhash64(F.col(id_col).cast("long"), F.lit(1)).alias("draw"), F.col(text_col).alias("text")
     )
-    languages = [r["lang"] for r in labelled.select("lang").distinct().collect()]
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     length = F.length("text")
     starts = [F.floor(length * i / EXCERPTS_PER_TEXT).cast("int") + 1 for i in range(EXCERPTS_PER_TEXT)]
     excerpts = F.array(*[F.substring(F.col("text"), start, F.lit(EXCERPT_BYTES)) for start in starts])
     small = labelled.select("lang", "draw", excerpts.alias("excerpts"))
     texts, labels = [], []
-    for language in sorted(languages):
-        for row in small.where(F.col("lang") == language).orderBy("draw", "excerpts").limit(TEXTS_PER_LANGUAGE).collect():
+    for language in sorted(sizes):
+        # Of large languages a few times as many rows as are wanted are drawn by the hash first, so that no task sends many.
+        share = min(1.0, 4 * TEXTS_PER_LANGUAGE / sizes[language])
+        drawn = small.where((F.col("lang") == language) & (F.pmod("draw", F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))))
+        for row in drawn.orderBy("draw", "excerpts").limit(TEXTS_PER_LANGUAGE).collect():
             for excerpt in row["excerpts"]:
                 if excerpt:
                     texts.append(excerpt.encode("utf-8", "replace"))
@@ -255,7 +258,7 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
     kept = docs.select(*keep) if keep else docs.select(F.col(id_col).cast("long").alias("doc_id"))
     schema = T.StructType([*kept.schema.fields, T.StructField(answer[0], T.StringType()), T.StructField(answer[1], T.DoubleType())])
     # The text comes last under a name that no other column has; columns are taken by place.
-    text = docs[text_col].cast("string").alias("text of " + " ".join(docs.columns))
+    text = docs[text_col].cast("string").alias(fresh("text", docs.columns))
     read = docs.select(*(keep or [docs[id_col].cast("long").alias("doc_id")]), text)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

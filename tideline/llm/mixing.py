@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import WORD_PATTERN, written
+from tideline.llm.common import WORD_PATTERN, fresh, written
 
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
@@ -78,12 +78,13 @@ def mix(
     comes from the source's name, so reruns agree.
     """
     # A few numbers per document, written once, so that texts are read once.
-    sized = written(docs.select(
+    sized = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
         F.coalesce(F.pmod(F.col(id_col).cast("long"), F.lit(STRANDS)), F.lit(-1)).alias("strand"),
-    ))
+    )
+    sized = written(sized)
     counts = sized.groupBy("source", "size", "strand").agg(F.count(F.lit(1)).alias("n_docs"))
     by_size = counts.groupBy("source", "size").agg(F.sum("n_docs").alias("n_docs"))
     before_size = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
@@ -130,11 +131,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **columns) -> DataF
 
     Rows repeated under one id share the copies of the first of them.
     """
-    taken = (
-        mix(docs, id_col, **columns)
-        .groupBy(F.col("doc_id").alias("mix_doc_id"))
-        .agg(F.max("copies").alias("mix_copies"))
-        .where(F.col("mix_copies") > 0)
-    )
-    repeated = docs.join(taken, F.col(id_col).cast("long").eqNullSafe(F.col("mix_doc_id")))
-    return repeated.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))).alias("mix_copy")).drop("mix_copy")
+    mixed_id, copies, copy = (fresh(name, docs.columns) for name in ("mixed_doc_id", "mixed_copies", "mixed_copy"))
+    taken = mix(docs, id_col, **columns).groupBy(F.col("doc_id").alias(mixed_id)).agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
+    repeated = docs.join(taken, F.col(id_col).cast("long").eqNullSafe(F.col(mixed_id)))
+    return repeated.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copy)).drop(copy)

@@ -46,7 +46,7 @@ WORD = re.compile(r"[a-z]+")
 # A class belongs to the template if it has so many tokens, and so many pages, among them this share of its host's.
 CLASS_TOKENS = 2
 CLASS_PAGES = 3
-CLASS_SHARE = 0.95
+CLASS_SHARE = 0.8
 # The slot of the article holds at least this share of the host's varying text.
 SLOT_SHARE = 0.8
 # Templates of this many tokens in all are sent to the tasks; larger ones are joined by host.
