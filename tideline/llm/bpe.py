@@ -18,12 +18,12 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import utf8_column
+from tideline.llm.common import released, utf8_column
 
 # Fixed value: the pattern by which byte-level BPE cuts text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 NEVER = 1 << 62
 
 
@@ -183,7 +183,7 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc
                 decoded = [encoder.decode(i) for i in ids]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=["doc_id", "ids", "text"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(encode, "doc_id long, ids binary, text string")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(released(encode), "doc_id long, ids binary, text string")
 
 
 def token_digests(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -50,6 +51,25 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
+def released(function):
+    """For mapInArrow: gives memory back when a task ends.
+
+    A worker serves one task after another, of several operators, and what the
+    allocators keep of each would add up.
+    """
+
+    def run(batches):
+        try:
+            yield from function(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def words_of(data: bytes) -> list[bytes]:
     """The words of UTF-8 text: ``bytes.split`` cuts at exactly the contract's white space."""
     return data.translate(LOWER_AZ).split()

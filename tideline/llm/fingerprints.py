@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import mix64, utf8_column
+from tideline.llm.common import mix64, released, utf8_column
 
 # Phrases of this level, some 14 characters long on average, are what fingerprints are made of.
 LEVEL = 3
@@ -179,7 +179,7 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                     waiting, closed = waiting[-1:], guest
                     size = len(waiting[0][1])
 
-    return in_order(docs, id_col, text_col).mapInArrow(compare, SCHEMA)
+    return in_order(docs, id_col, text_col).mapInArrow(released(compare), SCHEMA)
 
 
 def _compared(rows: list[tuple[int | None, str]]) -> pa.RecordBatch:

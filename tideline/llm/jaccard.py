@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import fresh, mix64, utf8_column, words_of, written
+from tideline.llm.common import fresh, mix64, released, utf8_column, words_of, written
 from tideline.llm.components import components
 
 WORDS = 5
@@ -37,7 +37,7 @@ HOT_SHINGLES = 100_000
 REGION_SHINGLES = 4_000_000
 PIVOTS = 16
 SALTS = 32
-WORD_CACHE = 600_000
+WORD_CACHE = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -46,7 +46,7 @@ class Shingler:
 
     def __init__(self, words: int):
         self.words = words
-        self.known: dict[bytes, int] = {}
+        self.known = _WordHashes()
         with np.errstate(over="ignore"):
             self.powers = np.cumprod(np.full(words, _BASE, np.uint64))
 
@@ -54,10 +54,7 @@ class Shingler:
         tokens = words_of(text)
         if len(self.known) > WORD_CACHE:
             self.known.clear()
-        known = self.known
-        for token in set(tokens).difference(known):
-            known[token] = xxhash.xxh3_64_intdigest(token)
-        hashes = np.fromiter(map(known.__getitem__, tokens), np.uint64, len(tokens))
+        hashes = np.fromiter(map(self.known.__getitem__, tokens), np.uint64, len(tokens))
         if not len(hashes):
             return hashes
         with np.errstate(over="ignore"):
@@ -67,7 +64,22 @@ class Shingler:
             joint = np.zeros(n, np.uint64)
             for i in range(self.words):
                 joint += hashes[i : i + n] * self.powers[i]
-        return np.unique(mix64(joint))
+        return _distinct(mix64(joint))
+
+
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = found = xxhash.xxh3_64_intdigest(word)
+        return found
+
+
+def _distinct(values: np.ndarray) -> np.ndarray:
+    """Sorts ``values`` in place; faster here than hashing them."""
+    values.sort()
+    new = np.empty(len(values), bool)
+    new[0] = True
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    return values[new]
 
 
 def set_id(shingles: np.ndarray) -> int:
@@ -105,7 +117,7 @@ def _describe(docs: DataFrame, words: int) -> DataFrame:
         hot = counts[counts[:, 1] >= max(3, n_docs * HOT_SHARE)]
         yield _typed(1, hot[:, 0].view(np.int64), [None] * len(hot), hot[:, 1].astype(np.int64))
 
-    return docs.mapInArrow(describe, "kind int, id long, set long, n long")
+    return docs.mapInArrow(released(describe), "kind int, id long, set long, n long")
 
 
 def _typed(kind: int, ids, sets, sizes) -> pa.RecordBatch:
@@ -180,7 +192,7 @@ def _prefixes(docs: DataFrame, words: int, threshold: Fraction, hot: np.ndarray)
             if keys:
                 yield block()
 
-    return docs.mapInArrow(cut, "shingle long, set long, least int, hot int")
+    return docs.mapInArrow(released(cut), "shingle long, set long, least int, hot int")
 
 
 def _candidate_edges(prefixes: DataFrame, hot_counts: list[int]) -> DataFrame:
@@ -309,7 +321,7 @@ def _join_regions(members: DataFrame, threshold: Fraction) -> DataFrame:
         if found:
             yield _edges(found)
 
-    return members.repartition("region").sortWithinPartitions("region").mapInArrow(join, "a long, b long")
+    return members.repartition("region").sortWithinPartitions("region").mapInArrow(released(join), "a long, b long")
 
 
 def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -351,7 +363,7 @@ def _cut_by_pivots(members: DataFrame, threshold: Fraction, round_: int, limit:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), near], names=["region", "set", "n", "settled", "shingles", "near"])
 
     near_schema = MEMBER + ", near array<struct<pivot: long, linked: boolean, distance: double>>"
-    measured = written(sent.mapInArrow(measure, near_schema))
+    measured = written(sent.mapInArrow(released(measure), near_schema))
     flat = measured.select("region", "set", "settled", F.explode("near").alias("p")).select("region", "set", "settled", "p.*")
     links = flat.where("linked AND set <> pivot").select(F.col("pivot").alias("a"), F.col("set").alias("b"))
     # Where someone settled earlier is near, the pivot's own stay open to be compared with them.
@@ -447,9 +459,9 @@ def shingle_components(
                     names=["region", "set", "n", "settled", "shingles"],
                 )
 
-    members = texts.mapInArrow(shingle, MEMBER)
+    members = texts.mapInArrow(released(shingle), MEMBER)
     if nameless is not None:
-        found = nameless.mapInArrow(shingle, MEMBER).drop("region").join(orphans, "set").select("region", "set", "n", "settled", "shingles")
+        found = nameless.mapInArrow(released(shingle), MEMBER).drop("region").join(orphans, "set").select("region", "set", "n", "settled", "shingles")
         members = members.unionByName(found)
     members = members.where("n > 0")
     links = _all_links(members, sets.join(regions, "set").groupBy("region").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("sets")), threshold, region_shingles)

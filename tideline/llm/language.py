@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.common import fresh, training_rows, utf8_column
+from tideline.llm.common import fresh, released, training_rows, utf8_column
 
 UNKNOWN = "und"
 HIDDEN = 8
 # A recurrence starts anew at every window, so that all windows of many texts advance side by side.
 WINDOW = 256
-LANES = 4096
+LANES = 2048
 # The labelled sample that training sees: at most so many texts of a language, and so many excerpts of each.
 TEXTS_PER_LANGUAGE = 400
 EXCERPTS_PER_TEXT = 4
@@ -283,4 +283,4 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
                 at = max(end, 1)
 
-    return read.mapInArrow(predict, schema)
+    return read.mapInArrow(released(predict), schema)

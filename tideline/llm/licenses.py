@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import utf8_column
+from tideline.llm.common import released, utf8_column
 
 # Letters and digits of ASCII, A-Z lower-cased, and all other characters are parts of words; the rest is space.
 WORD_BYTES = bytes(
@@ -158,7 +158,7 @@ def scan(
                 names=["doc_id", "n_words", "places", "notices"],
             )
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(find, SCHEMA)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(released(find), SCHEMA)
 
 
 def license_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **lists) -> DataFrame:

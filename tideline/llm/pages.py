@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import utf8_column, written
+from tideline.llm.common import released, utf8_column, written
 from tideline.llm.urls import host_of
 
 # Elements that stand inside a line, elements without content, and elements without readable text.
@@ -156,7 +156,7 @@ def _occurrences(pages: DataFrame) -> DataFrame:
 
     names = ("pages", "occurrences", "v1", "v2", "place", "chars")
     schema = "host string, kind string, path string, token long, " + ", ".join(f"{n} long" for n in names)
-    return pages.mapInArrow(count, schema).groupBy("host", "kind", "path", "token").agg(*[F.sum(n).alias(n) for n in names])
+    return pages.mapInArrow(released(count), schema).groupBy("host", "kind", "path", "token").agg(*[F.sum(n).alias(n) for n in names])
 
 
 def _stats(held: dict) -> pa.RecordBatch:
@@ -273,7 +273,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 texts = [main_text(raw.decode("utf-8", "replace"), *known.get(host, none)) for host, raw in zip(batch.column(2).to_pylist(), utf8_column(batch.column(3)))]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-        return rows.mapInArrow(read, "page_id long, url string, text string")
+        return rows.mapInArrow(released(read), "page_id long, url string, text string")
 
     salts = F.ceil(F.col("pages") / PAGES_PER_SALT).cast("int")
     spread = templates.select("host", salts.alias("salts"), "root", "tokens", F.explode(F.sequence(F.lit(0), salts - 1)).alias("salt"))
@@ -289,4 +289,4 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             ]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return joined.mapInArrow(read_joined, "page_id long, url string, text string")
+    return joined.mapInArrow(released(read_joined), "page_id long, url string, text string")
