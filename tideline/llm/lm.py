@@ -25,14 +25,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import training_rows, utf8_column, words_of, written
+from tideline.llm.common import released, training_rows, utf8_column, words_of, written
 
 # Words above this many bytes (links, junk) are summed one by one, others side by side.
 LONG_WORD = 48
 LANES = 20_000
 ROUNDS = 2
 # A word with at least this share of all tokens is frequent; there can't be more than its inverse of them.
-FREQUENT_SHARE = 1 / (1 << 17)
+FREQUENT_SHARE = 1 / (1 << 18)
 COUNTER_WORDS = 300_000
 BLOCK_DOCS = 4096
 BLOCK_WORDS = 300_000
@@ -181,13 +181,17 @@ class Lattice:
                 continue
             arcs: list = []
             alpha = self.forward([words[i] for i in indices], arcs)
+            all_ids, all_units = [np.zeros(0, np.int64)], [np.zeros(0)]
             beta = np.full_like(alpha, -np.inf)
             beta[-1] = 0.0
             for rows, start, end, ids in reversed(sorted(arcs, key=lambda a: a[2])):
                 log_p = self.pieces.log_p[ids]
                 share = np.exp(alpha[start, rows] + log_p + beta[end, rows] - alpha[-1, rows])
-                np.add.at(units, ids, np.rint(share * counts[indices][rows] * UNIT).astype(np.int64))
+                all_ids.append(ids)
+                all_units.append(np.rint(share * counts[indices[rows]] * UNIT))
                 beta[start, rows] = np.logaddexp(beta[start, rows], beta[end, rows] + log_p)
+            # Whole numbers below 2^53 add up exactly in any order.
+            units += np.bincount(np.concatenate(all_ids), np.concatenate(all_units), len(units)).astype(np.int64)
         return units
 
     def _expected_long(self, word: bytes, count: int, units: np.ndarray) -> None:
@@ -212,6 +216,18 @@ def _by_size(words: list[bytes]) -> Iterator[np.ndarray]:
                 yield group[at : at + LANES]
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], rows: int = 8 * LANES) -> Iterator[pa.RecordBatch]:
+    """Larger batches, so that many words of one size stand side by side."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(map(len, held)) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """Every word of all documents with its count in training rows (0: in others only); the empty word counts ends.
 
@@ -234,7 +250,7 @@ def count_words(docs: DataFrame) -> DataFrame:
                     seen.clear()
         yield from _count_batches(seen)
 
-    partial = docs.select("text", "trains").mapInArrow(count, "word binary, c long")
+    partial = docs.select("text", "trains").mapInArrow(released(count), "word binary, c long")
     return partial.groupBy("word").agg(F.sum("c").alias("c"))
 
 
@@ -256,7 +272,7 @@ def fit(words: DataFrame, pieces: Pieces, ends: int, rounds: int = ROUNDS) -> Pi
 
         def expect(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             lattice, units = Lattice(sent.value), None
-            for batch in batches:
+            for batch in _gathered(batches):
                 words = batch.column(0).to_pylist()
                 found = lattice.expected(words, np.ones(len(words), np.int64))
                 units = found if units is None else units + found
@@ -265,7 +281,7 @@ def fit(words: DataFrame, pieces: Pieces, ends: int, rounds: int = ROUNDS) -> Pi
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(units[ids], pa.int64())], names=["piece", "units"])
 
         trained = words.where((F.col("c") > 0) & (F.octet_length("word") > 0)).select("word")
-        counts = trained.mapInArrow(expect, "piece long, units long").groupBy("piece").agg(F.sum("units").alias("units"))
+        counts = trained.mapInArrow(released(expect), "piece long, units long").groupBy("piece").agg(F.sum("units").alias("units"))
         pieces = pieces.fitted({r["piece"]: r["units"] for r in counts.collect()}, ends)
     return pieces
 
@@ -281,7 +297,7 @@ def score_words(words: DataFrame, pieces: Pieces, train_tokens: int, distinct: i
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = sent.value
         lattice, shift = Lattice(pieces), pieces.spelling_shift() + math.log(1 - seen_share)
-        for batch in batches:
+        for batch in _gathered(batches):
             words, counts = batch.column(0).to_pylist(), batch.column(1).to_numpy()
             spelled = np.exp(lattice.log_marginals(words) + shift) if words else np.zeros(0)
             tiny = spelled < 1e-290
@@ -294,7 +310,7 @@ def score_words(words: DataFrame, pieces: Pieces, train_tokens: int, distinct: i
                     lp[i] = end_score(pieces, seen_share, int(counts[i]), train_tokens)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(lp)], names=["word", "c", "lp"])
 
-    return words.select("word", "c").mapInArrow(score, "word binary, c long, lp double")
+    return words.select("word", "c").mapInArrow(released(score), "word binary, c long, lp double")
 
 
 def end_score(pieces: Pieces, seen_share: float, ends: int, train_tokens: int) -> float:
@@ -359,7 +375,7 @@ def score_documents(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", tex
         if header:
             yield from _block_batches(header, rest)
 
-    posted = rows.mapInArrow(post, "block long, word binary, places binary")
+    posted = rows.mapInArrow(released(post), "block long, word binary, places binary")
     is_header = F.octet_length("word") == 0
     heads = posted.where(is_header).select("block", F.lit(0).alias("part"), "places", F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("base"), F.lit(0.0).alias("lp"))
     tails = posted.where(~is_header).join(scored, "word").select("block", F.lit(1).alias("part"), "places", "c", "base", "lp")
@@ -395,7 +411,7 @@ def score_documents(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", tex
 
     together = heads.unionByName(tails).repartition("block").sortWithinPartitions("block", "part")
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return together.mapInArrow(add_up, schema)
+    return together.mapInArrow(released(add_up), schema)
 
 
 def _block_batches(header: list[tuple], rest: dict[bytes, list[int]]) -> Iterator[pa.RecordBatch]:
