@@ -337,6 +337,12 @@ def custom_agg_query() -> str:
     return listing(measured(EVENTS, "ev", labels, q.SINCE, t.EVENTS_END, t.EVENT_STEP, t.EVENT_RESOLUTION))
 
 
+def custom_agg_ordered_query() -> str:
+    last = "arg_max(value, t) FILTER (NOT isnan(value))"
+    labels = [("last", "click", t.EVENT_HEARTBEAT, last, 0.5)]
+    return listing(measured(EVENTS, "ev", labels, q.SINCE, t.EVENTS_END, t.EVENT_STEP, t.EVENT_RESOLUTION))
+
+
 def process_counters_query() -> str:
     ctes = f"{EVENTS}, {rates('ev', kinds(t.EVENT_KINDS))}"
     names = ["click", "error", "purchase"]
@@ -365,7 +371,7 @@ def job_query() -> str:
 
 
 def gapfill_query() -> str:
-    grid = TimeGrid.covering(q.SINCE, q.SINCE + days(3), hours(3))
+    grid = TimeGrid.covering(q.SINCE, t.EVENTS_END, hours(3))
     keys = """SELECT r.resource, h.metric, h.hb
   FROM (SELECT 'u' || c_custkey AS resource FROM customer UNION SELECT resource FROM ev) r, pd_hb h"""
     return primary_listing(EVENTS, "ev", [("click", hours(6)), ("error", hours(6))], grid, keys)
@@ -423,6 +429,17 @@ FROM one WHERE i = 1 GROUP BY resource, ts_ms""",
     "upsert_dedup": f"""WITH {LINES},
 one AS (SELECT *, row_number() OVER (PARTITION BY resource, ts_ms, metric ORDER BY seq DESC, value DESC) AS i FROM li)
 SELECT resource, ts_ms, metric, 'GAUGE' AS metric_type, value, seq FROM one WHERE i = 1""",
+    "upsert_table": f"""WITH {LINES},
+one AS (SELECT *, row_number() OVER (PARTITION BY resource, ts_ms, metric ORDER BY seq DESC, value DESC) AS i FROM li)
+SELECT resource, ts_ms, metric, 'GAUGE' AS metric_type, value, seq, {floor_("ts_ms", SHARD_MS)} // 1000 AS shard FROM one WHERE i = 1""",
+    "samples_ordered": f"""WITH {EVENTS}
+SELECT resource, metric, ts_ms, value, row_number() OVER (PARTITION BY resource, metric ORDER BY ts_ms) AS position FROM ev""",
+    "measurements_ordered": f"""WITH {event_measured("click", "view")}
+SELECT resource, b AS ts_ms, label, {out('value')} AS value,
+  row_number() OVER (PARTITION BY resource, label ORDER BY b) AS position FROM ro""",
+    "empty_catalog": f"""WITH {EVENTS} SELECT resource, metric, 0.0::DOUBLE AS coefficient FROM ev WHERE false""",
+    "target_lookup": f"""WITH RECURSIVE {TREE}
+SELECT resource, metric FROM flat WHERE id = 'supplier/3' AND metric = 'R' ORDER BY path LIMIT 1""",
     "index_terms": f"""WITH {EVENTS}
 SELECT DISTINCT 'default' AS context, 'k' AS field, {K_OF} AS value, resource FROM ev""",
     "index_attributes": f"""WITH {EVENTS},
@@ -447,6 +464,13 @@ WHERE NOT (c.r = 'Brand#17' AND c.m = 'ECONOMY')""",
     "rate_reset": rate_listing(
         EVENTS, kinds(t.EVENT_KINDS), "CASE WHEN d < 0 AND kind = 'COUNTER' THEN d + 4294967296.0 ELSE d END", digits=3
     ),
+    "rate_wrap64": f"""WITH {EVENTS},
+wide AS (SELECT resource, ts_ms, metric, (floor(value * 100)::HUGEINT * {q.WRAP_FACTOR}) % {2**64} AS value FROM ev),
+l AS (SELECT *, lag(ts_ms) OVER s AS p_ts, lag(value) OVER s AS p_value FROM wide WINDOW s AS (PARTITION BY resource, metric ORDER BY ts_ms)),
+d AS (SELECT *, value - p_value AS d, ts_ms // 1000 - p_ts // 1000 AS secs FROM l)
+SELECT resource, metric, ts_ms, 'GAUGE' AS metric_type,
+  CASE WHEN p_ts IS NULL OR secs = 0 THEN NULL
+       ELSE floor((CASE WHEN d < 0 THEN d + {2**64} ELSE d END)::DOUBLE / secs + 0.5) END AS value FROM d""",
     "rate_gauge": rate_listing(EVENTS, "'GAUGE'", where="metric IN ('click', 'view')"),
     "rate_strict": strict(EVENTS.replace("ev AS", "src AS", 1), kinds(t.EVENT_KINDS), "'click', 'purchase'"),
     "rate_strict_dense": strict(DAILY.replace("daily AS", "src AS", 1), "'GAUGE'", "'A', 'N', 'R'"),
@@ -484,6 +508,7 @@ FROM per_t WHERE {ceil_("t", t.EVENT_RESOLUTION)} >= {floor_(q.SINCE, t.EVENT_RE
 SELECT resource, b AS ts_ms, CASE WHEN isnan(value) THEN 0 ELSE {rounded('value')} END AS value
 FROM ro WHERE label = 'view'""",
     "custom_agg": custom_agg_query(),
+    "custom_agg_ordered": custom_agg_ordered_query(),
     "custom_scalar": unpivot(
         wide(event_measured("click", "view"), ["click", "view"]),
         {

@@ -6,8 +6,10 @@ Results state unknown values as NULL and round computed numbers, as the SQL does
 from __future__ import annotations
 
 import statistics
+import tempfile
+import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks import tables as t
@@ -26,7 +28,7 @@ from tideline.functions.values import (
 from tideline.model import CorrelationRequest, Metric, ResultDescriptor
 from tideline.operators.compute import compute, export, extract
 from tideline.operators.consolidate import primary_data
-from tideline.operators.hierarchy import display_ids, flatten_tree
+from tideline.operators.hierarchy import display_ids, flatten_tree, target_metric
 from tideline.operators.rate import rate
 from tideline.operators.rollup import roll_up
 from tideline.plans.correlation import answer, correlate, correlate_catalog, run_job, score
@@ -37,8 +39,11 @@ from tideline.sources.requests import candidates_from_json, without_target
 from tideline.sources.samples import (
     in_range,
     latest_samples,
+    read_samples,
     select_samples,
     timestamp_rows,
+    upsert_samples,
+    write_samples,
 )
 
 DIGITS = 6
@@ -90,15 +95,17 @@ def scan_range(spark, sf):
 
 
 def default_range(spark, sf):
-    found = in_range(t.event_samples(spark, sf), NOW - days(1), NOW)
-    listed = select_samples(t.event_samples(spark, sf), event_resources(spark, sf), now=NOW)
+    day = t.event_samples(spark, sf, start_ms=NOW - days(1), end_ms=NOW)
+    found = in_range(day, NOW - days(1), NOW)
+    listed = select_samples(day, event_resources(spark, sf), now=NOW)
     counts = listed.groupBy("metric").agg(F.count(F.lit(1)).alias("n"), F.min("ts_ms").alias("first_ms"))
     explicit = found.groupBy("metric").agg(F.max("ts_ms").alias("last_ms"))
     return counts.join(explicit, "metric")
 
 
 def shard_prune(spark, sf):
-    found = in_range(t.event_samples(spark, sf), SCAN_START, SCAN_END)
+    stored = _written_table(spark, sf, t.event_samples(spark, sf))
+    found = in_range(stored, SCAN_START, SCAN_END)
     return found.groupBy("shard").agg(
         F.count(F.lit(1)).alias("n"), F.min("ts_ms").alias("first_ms"), F.max("ts_ms").alias("last_ms")
     )
@@ -109,6 +116,48 @@ def timestamp_rows_wide(spark, sf):
     return timestamp_rows(samples, ["A", "N", "R"], "seq")
 
 
+def _written_table(spark, sf, samples: DataFrame, later: DataFrame | None = None) -> DataFrame:
+    """Samples as stored and read back, in a table of its own in the folder for intermediate data."""
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="samples-")
+    path = f"{shared}/samples-{uuid.uuid4().hex}"
+    write_samples(samples, path)
+    if later is not None:
+        upsert_samples(spark, path, later)
+    return read_samples(spark, path)
+
+
+def upsert_table(spark, sf):
+    samples = t.line_samples(spark, sf).withColumn("attributes", F.lit(None).cast("map<string,string>"))
+    second = F.pmod("seq", F.lit(20)) >= 10
+    stored = _written_table(spark, sf, samples.where(~second), samples.where(second))
+    return stored.drop("attributes")
+
+
+def samples_ordered(spark, sf):
+    return _positions(results.ordered(t.event_samples(spark, sf).select("resource", "metric", "ts_ms", "value")), "metric")
+
+
+def measurements_ordered(spark, sf):
+    d = event_descriptor("click", "view").export("click", "view")
+    measured = process(t.event_samples(spark, sf), SINCE, t.EVENTS_END, d, t.EVENT_RESOLUTION)
+    return tidy(_positions(results.ordered(measured), "label"))
+
+
+def _positions(rows: DataFrame, name: str) -> DataFrame:
+    """The place of each row in its series, by the order in which rows come out."""
+    in_series = Window.partitionBy("resource", name).orderBy("_out")
+    return rows.withColumn("_out", F.monotonically_increasing_id()).withColumn("position", F.row_number().over(in_series).cast("bigint")).drop("_out")
+
+
+def empty_catalog(spark, sf):
+    samples = t.event_samples(spark, sf)
+    return correlate(samples, _event_request(), cat.no_metrics(spark), "zero", drop_nan=True)
+
+
+def target_lookup(spark, sf):
+    return target_metric(flatten_tree(t.tree(spark, sf)), "supplier/3", "R")
+
+
 def upsert_dedup(spark, sf):
     return latest_samples(t.line_samples(spark, sf))
 
@@ -185,6 +234,17 @@ def rate_reset(spark, sf):
     return _rated(rate(t.event_samples(spark, sf, t.EVENT_KINDS), counter_reset="wrap32"), 3)
 
 
+# Spreads values over all of 64 bits, so that differences wrap.
+WRAP_FACTOR = 10**17
+
+
+def rate_wrap64(spark, sf):
+    value = F.floor(F.col("value") * 100).cast("decimal(20,0)") * F.lit(WRAP_FACTOR).cast("decimal(18,0)")
+    wrapped = F.pmod(value, F.lit(str(2**64)).cast("decimal(20,0)")).cast("decimal(20,0)")
+    counters = t.event_samples(spark, sf).withColumns({"value": wrapped, "metric_type": F.lit("COUNTER")})
+    return _rated(rate(counters, counter_reset="wrap64"), 0)
+
+
 def rate_gauge(spark, sf):
     return _rated(rate(t.event_samples(spark, sf), sources=["click", "view"]))
 
@@ -223,7 +283,7 @@ def primary_gapfill(spark, sf):
     d = ResultDescriptor(hours(3)).datasource("click").datasource("error")
     keys = t.table(spark, sf, "customer").select(F.concat(F.lit("u"), "c_custkey").alias("resource"))
     both = keys.unionByName(event_resources(spark, sf)).distinct()
-    filled = primary_data(t.event_samples(spark, sf), SINCE, SINCE + days(3), d, resources=both)
+    filled = primary_data(t.event_samples(spark, sf), SINCE, t.EVENTS_END, d, resources=both)
     return tidy(filled).drop("heartbeat_ms")
 
 
@@ -299,6 +359,12 @@ def custom_agg(spark, sf):
     return _measured(spark, sf, d.export("spread", "middle", "seen"))
 
 
+def custom_agg_ordered(spark, sf):
+    last = collection_aggregation("LAST", lambda values: values[-1], skips_unknown=True)
+    d = ResultDescriptor(t.EVENT_STEP).datasource("last", "click", last, t.EVENT_HEARTBEAT)
+    return _measured(spark, sf, d.export("last"))
+
+
 def custom_scalar(spark, sf):
     d = event_descriptor("click", "view")
     d = d.calculate("ratio", vectorized(lambda a, b: a / (b + 1.0)), "click", "view")
@@ -324,7 +390,8 @@ def process_unpadded(spark, sf):
 def select_with_lookback(spark, sf):
     d = event_descriptor("click", "view").export("view", "click")
     start, end = t.EVENTS_START + days(9) + hours(5), t.EVENTS_START + days(16) + hours(3)
-    samples = t.event_samples(spark, sf, t.EVENT_KINDS)
+    # Reaches back by a resolution for the first rate and bucket.
+    samples = t.event_samples(spark, sf, t.EVENT_KINDS, start - t.EVENT_RESOLUTION, end)
     return tidy(select_measurements(samples, event_resources(spark, sf), d, t.EVENT_RESOLUTION, start, end), 9)
 
 
@@ -473,6 +540,11 @@ QUERIES = {
         scan_range,
         default_range,
         shard_prune,
+        upsert_table,
+        samples_ordered,
+        measurements_ordered,
+        empty_catalog,
+        target_lookup,
         timestamp_rows_wide,
         upsert_dedup,
         index_terms,
@@ -486,6 +558,7 @@ QUERIES = {
         spine,
         rate_counter,
         rate_reset,
+        rate_wrap64,
         rate_gauge,
         rate_strict,
         rate_strict_dense,
@@ -503,6 +576,7 @@ QUERIES = {
         export_missing,
         measurement_values,
         custom_agg,
+        custom_agg_ordered,
         custom_scalar,
         process_counters,
         process_unpadded,

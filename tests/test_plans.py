@@ -1,5 +1,4 @@
-"""Shapes of physical plans, with the size check that plans small inputs simply
-set aside where the plan for large inputs is looked at."""
+"""Shapes of physical plans."""
 
 import re
 
@@ -8,13 +7,12 @@ from pyspark.sql import functions as F
 
 from tideline.functions.grid import hours
 from tideline.model import CorrelationRequest, Metric, ResultDescriptor
-from tideline.operators import neighbours
+from tideline.operators.consolidate import primary_data
 from tideline.operators.correlate import top_candidates
-from tideline.plans import correlation
 from tideline.plans.correlation import correlate, score
 from tideline.plans.measurements import process
-from tideline.sources import requests
-from tideline.sources.samples import SAMPLE_SCHEMA, write_samples
+from tideline.sources.requests import candidates_from_list
+from tideline.sources.samples import SAMPLE_SCHEMA, touched_shards, write_samples
 
 
 @pytest.fixture(scope="module")
@@ -54,46 +52,62 @@ def test_process_shuffles_samples_once_and_intervals_once(spark, samples, static
     assert re.search(r"PushedFilters: \[[^\]]*In\(metric, \[m0,m1\]\)", plan)
 
 
-def test_hot_series_are_split_in_the_plan_for_large_inputs(spark, samples, static, monkeypatch):
-    monkeypatch.setattr(neighbours, "ONE_TASK_BYTES", 0)
+def scans(plan):
+    return plan.count("FileScan parquet")
+
+
+def test_hot_series_are_split_without_another_scan(spark, samples, static):
     resources = spark.createDataFrame([("r1",)], "resource string")
-    plan = plan_of(process(samples, 0, hours(5), DESCRIPTOR, hours(1), resources=resources))
-    # Series that fit a task leave out the hot ones by a broadcast of these; hot
-    # series go by chunk, and only their sums per interval go by bucket.
+    plan = plan_of(process(samples, 0, hours(5), DESCRIPTOR, hours(1), resources=resources, hot_rows=10))
     found = exchanges(plan)
-    assert found.count("resource, metric, _chunk") == 2  # samples, and one row per chunk
-    assert found.count("resource, metric, bucket_ms") == 1
-    assert "LeftAnti, BuildRight" in plan
-    assert found.count("resource, bucket_ms") == 1
+    # Samples go by chunk once, the summaries of chunks read that same exchange (which the
+    # plan repeats where it is reused), and the carried rows go by chunk.
+    assert found.count("resource, metric, _chunk") == 3
+    assert len(re.findall(r"ReusedExchange [^\n]*_chunk[^\n]*REPARTITION_BY_COL", plan)) == 1
+    assert found.count("resource, metric, bucket_ms") == 1 and found.count("resource, bucket_ms") == 1
+    assert scans(plan) == 1
+    # Besides, samples are counted by key once.
+    assert scans(plan_of(process(samples, 0, hours(5), DESCRIPTOR, hours(1), resources=resources))) == 1
+
+
+def test_ranges_reach_the_scan(spark, samples, static):
+    resources = spark.createDataFrame([("r1",)], "resource string")
+    plan = plan_of(primary_data(samples, hours(1), hours(2), DESCRIPTOR, resources=resources))
+    pushed = re.search(r"PushedFilters: \[([^\]]*\)[^\]]*)", plan).group(1)
+    assert "GreaterThanOrEqual(ts_ms" in pushed and "LessThanOrEqual(ts_ms" in pushed
+    plan = plan_of(process(samples, hours(1), hours(2), DESCRIPTOR, hours(1), resources=resources))
+    assert "LessThanOrEqual(ts_ms" in plan
 
 
-def test_correlation_of_small_candidate_lists_filters_the_scan(spark, samples, static):
+def test_upserts_name_the_touched_shards(spark, samples, static):
+    plan = plan_of(touched_shards(samples, [0, 600]))
+    assert re.search(r"PartitionFilters: \[[^\]]*shard#\d+L? IN \(0,600\)", plan)
+
+
+def test_correlation_joins_samples_with_keys_before_the_window(spark, samples, static):
+    catalog = samples.select("resource", "metric").distinct()
+    plan = plan_of(score(samples, REQUEST, catalog, "zero"))
+    assert "LeftSemi" in plan and plan.index("Window") < plan.index("LeftSemi")
+    assert scans(plan_of(score(samples, REQUEST, candidates_from_list(spark, [Metric("r1", "m1")]), "zero"))) == 2
     plan = plan_of(correlate(samples, REQUEST, [Metric("r1", "m1"), Metric("r2", "m0")], "zero"))
     assert plan.startswith("TakeOrderedAndProject")
-    assert "LeftSemi, BuildRight" in plan
-    assert "SortMergeJoin" not in plan
 
 
-def test_correlation_of_large_catalogs_joins_no_samples(spark, samples, static, monkeypatch):
-    monkeypatch.setattr(requests, "BROADCAST_KEY_BYTES", -1)
-    catalog = samples.select("resource", "metric").distinct()
-    scored = score(samples, REQUEST, correlation.without_target(catalog, REQUEST.target), "zero")
-    assert "LeftSemi" not in plan_of(scored)
-    monkeypatch.undo()
-    joined = score(samples, REQUEST, correlation.without_target(catalog, REQUEST.target), "zero")
-    assert "LeftSemi" in plan_of(joined)
-    as_rows = lambda f: {(r[0], r[1]): round(r[2], 9) for r in f.where(~F.isnan("coefficient")).collect()}
-    assert as_rows(scored) == as_rows(joined) and as_rows(joined)
-
-
-def test_unlisted_series_stay_out_without_the_join(spark, samples, monkeypatch):
-    monkeypatch.setattr(requests, "BROADCAST_KEY_BYTES", -1)
-    rows = score(samples, REQUEST, correlation.candidates_from_list(spark, [Metric("r1", "m1")]), "zero").collect()
+def test_long_candidate_lists_are_spread(spark, samples):
+    listed = [Metric(f"r{i}", "m1") for i in range(5000)]
+    candidates = candidates_from_list(spark, listed)
+    assert candidates.rdd.getNumPartitions() > 1 and candidates.count() == 5000
+    rows = score(samples, REQUEST, candidates, "zero").collect()
+    assert len(rows) == 5000
+
+
+def test_unlisted_series_stay_out(spark, samples):
+    rows = score(samples, REQUEST, candidates_from_list(spark, [Metric("r1", "m1")]), "zero").collect()
     assert [(r["resource"], r["metric"]) for r in rows] == [("r1", "m1")]
 
 
 def test_target_filter_reaches_its_scan(spark, samples, static):
-    scored = score(samples, REQUEST, correlation.candidates_from_list(spark, [Metric("r1", "m1")]))
+    scored = score(samples, REQUEST, candidates_from_list(spark, [Metric("r1", "m1")]))
     formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
     plan = scored._jdf.queryExecution().explainString(formatted)
     pushed = [line for line in plan.split("\n") if line.startswith("PushedFilters")]

@@ -9,30 +9,23 @@ from helpers import samples_of
 from tideline.functions.grid import TimeGrid
 from tideline.model import Metric, ResultDescriptor, CorrelationRequest
 from tideline.operators.consolidate import primary_data
-from tideline.operators.neighbours import adjacent_parts, previous_parts, union, with_previous
+from tideline.operators.neighbours import adjacent_samples, previous_samples, with_previous
 from tideline.plans.correlation import score
 from tideline.plans.measurements import process
 
 
 def interval_value(points, ceiling, step, heartbeat, max_heartbeat):
-    """Walks the samples of one interval in time order."""
-    floor = ceiling - step
-    near = [(ts, v) for ts, v in sorted(points.items()) if floor < ts and abs(ts - ceiling) <= max_heartbeat]
-    known = unknown = total = 0
-    last = None
-    for ts, value in near:
-        if last is None:
-            elapsed = ts - floor
-        elif last >= ceiling:
-            continue
-        else:
-            elapsed = min(ts, ceiling) - last
-        if elapsed < heartbeat:
-            known, total = known + elapsed, total + value * elapsed
-        else:
-            unknown += elapsed
-        last = ts
-    return total / known if unknown < known else math.nan
+    """Each millisecond of the interval belongs to the next sample in reach of it; a
+    stretch of at least a heartbeat that belongs to one sample is unknown."""
+    reach = sorted(ts for ts in points if abs(ts - ceiling) <= max_heartbeat)
+    owners = [next((ts for ts in reach if ts >= ms), None) for ms in range(ceiling - step + 1, ceiling + 1)]
+    # A sample owns the time before it in the interval, and, where it is the first one, what lies between the interval and it.
+    stretches = {ts: owners.count(ts) for ts in set(owners) - {None}}
+    after = [ts for ts in stretches if ts > ceiling and not any(ceiling - step < earlier <= ceiling for earlier in reach)]
+    stretches |= {ts: ts - (ceiling - step) for ts in after}
+    known = {ts: n for ts, n in stretches.items() if n < heartbeat}
+    unknown = sum(n for n in stretches.values() if n >= heartbeat)
+    return sum(points[ts] * n for ts, n in known.items()) / sum(known.values()) if unknown < sum(known.values()) else math.nan
 
 
 def random_series(rng, count, span):
@@ -89,18 +82,26 @@ def test_previous_is_lag_however_series_are_split(spark, hot_rows):
 
     stamps = sorted({ts for points in series.values() for ts in points})
     before = dict(zip(stamps, [None, *stamps]))
-    rows = union([p.drop("_chunk") for p in adjacent_parts(samples, hot_rows)]).collect()
+    rows = adjacent_samples(samples, hot_rows).collect()
     assert len(rows) == len(expected)
     assert all(r["prev_row_ts"] == before[r["ts_ms"]] for r in rows)
 
 
 def test_hot_series_becomes_many_groups(spark):
     series = {"hot": {t: 1.0 for t in range(0, 4000)}, "cold": {t: 1.0 for t in range(0, 4000, 100)}}
-    whole, split = previous_parts(samples_of(spark, series, unit=1), hot_rows=100)
-    assert {r["metric"]: r["count"] for r in whole.groupBy("metric").count().collect()} == {"cold": 40}
-    sizes = {(r["metric"], r["_chunk"]): r["count"] for r in split.groupBy("metric", "_chunk").count().collect()}
-    assert {metric for metric, _ in sizes} == {"hot"}
-    assert max(sizes.values()) <= 100 and sum(sizes.values()) == 4000
+    rows = previous_samples(samples_of(spark, series, unit=1), hot_rows=100)
+    sizes = {(r["metric"], r["_chunk"]): r["count"] for r in rows.groupBy("metric", "_chunk").count().collect()}
+    assert sizes["cold", 0] == 40 and len([m for m, _ in sizes if m == "cold"]) == 1
+    assert max(sizes.values()) <= 100 and sum(sizes.values()) == 4040
+    assert "_chunk" not in previous_samples(samples_of(spark, series, unit=1)).columns
+
+
+def test_a_burst_is_split_as_well(spark):
+    burst = spark.range(99_990).selectExpr("10000000000 + id AS ts_ms").unionByName(spark.range(10).selectExpr("id * 1000000000L AS ts_ms"))
+    samples = burst.selectExpr("'r' AS resource", "ts_ms", "'m' AS metric", "'GAUGE' AS metric_type", "1.0 AS value")
+    rows = previous_samples(samples, hot_rows=1000)
+    assert max(r["count"] for r in rows.groupBy("_chunk").count().collect()) <= 1000
+    assert rows.where("prev_ts IS NULL").count() == 1 and rows.where("ts_ms - prev_ts = 1").count() == 99_989
 
 
 def test_split_pipeline_gives_the_same(spark):

@@ -8,12 +8,14 @@ duckdb = pytest.importorskip("duckdb")
 
 import __spark_entry__ as registry  # noqa: E402
 from checks.compare import compare, connect  # noqa: E402
+from checks.oracles import ORACLES  # noqa: E402
+from checks.queries import QUERIES  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SMALL).exists(), reason="tables not present")
 
 # Queries about user functions written in Python.
-USES_PYTHON = {"custom_agg", "custom_scalar"}
+USES_PYTHON = {"custom_agg", "custom_agg_ordered", "custom_scalar"}
 
 
 @pytest.fixture(scope="module")
@@ -22,17 +24,18 @@ def db():
 
 
 def test_each_query_has_its_sql():
-    assert registry.queries().keys() == registry.oracle_sql().keys()
+    assert QUERIES.keys() == ORACLES.keys()
+    assert QUERIES.items() <= registry.queries().items() and ORACLES.items() <= registry.oracle_sql().items()
 
 
-@pytest.mark.parametrize("name", registry.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_same_as_sql(spark, db, name):
     assert compare(spark, db, SMALL, name) is None
 
 
-@pytest.mark.parametrize("name", registry.queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_plan(spark, name):
-    plan = registry.queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     for costly in ("CartesianProduct", "BroadcastNestedLoopJoin", "SinglePartition"):
         assert costly not in plan
     assert ("Python" in plan or "ArrowEval" in plan) == (name in USES_PYTHON)

@@ -3,10 +3,12 @@ from pyspark.sql import functions as F
 
 from tideline.functions import grid
 from tideline.functions.grid import TimeGrid, days
-from tideline.model import Metric, ResultDescriptor, parse_literal, resolve_range
+from tideline.model import CorrelationRequest, Metric, ResultDescriptor, parse_literal, resolve_range
+from tideline.operators import hierarchy
 from tideline.operators.compute import extract
 from tideline.operators.hierarchy import NODE_SCHEMA, display_ids, flatten_tree
 from tideline.sources import catalog as cat
+from tideline.sources import results
 from tideline.sources.requests import candidates_from_json, candidates_from_list, without_target
 from tideline.sources.samples import (
     SAMPLE_SCHEMA,
@@ -143,18 +145,52 @@ def test_catalog(spark, tmp_path):
 
 def test_candidate_lists(spark):
     bodies = spark.createDataFrame(
-        [(1, '[{"resource":"a","metric":"m"},{"metric":"n","resource":"b"},{"resource":"a"}]'), (2, "[]")],
+        [(1, ' [{"resource":"a","metric":"m"},{"metric":"n","resource":"b"},{"resource":"a","metric":"o"}]\n'), (2, "[]")],
         "request int, body string",
     )
     listed = candidates_from_json(bodies)
     got = [(r["request"], r["ordinal"], r["resource"], r["metric"]) for r in listed.collect()]
-    assert got == [(1, 0, "a", "m"), (1, 1, "b", "n"), (1, 2, "a", None)]
+    assert got == [(1, 0, "a", "m"), (1, 1, "b", "n"), (1, 2, "a", "o")]
     left = without_target(listed, Metric("a", "m")).collect()
     assert [r["ordinal"] for r in left] == [1, 2]
     many = candidates_from_list(spark, [Metric(f'r"{i}', "ü'\\") for i in range(300)]).collect()
     assert [(r["ordinal"], r["resource"], r["metric"]) for r in many] == [(i, f'r"{i}', "ü'\\") for i in range(300)]
 
 
+@pytest.mark.parametrize("body", ['[{"resource":"a","metric":"m"},{"resource":"a"}]', '[{"resource":"a","metric":"m"}', '{"resource":"a","metric":"m"}', "", "null", None, '[{"resource":"a","metric":"m"},null]'])
+def test_unsound_candidate_lists_are_refused(spark, body):
+    with pytest.raises(Exception, match="not a list of candidates"):
+        candidates_from_json(spark.createDataFrame([(body,)], "body string")).collect()
+
+
+def test_ranges_that_end_before_they_start_are_refused():
+    with pytest.raises(ValueError, match="after end"):
+        CorrelationRequest(Metric("r", "m"), 2, 1, 1)
+    with pytest.raises(ValueError, match="after end"):
+        resolve_range(10, 5)
+
+
+def test_results_written_as_json(spark, tmp_path):
+    rows = spark.createDataFrame([("r", "m", 0.5), ("r", "n", float("nan"))], "resource string, metric string, coefficient double")
+    results.write_json(rows, str(tmp_path / "out"))
+    back = {r.metric: r.coefficient for r in spark.read.schema(results.RESULT_SCHEMA).json(str(tmp_path / "out")).collect()}
+    assert back["m"] == 0.5 and back["n"] != back["n"]
+
+
+def test_deep_trees(spark):
+    rows = [(f"n{i}", f"n{i - 1}" if i else None, 0, [("r", f"m{i}")]) for i in range(105)]
+    nodes = spark.createDataFrame(rows, hierarchy.NODE_SCHEMA)
+    assert hierarchy.flatten_tree(nodes).count() == 105
+
+
+def test_target_of_a_display_id(spark):
+    rows = [(f"n{i}", f"n{i - 1}" if i else None, 0, [("r", f"m{i}")]) for i in range(3)]
+    flat = hierarchy.flatten_tree(spark.createDataFrame(rows, hierarchy.NODE_SCHEMA))
+    assert [tuple(r) for r in hierarchy.target_metric(flat, "n2", "m2").collect()] == [("r", "m2")]
+    with pytest.raises(Exception, match="no attribute"):
+        hierarchy.target_metric(flat, "n2", "m1").collect()
+
+
 def test_grid(spark):
     assert TimeGrid.covering(1, 10, 5) == TimeGrid(0, 10, 5)
     assert TimeGrid.covering(-7, 11, 5) == TimeGrid(-10, 15, 5)

@@ -12,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 MILLIS_PER_SECOND = 1_000
-MILLIS_PER_MINUTE = 60_000
 MILLIS_PER_HOUR = 3_600_000
 MILLIS_PER_DAY = 86_400_000
 
+# The column that names an interval.
+INTERVAL = "interval_ms"
+
 # Longest array one key contributes to a spine before the next explode.
 SPINE_BLOCK = 10_000
 
@@ -24,10 +26,6 @@ def seconds(n: float) -> int:
     return int(n * MILLIS_PER_SECOND)
 
 
-def minutes(n: float) -> int:
-    return int(n * MILLIS_PER_MINUTE)
-
-
 def hours(n: float) -> int:
     return int(n * MILLIS_PER_HOUR)
 
@@ -41,10 +39,6 @@ def epoch_seconds(ts_ms: Column) -> Column:
     return F.call_function("div", ts_ms, F.lit(MILLIS_PER_SECOND))
 
 
-def from_epoch_seconds(ts_s: Column) -> Column:
-    return ts_s.cast("bigint") * F.lit(MILLIS_PER_SECOND)
-
-
 def to_timestamp(ts_ms: Column) -> Column:
     return F.timestamp_millis(ts_ms)
 

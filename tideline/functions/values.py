@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tideline.functions.grid import INTERVAL
+
 NAN = float("nan")
 
 
@@ -62,16 +64,20 @@ def collection_aggregation(
 ) -> Aggregation:
     """Aggregation from a Python function over the values of one bucket.
 
-    The values gathered per call are the intervals of one bucket, a count fixed
-    by resolution and step rather than by the data.  Arrow batches carry them.
-    No values at all are unknown without a call.
+    The values gathered per call are the intervals of one bucket in time order, a
+    count fixed by resolution and step rather than by the data.  Arrow batches
+    carry them.  No values at all are unknown without a call.
     """
 
     @F.pandas_udf("double")
     def apply(groups: pd.Series) -> pd.Series:
         return groups.map(lambda values: float(function(list(values))) if len(values) else NAN).astype("float64")
 
-    return Aggregation(name, lambda value: apply(F.collect_list(value)), skips_unknown)
+    def gathered(value: Column) -> Column:
+        pairs = F.collect_list(F.when(value.isNotNull(), F.struct(F.col(INTERVAL), value.alias("value"))))
+        return F.transform(F.array_sort(pairs), lambda pair: pair["value"])
+
+    return Aggregation(name, lambda value: apply(gathered(value)), skips_unknown)
 
 
 def add(a: Column, b: Column) -> Column:

@@ -132,10 +132,6 @@ class ResultDescriptor:
             raise ValueError("a descriptor needs at least one datasource")
         return max(self.heartbeat_of(d) for d in self.datasources)
 
-    @property
-    def needs_every_interval(self) -> bool:
-        return any(not d.function.skips_unknown for d in self.datasources)
-
     def check_resolution(self, resolution_ms: int) -> None:
         if resolution_ms <= 0 or not is_multiple(resolution_ms, self.step_ms):
             raise ValueError(f"resolution {resolution_ms} must be a multiple of the step {self.step_ms}")
@@ -149,9 +145,15 @@ def resolve_range(start_ms: int | None, end_ms: int | None, now: int | None = No
     """A missing end is now; a missing start is 24 hours before the end."""
     end = end_ms if end_ms is not None else (now if now is not None else now_ms())
     start = start_ms if start_ms is not None else end - DEFAULT_RANGE_MS
+    check_range(start, end)
     return start, end
 
 
+def check_range(start_ms: int, end_ms: int) -> None:
+    if start_ms > end_ms:
+        raise ValueError(f"start {start_ms} is after end {end_ms}")
+
+
 @dataclass(frozen=True)
 class CorrelationRequest:
     """Validated parameters of a correlation."""
@@ -186,6 +188,7 @@ class CorrelationRequest:
     def __post_init__(self) -> None:
         if self.resolution_ms <= 0:
             raise ValueError(f"resolution must be positive, got {self.resolution_ms}")
+        check_range(self.start_ms, self.end_ms)
         if self.top_n < 0:
             raise ValueError(f"topN must not be negative, got {self.top_n}")
 

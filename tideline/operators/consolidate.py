@@ -15,14 +15,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.functions.grid import TimeGrid, ceiling_sql, floor_sql, spine
+from tideline.functions.grid import INTERVAL, SPINE_BLOCK, TimeGrid, ceiling_sql, floor_sql, spine
 from tideline.functions.values import known_or_nan
 from tideline.model import SERIES, ResultDescriptor
 from tideline.operators import attributes as attrs
-from tideline.operators.neighbours import CHUNK, PREV_TS, previous_parts, union
+from tideline.operators.neighbours import CHUNK, PREV_TS, previous_samples
 from tideline.sources.requests import literal_rows
 
-INTERVAL = "interval_ms"
 HEARTBEAT = "heartbeat_ms"
 BUCKET = "bucket_ms"
 SOURCE_KEY = [*SERIES, HEARTBEAT]
@@ -60,6 +59,10 @@ def contributions(samples: DataFrame, grid: TimeGrid, max_heartbeat_ms: int) ->
     lo = f"greatest({ceiling_sql(f'(ts_ms - {reach}L)', step)}, {after_previous}, {grid.lo}L)"
     hi = f"least({ceiling_sql('ts_ms', step)}, {floor_sql(f'(ts_ms + {reach}L)', step)}, {grid.hi}L)"
     reached = samples.selectExpr("*", f"{lo} AS _lo", f"{hi} AS _hi").where("_lo <= _hi")
+    if 2 * reach // step > SPINE_BLOCK:
+        # Long reaches are cut in two levels, so that no array is longer than a block.
+        block = step * SPINE_BLOCK
+        reached = reached.withColumn("_lo", F.explode(F.expr(f"sequence(_lo, _hi, {block}L)"))).withColumn("_hi", F.expr(f"least(_hi, _lo + {block - step}L)"))
     spread = reached.withColumn(INTERVAL, F.explode(F.expr(f"sequence(_lo, _hi, {step}L)"))).drop("_lo", "_hi")
 
     floor = f"({INTERVAL} - {step}L)"
@@ -96,23 +99,23 @@ def _interval_value() -> Column:
 
 
 def interval_values(
-    part: DataFrame,
+    samples: DataFrame,
     grid: TimeGrid,
     max_heartbeat_ms: int,
     resolution_ms: int | None = None,
     with_attributes: bool = False,
 ) -> DataFrame:
-    """Values of the intervals that samples reach, for one part of the series.
+    """Values of the intervals that samples reach.
 
-    ``part`` carries ``heartbeat_ms`` and ``prev_ts``.  Whole series are reduced
-    where their window left them.  Chunks of a hot series are reduced to sums per
+    ``samples`` carry ``heartbeat_ms`` and ``prev_ts``.  Series are reduced
+    where their window left them.  Chunks are reduced to sums per
     interval first, and only these are exchanged.  The output has the interval's
     ``bucket_ms`` (the interval itself without a resolution) and is partitioned
     so that a rollup needs no exchange.
     """
-    split = CHUNK in part.columns
+    split = CHUNK in samples.columns
     keys = [*SOURCE_KEY, CHUNK, INTERVAL] if split else [*SOURCE_KEY, INTERVAL]
-    sums = _partial_sums(contributions(part, grid, max_heartbeat_ms), keys, with_attributes)
+    sums = _partial_sums(contributions(samples, grid, max_heartbeat_ms), keys, with_attributes)
     bucket = F.expr(ceiling_sql(INTERVAL, resolution_ms or grid.step))
     sums = sums.withColumn(BUCKET, bucket)
 
@@ -149,7 +152,7 @@ def fill(measured: DataFrame, blanks: DataFrame, key: Sequence[str], partition_b
 
 
 def consolidate(
-    parts: Sequence[DataFrame],
+    samples: DataFrame,
     keys: DataFrame,
     grid: TimeGrid,
     max_heartbeat_ms: int,
@@ -158,9 +161,7 @@ def consolidate(
     with_attributes: bool = False,
 ) -> DataFrame:
     """Every interval of every (resource, metric, heartbeat) in ``keys``."""
-    measured = union(
-        [interval_values(p, grid, max_heartbeat_ms, resolution_ms, with_attributes) for p in parts]
-    )
+    measured = interval_values(samples, grid, max_heartbeat_ms, resolution_ms, with_attributes)
     bucket = F.expr(ceiling_sql(INTERVAL, resolution_ms or grid.step))
     blanks = spine(keys.select(*SOURCE_KEY), grid, INTERVAL).withColumn(BUCKET, bucket)
     filled = fill(measured, blanks, [*SOURCE_KEY, BUCKET, INTERVAL], partition_by)
@@ -193,11 +194,14 @@ def primary_data(
     grid = TimeGrid.covering(start_ms, end_ms, descriptor.step_ms)
     if resources is None:
         resources = samples.select("resource").distinct()
-    present = samples.where(F.col("value").isNotNull())
-    parts = previous_parts(present.where(F.col("metric").isin(descriptor.source_names)), hot_rows)
+    # Earlier samples end before the grid and later ones are out of every heartbeat's reach.
+    reaching = F.col("ts_ms").between(grid.lo - grid.step + 1, grid.hi + descriptor.max_heartbeat_ms)
+    used = [*SERIES, "ts_ms", "value", *(["attributes"] if with_attributes else [])]
+    present = samples.where(F.col("value").isNotNull() & reaching).select(*used)
+    followed = previous_samples(present.where(F.col("metric").isin(descriptor.source_names)), hot_rows)
     pairs = descriptor.source_heartbeats
     consolidated = consolidate(
-        [with_heartbeats(part, pairs) for part in parts],
+        with_heartbeats(followed, pairs),
         source_keys(resources, pairs),
         grid,
         descriptor.max_heartbeat_ms,

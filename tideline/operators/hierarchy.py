@@ -14,8 +14,11 @@ NODE_SCHEMA = (
     "id string, parent string, position bigint, attributes array<struct<resource:string,metric:string>>"
 )
 
+# A tree ends; this is only the largest number that the clause takes.
+MAX_LEVELS = 2_147_483_647
+
 _WALK = """
-WITH RECURSIVE walk AS (
+WITH RECURSIVE walk MAX RECURSION LEVEL {levels} AS (
   SELECT id, array(position) AS path, attributes FROM {nodes} WHERE parent IS NULL
   UNION ALL
   SELECT n.id, array_append(w.path, n.position), n.attributes
@@ -29,10 +32,12 @@ def flatten_tree(nodes: DataFrame) -> DataFrame:
     """One row per attribute of every resource reachable from a root.
 
     ``path`` (sibling positions from the root, then the attribute's index) is the
-    depth-first order of the tree.  The session's recursion row limit bounds a
-    walk; set ``spark.sql.cteRecursionRowLimit`` to -1 for large trees.
+    depth-first order of the tree.  Trees may have any number of rows and levels:
+    the session's limits of recursion, meant for walks that may not end, are lifted.
     """
-    walked = nodes.sparkSession.sql(_WALK, nodes=nodes.select("id", "parent", "position", "attributes"))
+    spark = nodes.sparkSession
+    spark.conf.set("spark.sql.cteRecursionRowLimit", "-1")
+    walked = spark.sql(_WALK.replace("{levels}", str(MAX_LEVELS)), nodes=nodes.select("id", "parent", "position", "attributes"))
     rows = walked.select("id", "path", F.posexplode("attributes").alias("index", "attribute"))
     return rows.select(
         F.url_decode("id").alias("id"),
@@ -43,6 +48,13 @@ def flatten_tree(nodes: DataFrame) -> DataFrame:
     )
 
 
+def target_metric(catalog: DataFrame, node: str, attribute: str) -> DataFrame:
+    """``resource, metric`` of a resource's attribute as shown, the first of the catalog; an error if there is none."""
+    found = catalog.where((F.col("id") == node) & (F.col("metric") == attribute)).agg(F.min_by(F.struct("resource", "metric"), "path").alias("_found"))
+    missing = F.raise_error(F.lit(f"no attribute {attribute!r} of {node!r} in the catalog")).cast("struct<resource:string,metric:string>")
+    return found.select(F.coalesce("_found", missing).alias("_found")).select("_found.*")
+
+
 def display_ids(results: DataFrame, catalog: DataFrame) -> DataFrame:
     """Results with the id of the first catalog row of the same resource, else NULL."""
     first = catalog.groupBy("resource").agg(F.min_by("id", "path").alias("id"))

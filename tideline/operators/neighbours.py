@@ -1,11 +1,10 @@
 """The previous sample of each sample, with hot series split over time.
 
-A window over a whole series puts that series into one task.  Samples are
-therefore told apart by the load of their series: those of series with at most
-``HOT_ROWS`` samples go through a plain window; longer series are cut into time
-chunks, each a window partition of its own, and the first sample of a chunk
-takes its predecessor from a summary with one row per chunk.  The result is the
-plain ``lag`` however a series is cut.
+A window over a whole series puts that series into one task.  The samples of
+each series are therefore counted first.  Series of more than ``HOT_ROWS`` samples
+are cut into time chunks, each a window partition of its own; the first sample of a
+chunk takes its predecessor from a summary with one row per chunk, made of the
+same exchanged rows.  The result is the plain ``lag`` however a series is cut.
 """
 
 from __future__ import annotations
@@ -16,11 +15,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.sizes import estimated_bytes
 from tideline.model import SERIES
 
 CHUNK = "_chunk"
-WIDTH = "_width"
 PREV_TS = "prev_ts"
 PREV_VALUE = "prev_value"
 PREV_ROW_TS = "prev_row_ts"
@@ -28,42 +25,30 @@ PREV_ROW_TS = "prev_row_ts"
 # Samples one window partition should hold at most.
 HOT_ROWS = 5_000_000
 
-# Chunks per HOT_ROWS samples of a hot series, as samples are not evenly spaced.
-OVERSPLIT = 4
-
-# Input estimated below this fits into one task even as a single series.
-ONE_TASK_BYTES = 64 * 1024 * 1024
-
-
-def may_be_hot(samples: DataFrame) -> bool:
-    size = estimated_bytes(samples)
-    return size is None or size > ONE_TASK_BYTES
-
 
 def hot_groups(samples: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
-    """Groups of more than ``hot_rows`` samples with the width of their chunks.
-
-    At most one row per ``hot_rows`` input rows, which bounds a broadcast of it.
-    """
-    load = samples.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_rows"), F.min("ts_ms").alias("_first"), F.max("ts_ms").alias("_last")
-    )
-    width = f"ceil((_last - _first + 1L) / ceil(_rows * {OVERSPLIT}L / {hot_rows}L))"
-    return load.where(f"_rows > {hot_rows}L").selectExpr(*keys, f"cast({width} AS bigint) AS {WIDTH}")
+    """Groups of more than ``hot_rows`` samples: at most one row per ``hot_rows`` input rows."""
+    return samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(f"_rows > {hot_rows}L").select(*keys)
 
 
-def by_load(samples: DataFrame, keys: Sequence[str] = SERIES, hot_rows: int | None = None) -> list[DataFrame]:
-    """The samples in disjoint parts: of groups that fit a task, and of hot
-    groups, the latter with the width of their chunks.
+def chunked(samples: DataFrame, keys: Sequence[str] = SERIES, hot_rows: int | None = None) -> DataFrame:
+    """The samples, with the column ``_chunk`` if a group is hot.
 
-    Only the first part where the whole input fits a task.
+    Runs a job that counts samples by key, reading no other column of a stored
+    table.  A chunk is ``hot_rows`` milliseconds wide.  As a series has one sample
+    per millisecond at most, no chunk of it has more than ``hot_rows`` samples,
+    however they are spread.  Chunks of other groups are all 0.  Samples without
+    resource, metric or time belong to no series and are left out.
     """
-    if hot_rows is None:
-        if not may_be_hot(samples):
-            return [samples]
-        hot_rows = HOT_ROWS
-    hot = F.broadcast(hot_groups(samples, keys, hot_rows))
-    return [samples.join(hot, list(keys), "left_anti"), samples.join(hot, list(keys))]
+    named = samples.where("resource IS NOT NULL AND metric IS NOT NULL AND ts_ms IS NOT NULL")
+    width = HOT_ROWS if hot_rows is None else hot_rows
+    hot = hot_groups(named, keys, width)
+    found = hot.collect()
+    if not found:
+        return named
+    listed = F.broadcast(samples.sparkSession.createDataFrame(found, hot.schema).withColumn("_hot", F.lit(True)))
+    chunk = F.expr(f"CASE WHEN _hot THEN (ts_ms - pmod(ts_ms, {width}L)) div {width}L ELSE 0L END")
+    return named.join(listed, list(keys), "left").withColumn(CHUNK, chunk).drop("_hot").where(f"{CHUNK} IS NOT NULL")
 
 
 @dataclass(frozen=True)
@@ -83,10 +68,14 @@ class LookBack:
         return {prefix + name: F.lag(source).over(ordered) for name, source in self.columns.items()}
 
     def carried(self, pieces: DataFrame) -> DataFrame:
-        """What each chunk's first sample looks back on, one row per chunk."""
-        tails = pieces.groupBy(*self.keys, CHUNK).agg(
-            *(F.max_by(source, "ts_ms").alias(f"_tail_{name}") for name, source in self.columns.items())
-        )
+        """What each chunk's first sample looks back on, one row per chunk.
+
+        The last sample is taken with all its columns, so that this reads the very
+        exchange that the windows read.
+        """
+        last = F.max_by(F.struct(*pieces.columns), "ts_ms").alias("_last")
+        tails = pieces.groupBy(*self.keys, CHUNK).agg(last)
+        tails = tails.select(*self.keys, CHUNK, *(F.col("_last")[source].alias(f"_tail_{n}") for n, source in self.columns.items()))
         by_chunk = Window.partitionBy(*self.keys).orderBy(CHUNK)
         looked_back = (F.lag(f"_tail_{n}").over(by_chunk).alias(f"_carried_{n}") for n in self.columns)
         return tails.select(*self.keys, CHUNK, *looked_back)
@@ -97,23 +86,21 @@ PREVIOUS_TIME = LookBack(SERIES, {PREV_TS: "ts_ms"})
 PREVIOUS_ROW = LookBack(["resource"], {PREV_ROW_TS: "ts_ms"}, distinct_ts=True)
 
 
-def look_back(part: DataFrame, looks: Sequence[LookBack], partition_by: Sequence[str] = SERIES) -> DataFrame:
-    """Adds the columns of all ``looks`` to one part of the samples.
+def look_back(samples: DataFrame, looks: Sequence[LookBack], partition_by: Sequence[str] = SERIES) -> DataFrame:
+    """Adds the columns of all ``looks``.
 
     One exchange by ``partition_by``, which every key of ``looks`` contains,
-    serves all their windows.
+    serves all their windows, and the summaries of chunks where there are any.
     """
-    if WIDTH not in part.columns and CHUNK not in part.columns:
-        rows = part if list(partition_by) == SERIES else part.repartition(*partition_by)
+    if CHUNK not in samples.columns:
+        rows = samples if list(partition_by) == SERIES else samples.repartition(*partition_by)
         for look in looks:
             rows = rows.withColumns(look.within([]))
         return rows
 
-    pieces = part
-    if WIDTH in part.columns:
-        pieces = part.withColumn(CHUNK, F.expr(f"cast(floor(ts_ms / {WIDTH}) AS bigint)")).drop(WIDTH)
     # Without this a preceding exchange by the keys alone would do for the windows.
-    rows = pieces.repartition(*partition_by, CHUNK)
+    pieces = samples.repartition(*partition_by, CHUNK)
+    rows = pieces
     for look in looks:
         rows = rows.withColumns(look.within([CHUNK], "_lag_"))
     for look in looks:
@@ -125,30 +112,19 @@ def look_back(part: DataFrame, looks: Sequence[LookBack], partition_by: Sequence
     return rows
 
 
-def union(parts: Sequence[DataFrame]) -> DataFrame:
-    whole = parts[0]
-    for part in parts[1:]:
-        whole = whole.unionByName(part)
-    return whole
-
-
-def previous_parts(samples: DataFrame, hot_rows: int | None = None) -> list[DataFrame]:
-    """The samples with ``prev_ts`` and ``prev_value``, in parts by load.
-
-    Rows of the first part are partitioned by series, those of the second, which
-    have a column ``_chunk``, by series and chunk.
-    """
-    return [look_back(part, [PREVIOUS_SAMPLE]) for part in by_load(samples, SERIES, hot_rows)]
+def previous_samples(samples: DataFrame, hot_rows: int | None = None) -> DataFrame:
+    """The samples with ``prev_ts`` and ``prev_value``, by series, or by series and ``_chunk`` where one is hot."""
+    return look_back(chunked(samples, SERIES, hot_rows), [PREVIOUS_SAMPLE])
 
 
-def adjacent_parts(samples: DataFrame, hot_rows: int | None = None) -> list[DataFrame]:
+def adjacent_samples(samples: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """The samples with ``prev_ts``, ``prev_value`` and ``prev_row_ts``: the latest
     earlier timestamp at which the resource has a sample of any metric.
 
-    In parts by the load of the resources.
+    By resource, or by resource and ``_chunk`` where one is hot; a chunk then has at
+    most ``hot_rows`` samples of each metric.
     """
-    parts = by_load(samples, ["resource"], hot_rows)
-    return [look_back(part, [PREVIOUS_ROW, PREVIOUS_SAMPLE], ["resource"]) for part in parts]
+    return look_back(chunked(samples, ["resource"], hot_rows), [PREVIOUS_ROW, PREVIOUS_SAMPLE], ["resource"])
 
 
 def with_previous(samples: DataFrame, hot_rows: int | None = None) -> DataFrame:
@@ -156,4 +132,4 @@ def with_previous(samples: DataFrame, hot_rows: int | None = None) -> DataFrame:
 
     ``(resource, metric, ts_ms)`` must be unique.
     """
-    return union([part.drop(CHUNK) for part in previous_parts(samples, hot_rows)])
+    return previous_samples(samples, hot_rows).drop(CHUNK)

@@ -16,6 +16,9 @@ from tideline.sources.requests import literal_rows
 
 COUNT = "_count"
 
+# Rows of the result that one resource may gather.
+RESOURCE_ROWS = 100_000
+
 
 def bucket_grid(start_ms: int, end_ms: int, resolution_ms: int) -> TimeGrid:
     return TimeGrid.covering(start_ms, end_ms, resolution_ms)
@@ -103,6 +106,26 @@ def distinct_functions(descriptor: ResultDescriptor) -> list[Aggregation]:
     return list(dict.fromkeys(d.function for d in descriptor.datasources))
 
 
+def _filled_by_resource(measured: DataFrame, labels: Column, grid: TimeGrid) -> DataFrame:
+    """All buckets and labels of the resources that ``measured`` has, without reading its input again for their names.
+
+    What is gathered per resource are its rows of the result, a number that the request fixes.
+    """
+    extra = ["attributes"] if "attributes" in measured.columns else []
+    row = F.struct("ts_ms", "label", "value", *extra)
+    kind = measured.select(row.alias("_row")).schema["_row"].dataType.simpleString()
+    points = F.sequence(*(F.lit(v).cast("bigint") for v in (grid.lo, grid.hi, grid.step))) if grid.size else F.array().cast("array<bigint>")
+    blank = lambda ts, label: F.struct(
+        ts.alias("ts_ms"), label.alias("label"), F.lit(None).cast("double").alias("value"), *(F.lit(None).cast(measured.schema[c].dataType).alias(c) for c in extra)
+    )
+    blanks = F.flatten(F.transform(labels, lambda label: F.transform(points, lambda ts: blank(ts, label))))
+    gathered = measured.groupBy("resource").agg(F.collect_list(row).alias("_rows"))
+    both = gathered.select("resource", F.explode(F.concat("_rows", blanks.cast(f"array<{kind}>"))).alias("_row")).select("resource", "_row.*")
+    found = [F.max("value").alias("value")] + [F.any_value(c, ignoreNulls=True).alias(c) for c in extra]
+    filled = both.groupBy("resource", "ts_ms", "label").agg(*found)
+    return filled.withColumn("value", known_or_nan(F.col("value")))
+
+
 def roll_up(
     primary: DataFrame,
     start_ms: int,
@@ -137,9 +160,11 @@ def roll_up(
     buckets = aggregate_buckets(intervals, distinct_functions(descriptor), with_attributes)
     measured = to_labels(buckets, descriptor, resolution_ms, F.col(COUNT))
 
+    labels = F.array(*(F.lit(d.label) for d in descriptor.datasources))
+    if resources is None and grid.size * len(descriptor.datasources) <= RESOURCE_ROWS:
+        return _filled_by_resource(measured, labels, grid)
     if resources is None:
         resources = primary.select("resource").distinct()
-    labels = F.array(*(F.lit(d.label) for d in descriptor.datasources))
     blanks = spine(resources.select("resource", F.explode(labels).alias("label")), grid)
     both = measured.unionByName(blanks, allowMissingColumns=True)
     found = [F.max("value").alias("value")]

@@ -22,8 +22,7 @@ from tideline.operators.consolidate import (
     source_keys,
     with_heartbeats,
 )
-from tideline.operators.neighbours import union
-from tideline.operators.rate import rate_parts
+from tideline.operators.rate import rated_samples
 from tideline.operators.rollup import (
     COUNT,
     aggregate_buckets,
@@ -42,7 +41,7 @@ SERIES_BUCKETS = 100_000
 
 
 def requested_buckets(
-    parts: Sequence[DataFrame],
+    samples: DataFrame,
     keys: DataFrame,
     grid: TimeGrid,
     buckets: TimeGrid,
@@ -58,17 +57,13 @@ def requested_buckets(
     buckets.  Functions that must see unknown intervals have them added first.
     """
     if all(fn.skips_unknown for fn in functions):
-        reduced = [
-            aggregate_buckets(
-                interval_values(part, grid, max_heartbeat_ms, buckets.step, with_attributes), functions, with_attributes
-            ).drop(COUNT)
-            for part in parts
-        ]
+        intervals = interval_values(samples, grid, max_heartbeat_ms, buckets.step, with_attributes)
+        reduced = aggregate_buckets(intervals, functions, with_attributes).drop(COUNT)
         blanks = spine(keys.select(*SOURCE_KEY), buckets, BUCKET)
-        filled = fill(union(reduced), blanks, [*SOURCE_KEY, BUCKET], partition_by)
+        filled = fill(reduced, blanks, [*SOURCE_KEY, BUCKET], partition_by)
     else:
         intervals = consolidate(
-            parts, keys, grid, max_heartbeat_ms, buckets.step, partition_by, with_attributes
+            samples, keys, grid, max_heartbeat_ms, buckets.step, partition_by, with_attributes
         )
         filled = aggregate_buckets(intervals, functions, with_attributes)
     return filled.where(REQUESTED).where(F.col(BUCKET).between(buckets.lo, buckets.hi))
@@ -102,9 +97,12 @@ def process(
         resources = named.select("resource").distinct()
 
     pairs = descriptor.source_heartbeats
-    rated = rate_parts(samples, descriptor.source_names, hot_rows, counter_reset, strict_adjacency)
+    # Later samples are out of every heartbeat's reach; earlier ones may be what a rate looks back on.
+    used = [*SERIES, "ts_ms", "metric_type", "value", *(["attributes"] if with_attributes else [])]
+    samples = samples.where(F.col("ts_ms") <= grid.hi + descriptor.max_heartbeat_ms).select(*used)
+    rated = rated_samples(samples, descriptor.source_names, hot_rows, counter_reset, strict_adjacency)
     rolled = requested_buckets(
-        [with_heartbeats(part, pairs) for part in rated],
+        with_heartbeats(rated, pairs),
         source_keys(resources, pairs),
         grid,
         buckets,
@@ -141,7 +139,7 @@ def average_series(
 
     uniform = F.lit(heartbeat).cast("bigint")
     rolled = requested_buckets(
-        [part.withColumn(HEARTBEAT, uniform) for part in rate_parts(samples, hot_rows=hot_rows)],
+        rated_samples(samples.select(*SERIES, "ts_ms", "metric_type", "value"), hot_rows=hot_rows).withColumn(HEARTBEAT, uniform),
         keys.select(*SERIES).withColumn(HEARTBEAT, uniform),
         grid,
         buckets,

@@ -9,12 +9,8 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.functions.sizes import estimated_bytes
 from tideline.model import SERIES, Metric
 
-# Keys estimated up to this size filter samples by a broadcast.
-BROADCAST_KEY_BYTES = 32 * 1024 * 1024
-
 
 def literal_rows(spark: SparkSession, rows: Iterable[Mapping[str, Any]], schema: str) -> DataFrame:
     """Rows held by the driver as a DataFrame, passed as one JSON literal."""
@@ -29,16 +25,30 @@ def _fields(schema: str) -> str:
 def candidates_from_json(bodies: DataFrame, body: str = "body") -> DataFrame:
     """Candidates of JSON array bodies ``[{"resource": .., "metric": ..}, ..]``.
 
-    Other columns are kept; ``ordinal`` is the position in the list.
+    Other columns are kept; ``ordinal`` is the position in the list.  A body that
+    is not an array, is cut off, or has an entry without either field is an error.
     """
     kept = [c for c in bodies.columns if c != body]
-    parsed = F.from_json(body, "array<struct<resource:string,metric:string>>")
+    read = F.from_json(body, "array<struct<resource:string,metric:string>>")
+    nameless = F.exists(read, lambda c: c.isNull() | c["resource"].isNull() | c["metric"].isNull())
+    sound = F.col(body).rlike(r"(?s)^\s*\[.*\]\s*$") & read.isNotNull() & ~nameless
+    refused = F.raise_error(F.concat(F.lit("not a list of candidates: "), F.coalesce(F.substring(body, 1, 200), F.lit("null"))))
+    parsed = F.when(F.coalesce(sound, F.lit(False)), read).otherwise(refused.cast("array<struct<resource:string,metric:string>>"))
     return bodies.select(*kept, F.posexplode(parsed).alias("ordinal", "_candidate")).select(
         *kept, F.col("ordinal").cast("bigint").alias("ordinal"), "_candidate.resource", "_candidate.metric"
     )
 
 
+# Longest list of candidates that goes into the plan; a longer one is spread over the tasks.
+LITERAL_CANDIDATES = 2_000
+
+
 def candidates_from_list(spark: SparkSession, metrics: Iterable[Metric]) -> DataFrame:
+    """Candidates that the driver holds, in their order."""
+    metrics = list(metrics)
+    if len(metrics) > LITERAL_CANDIDATES:
+        listed = [(i, m.resource, m.metric) for i, m in enumerate(metrics)]
+        return spark.createDataFrame(listed, "ordinal bigint, resource string, metric string")
     rows = [{"ordinal": i, "resource": m.resource, "metric": m.metric} for i, m in enumerate(metrics)]
     return literal_rows(spark, rows, "ordinal bigint, resource string, metric string")
 
@@ -51,12 +61,9 @@ def without_target(candidates: DataFrame, target: Metric) -> DataFrame:
 
 
 def prefiltered(samples: DataFrame, keys: DataFrame, on: Sequence[str]) -> DataFrame:
-    """The samples of some keys, where these are estimated to fit a broadcast.
+    """The samples of some keys.
 
-    More keys leave the samples as they are: the stages tell requested series
-    apart after reducing their samples, which costs no join of the samples.
+    A semi join without a hint: whether the keys are sent to the samples or both
+    are exchanged follows from the size that the keys turn out to have.
     """
-    size = estimated_bytes(keys)
-    if size is None or size > BROADCAST_KEY_BYTES:
-        return samples
-    return samples.join(F.broadcast(keys.select(*on)), list(on), "left_semi")
+    return samples.join(keys.select(*on), list(on), "left_semi")

@@ -107,15 +107,20 @@ def write_samples(samples: DataFrame, path: str, order: str = "seq", mode: str =
     _writer(rows, order).mode(mode).parquet(path)
 
 
+def touched_shards(stored: DataFrame, shards: Sequence[int]) -> DataFrame:
+    return stored.where(F.col("shard").isin(list(shards)))
+
+
 def upsert_samples(spark: SparkSession, path: str, incoming: DataFrame, order: str = "seq") -> None:
     """Merges samples into a table, rewriting only the shards they touch.
 
     Incoming samples replace stored ones of the same key and smaller ``order``.
+    The touched shards, one per SHARD_MS of time, are listed first, so that the
+    scan of the table names them and reads no others.
     """
     fresh = incoming.withColumn("shard", shard_of(F.col("ts_ms")))
-    touched = fresh.select("shard").distinct()
-    stored = read_samples(spark, path).withColumnRenamed("seq", order)
-    kept = stored.join(touched, "shard", "left_semi")
+    touched = [r["shard"] for r in fresh.select("shard").distinct().collect()]
+    kept = touched_shards(read_samples(spark, path), touched).withColumnRenamed("seq", order)
     merged = latest_samples(kept.select(*fresh.columns).unionByName(fresh), order)
     (
         _writer(merged, order)
