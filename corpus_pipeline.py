@@ -9,15 +9,17 @@ from tideline.llm.common import fresh, read_table, written
 from tideline.llm.queries import tokenizer_path
 
 
-# A text that no language explains better than this is rejected. Clean texts score far higher.
-LEAST_SCORE = 0.5
+# A text goes if no language explains it so many times better than a guess; short clean texts may score low.
+LEAST_GAIN = 1.2
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without a letter, and those of no language that the labelled rows have, go."""
+    """Texts without a letter, and those that fit no learned language better than another, go."""
+    network = language.learn(docs)
+    least = LEAST_GAIN / len(network.languages) if network is not None and len(network.languages) > 1 else 0.0
     name, score = fresh("language", docs.columns), fresh("score", docs.columns)
-    found = language.identify(docs, language.learn(docs), keep=docs.columns, answer=(name, score))
-    return found.where((found[name] != language.UNKNOWN) & (found[score] >= LEAST_SCORE)).drop(name, score)
+    found = language.identify(docs, network, keep=docs.columns, answer=(name, score))
+    return found.where((found[name] != language.UNKNOWN) & (found[score] >= least)).drop(name, score)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

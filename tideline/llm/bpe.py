@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import released, utf8_column
+from tideline.llm.common import released, sliced, utf8_column
 
 # Fixed value: the pattern by which byte-level BPE cuts text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -176,12 +176,10 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = encoder_for(sent.value)
-        for batch in batches:
-            texts = utf8_column(batch.column(1))
-            for at in range(0, max(1, len(texts)), 512):
-                ids = [encoder.encode(t.decode("utf-8", "replace")) for t in texts[at : at + 512]]
-                decoded = [encoder.decode(i) for i in ids]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, 512), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=["doc_id", "ids", "text"])
+        for batch in sliced(batches):
+            ids = [encoder.encode(t.decode("utf-8", "replace")) for t in utf8_column(batch.column(1))]
+            decoded = [encoder.decode(i) for i in ids]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())], names=["doc_id", "ids", "text"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(released(encode), "doc_id long, ids binary, text string")
 

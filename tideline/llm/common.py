@@ -43,6 +43,13 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def sliced(batches, rows: int = 512):
+    """Batches of fewer rows, so that only so many texts are held as Python objects at a time."""
+    for batch in batches:
+        for at in range(0, max(1, len(batch)), rows):
+            yield batch.slice(at, rows)
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """A column name that none of ``columns`` has, whatever their case."""
     taken = {c.lower() for c in columns}

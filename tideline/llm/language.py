@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tideline.llm.common import fresh, released, training_rows, utf8_column
+from tideline.llm.common import fresh, released, sliced, training_rows, utf8_column
 
 UNKNOWN = "und"
 HIDDEN = 8
@@ -263,7 +263,7 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in batches:
+        for batch in sliced(batches):
             raw = utf8_column(batch.column(batch.num_columns - 1))
             at = 0
             while at < len(raw) or at == 0:

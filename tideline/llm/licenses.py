@@ -16,7 +16,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import released, utf8_column
+from tideline.llm.common import released, sliced, utf8_column
 
 # Letters and digits of ASCII, A-Z lower-cased, and all other characters are parts of words; the rest is space.
 WORD_BYTES = bytes(
@@ -144,7 +144,7 @@ def scan(
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(phrases, notices, chars_per_edit)
-        for batch in batches:
+        for batch in sliced(batches):
             counts, places, found = [], [], []
             for raw in utf8_column(batch.column(1)):
                 words = raw.translate(WORD_BYTES).split(b" ")
