@@ -23,7 +23,10 @@ from tideline.llm.common import released, sliced, utf8_column
 # Fixed value: the pattern by which byte-level BPE cuts text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-CACHE_WORDS = 300_000
+# Pieces of text, their words and pairs of tokens that a worker remembers; some 100 MB.
+CACHE_PIECES = 200_000
+CACHE_WORDS = 100_000
+CACHE_PAIRS = 250_000
 NEVER = 1 << 62
 
 
@@ -67,9 +70,9 @@ class Encoder:
                 self.automaton.add_word(token.decode("latin-1"), (i, len(token)))
         self.automaton.make_automaton()
         self.pattern = regex.compile(WORDS)
-        self.fits = _Known(lambda pair: self.compatible(pair >> 32, pair & 0xFFFFFFFF), 4 * CACHE_WORDS)
+        self.fits = _Known(lambda pair: self.compatible(pair >> 32, pair & 0xFFFFFFFF), CACHE_PAIRS)
         self.packed = _Known(self.encode_word_text, CACHE_WORDS)
-        self.after_space = _Known(lambda chunk: b"".join(map(self.packed.__getitem__, self.pattern.findall(" " + chunk))), CACHE_WORDS)
+        self.after_space = _Known(lambda chunk: b"".join(map(self.packed.__getitem__, self.pattern.findall(" " + chunk))), CACHE_PIECES)
         self.space_run = regex.compile(r"\s \s|  ")
         size = max(vocabulary.tokens) + 1
         self.by_id = [vocabulary.tokens.get(i, b"") for i in range(size)]

@@ -259,12 +259,15 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
     schema = T.StructType([*kept.schema.fields, T.StructField(answer[0], T.StringType()), T.StructField(answer[1], T.DoubleType())])
     # The text comes last under a name that no other column has; columns are taken by place.
     text = docs[text_col].cast("string").alias(fresh("text", docs.columns))
-    read = docs.select(*(keep or [docs[id_col].cast("long").alias("doc_id")]), text)
+    # A text that is kept anyway is sent once.
+    kept_at = keep.index(text_col) if keep and text_col in keep and docs.schema[text_col].dataType == T.StringType() else None
+    read = docs.select(*(keep or [docs[id_col].cast("long").alias("doc_id")]), *([] if kept_at is not None else [text]))
+    text_at, n_kept = (len(kept.columns) if kept_at is None else kept_at), len(kept.columns)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
         for batch in sliced(batches):
-            raw = utf8_column(batch.column(batch.num_columns - 1))
+            raw = utf8_column(batch.column(text_at))
             at = 0
             while at < len(raw) or at == 0:
                 end, size = at, 0
@@ -279,7 +282,7 @@ def identify(docs: DataFrame, network: Network | None, id_col: str = "doc_id", t
                     best = p.argmax(axis=0)
                     for column, k in enumerate(asked):
                         names[k], scores[k] = model.languages[best[column]], float(p[best[column], column])
-                columns = [batch.column(i).slice(at, end - at) for i in range(batch.num_columns - 1)]
+                columns = [batch.column(i).slice(at, end - at) for i in range(n_kept)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
                 at = max(end, 1)
 
