@@ -23,10 +23,10 @@ from tideline.llm.common import released, sliced, utf8_column
 # Fixed value: the pattern by which byte-level BPE cuts text into words.
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-# Pieces of text, their words and pairs of tokens that a worker remembers; some 100 MB.
-CACHE_PIECES = 200_000
-CACHE_WORDS = 100_000
-CACHE_PAIRS = 250_000
+# Pieces of text, their words and pairs of tokens that a worker remembers; some 200 MB.
+CACHE_PIECES = 450_000
+CACHE_WORDS = 150_000
+CACHE_PAIRS = 600_000
 NEVER = 1 << 62
 
 
