@@ -512,8 +512,18 @@ def _attach(documents: DataFrame, named: DataFrame) -> DataFrame:
 
 
 def one_per_component(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **parameters) -> DataFrame:
-    """The documents without near duplicates: of each component the one with the smallest id stays, with all its columns."""
-    found = shingle_components(docs, id_col, text_col, **parameters)
-    dropped_id = fresh("dropped_id", docs.columns)
-    dropped = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(dropped_id)).distinct()
-    return docs.join(dropped, F.col(id_col).cast("long").eqNullSafe(F.col(dropped_id)), "left_anti")
+    """The documents without near duplicates: of each component one row stays, with all its columns.
+
+    It is the row with the smallest id; null ids come after all others. Rows are told
+    apart by a key written with them, so null and repeated ids decide nothing but that order.
+    """
+    row, dropped_row = fresh("row_key", docs.columns), fresh("dropped_row", docs.columns)
+    keyed = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    found = written(shingle_components(keyed, row, text_col, **parameters).select(F.col("doc_id").alias("row"), F.col("component_id").alias("component")))
+    others = found.where("row <> component")
+    members = others.unionByName(others.select(F.col("component").alias("row"), "component").distinct())
+    named = keyed.select(F.col(row).alias("key"), F.col(id_col).cast("long").alias("id"))
+    order = F.struct(F.col("id").isNull(), "id", "row")
+    kept = members.join(named, F.col("row") == F.col("key")).groupBy("component").agg(F.min_by("row", order).alias("kept"))
+    dropped = members.join(kept.select("kept"), F.col("row") == F.col("kept"), "left_anti").select(F.col("row").alias(dropped_row))
+    return keyed.join(dropped, F.col(row) == F.col(dropped_row), "left_anti").drop(row)

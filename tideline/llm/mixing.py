@@ -62,8 +62,9 @@ def mix(
     weights=WEIGHTS,
     total_share: float = TOTAL_SHARE,
     max_copies: int = MAX_COPIES,
+    row_col: str | None = None,
 ) -> DataFrame:
-    """Per document: doc_id, source, size, source_size, target, copies (0 to ``max_copies``), taken.
+    """Per document: doc_id, source, size, source_size, target, copies (0 to ``max_copies``), taken; and row, if ``row_col`` has a key of rows.
 
     Within a source every document expects target/size copies. Documents are laid
     end to end by size, strand and id; the prefix sum of expected copies plus the
@@ -83,7 +84,9 @@ def mix(
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
         F.coalesce(F.pmod(F.col(id_col).cast("long"), F.lit(STRANDS)), F.lit(-1)).alias("strand"),
+        *([] if row_col is None else [F.col(row_col).alias("row")]),
     )
+    row = [] if row_col is None else ["row"]
     sized = written(sized)
     counts = sized.groupBy("source", "size", "strand").agg(F.count(F.lit(1)).alias("n_docs"))
     by_size = counts.groupBy("source", "size").agg(F.sum("n_docs").alias("n_docs"))
@@ -112,7 +115,7 @@ def mix(
             "offset",
         )
     )
-    within = Window.partitionBy("source", "size", "strand").orderBy("doc_id")
+    within = Window.partitionBy("source", "size", "strand").orderBy("doc_id", *row)
     ranked = sized.join(
         strands,
         F.col("source").eqNullSafe(F.col("g_source")) & (F.col("size") == F.col("g_size")) & (F.col("strand") == F.col("g_strand")),
@@ -122,16 +125,17 @@ def mix(
     part = F.col("copies_each") - whole
     copies = whole + F.floor(F.col("offset") + part * F.col("rank")) - F.floor(F.col("offset") + part * (F.col("rank") - 1))
     return ranked.withColumn("copies", copies.cast("long")).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken")
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *row
     )
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **columns) -> DataFrame:
-    """The documents as the mix takes them: each row once per copy, with all its columns.
+    """The documents as the mix takes them: each row once per copy of its own, with all its columns.
 
-    Rows repeated under one id share the copies of the first of them.
+    Rows are told apart by a key written with them, also where ids are null or repeated.
     """
-    mixed_id, copies, copy = (fresh(name, docs.columns) for name in ("mixed_doc_id", "mixed_copies", "mixed_copy"))
-    taken = mix(docs, id_col, **columns).groupBy(F.col("doc_id").alias(mixed_id)).agg(F.max("copies").alias(copies)).where(F.col(copies) > 0)
-    repeated = docs.join(taken, F.col(id_col).cast("long").eqNullSafe(F.col(mixed_id)))
+    row, mixed_row, copies, copy = (fresh(name, docs.columns) for name in ("row_key", "mixed_row", "mixed_copies", "mixed_copy"))
+    keyed = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    taken = mix(keyed, id_col, row_col=row, **columns).select(F.col("row").alias(mixed_row), F.col("copies").alias(copies)).where(F.col(copies) > 0)
+    repeated = keyed.join(taken, F.col(row) == F.col(mixed_row))
     return repeated.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copy)).drop(copy)
