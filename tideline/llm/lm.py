@@ -13,15 +13,16 @@ lattices of all different training words then refit them.
 
 from __future__ import annotations
 
-import hashlib
 import math
 from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -360,6 +361,8 @@ def score_documents(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", tex
         values = np.array([*known.values(), (0.0, 0.0)]).reshape(-1, 2)
         header: list[tuple] = []
         rest: defaultdict[bytes, list[int]] = defaultdict(list)
+        # Numbers of this task's blocks; no other task of the one job that writes them has them.
+        blocks = count(TaskContext.get().partitionId() << 32)
         for batch in batches:
             for doc_id, text, trains in zip(batch.column(0).to_pylist(), utf8_column(batch.column(1)), batch.column(2).to_pylist()):
                 words = words_of(text)
@@ -370,12 +373,13 @@ def score_documents(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", tex
                 base, score = values[at].sum(axis=0) if len(words) else (0.0, 0.0)
                 header.append((doc_id or 0, doc_id is None, not trains, len(words) + 1, len(words) - len(unknown) + end_known, base + end_base, score + end_lp))
                 if len(header) >= BLOCK_DOCS or len(rest) >= BLOCK_WORDS:
-                    yield from _block_batches(header, rest)
+                    yield from _block_batches(next(blocks), header, rest)
                     header, rest = [], defaultdict(list)
         if header:
-            yield from _block_batches(header, rest)
+            yield from _block_batches(next(blocks), header, rest)
 
-    posted = rows.mapInArrow(released(post), "block long, word binary, places binary")
+    # Written once, so that headers and postings come from the same run.
+    posted = written(rows.mapInArrow(released(post), "block long, word binary, places binary"))
     is_header = F.octet_length("word") == 0
     heads = posted.where(is_header).select("block", F.lit(0).alias("part"), "places", F.lit(0).cast("long").alias("c"), F.lit(0.0).alias("base"), F.lit(0.0).alias("lp"))
     tails = posted.where(~is_header).join(scored, "word").select("block", F.lit(1).alias("part"), "places", "c", "base", "lp")
@@ -394,7 +398,7 @@ def score_documents(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", tex
                     block, own = blocks[a], None
                 part = batch.slice(a, b - a)
                 if part.column(1)[0].as_py() == 0:
-                    # The header sorts first; a block that ran twice has it twice, the same.
+                    # The header sorts first; every block has one.
                     own = np.frombuffer(part.column(2)[0].as_py(), HEADER).copy()
                     part = part.slice(1)
                     if not len(part):
@@ -414,10 +418,8 @@ def score_documents(docs: DataFrame, pieces: Pieces, id_col: str = "doc_id", tex
     return together.mapInArrow(released(add_up), schema)
 
 
-def _block_batches(header: list[tuple], rest: dict[bytes, list[int]]) -> Iterator[pa.RecordBatch]:
-    """The block's number comes from its documents, so it is the same whenever they are read."""
+def _block_batches(block: int, header: list[tuple], rest: dict[bytes, list[int]]) -> Iterator[pa.RecordBatch]:
     packed = np.array(header, HEADER).tobytes()
-    block = int.from_bytes(hashlib.blake2b(packed, digest_size=8).digest(), "little", signed=True)
     words, places = [END, *rest], [packed, *(array("i", p).tobytes() for p in rest.values())]
     for at in range(0, len(words), 20_000):
         n = len(words[at : at + 20_000])
