@@ -82,39 +82,44 @@ class Scanner:
 
     def fuzzy(self, text: bytes) -> list[tuple[str, int, int, int, float]]:
         """Label, first and last word, edits and similarity of every verified notice."""
-        windows: dict[int, list[list[int]]] = {}
+        windows: set[tuple[int, int]] = set()
         for end, (size, places) in self.seeds.iter(text.decode("latin-1")):
             for notice, offset in places:
-                n = self.notices[notice]
-                start = end + 1 - size - offset - n.edits
-                stop = start + len(n.text) + 2 * n.edits
-                own = windows.setdefault(notice, [])
-                if own and start <= own[-1][1]:
-                    own[-1] = [min(own[-1][0], start), max(own[-1][1], stop)]
-                else:
-                    own.append([start, stop])
+                windows.add((notice, end + 1 - size - offset - self.notices[notice].edits))
         found = {}
-        for notice, spans in windows.items():
+        for notice, start in sorted(windows):
             n = self.notices[notice]
-            for start, stop in spans:
-                for match in self.patterns[notice].finditer(text, max(0, start), min(len(text), stop)):
-                    inner = match.group().strip(b" ")
-                    if not inner:
-                        continue
-                    at = match.start() + match.group().find(inner)
-                    first = text.count(b" ", 0, at) - 1
-                    last = first + inner.count(b" ")
-                    edits = sum(match.fuzzy_counts)
-                    held = found.get((n.label, first))
-                    if held is None or edits < held[3]:
-                        found[n.label, first] = (n.label, first, last, edits, 1 - edits / len(n.text))
-        # Wordings that differ in a word or two match in each other's places; there the closest one stands.
+            # A window of its own for each hit: the best match of a wider one would hide others left of it.
+            for at, matched, edits in self._verified(notice, text, max(0, start), min(len(text), start + len(n.text) + 2 * n.edits)):
+                inner = matched.strip(b" ")
+                if not inner:
+                    continue
+                first = text.count(b" ", 0, at + matched.find(inner)) - 1
+                last = first + inner.count(b" ")
+                held = found.get((n.label, first))
+                if held is None or edits < held[3]:
+                    found[n.label, first] = (n.label, first, last, edits, 1 - edits / len(n.text))
+        # Wordings that differ in a word or two match in each other's places, and a window that ends inside
+        # a notice has a part of it; there the closest one stands.
         closest: list[tuple[str, int, int, int, float]] = []
         for one in sorted(found.values(), key=lambda f: (-f[4], f[1], f[0])):
-            if all(one[2] < other[1] or one[1] > other[2] for other in closest if other[0] != one[0]):
+            if all(one[2] < other[1] or one[1] > other[2] for other in closest):
                 closest.append(one)
         return sorted(closest, key=lambda f: (f[1], f[0]))
 
+    def _verified(self, notice: int, text: bytes, start: int, stop: int) -> Iterator[tuple[int, bytes, int]]:
+        """Place, bytes and edits of the best match in a window, and of those left and right of it."""
+        n = self.notices[notice]
+        if stop - start < len(n.text) - n.edits:
+            return
+        match = self.patterns[notice].search(text, start, stop)
+        if match is None or not match.group():
+            return
+        yield match.start(), match.group(), sum(match.fuzzy_counts)
+        # Neighbours share the space between them.
+        yield from self._verified(notice, text, start, min(match.start() + 1, stop - 1))
+        yield from self._verified(notice, text, max(match.end() - 1, start + 1), stop)
+
 
 SCHEMA = (
     "doc_id long, n_words long, places array<struct<label: string, word: long>>, "
@@ -139,7 +144,7 @@ def scan(
     Whole texts are read in place, without an exchange. A null or empty text has
     no words; repeated rows are scanned each; a notice found at one word by
     several wordings of a label is reported once, with the fewest edits; where
-    notices of different labels overlap, the most similar one is reported.
+    notices overlap, the most similar one is reported.
     """
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
