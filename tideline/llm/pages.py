@@ -35,8 +35,10 @@ CHROME_WORDS = frozenset(
     "footer gdpr header masthead menu nav navbar navigation newsletter notice notices popup promo related respond share sharing sidebar "
     "signup social sponsor sponsored subscribe toolbar widget".split()
 )
-# Elements that say themselves that they are the content.
+# Elements that say themselves that they are the content, asked only where no template tells it.
 CONTENT_TAGS = ("article", "main")
+# Elements of single paragraphs and titles, too small for a slot.
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figure figcaption option".split())
 
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({UNREAD})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[/!?a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
@@ -62,11 +64,14 @@ class Block:
 
 
 def _element(name: str, tag: str) -> str:
-    """The name of an element in a path; chrome gets a ``!`` before it."""
+    """The name of an element in a path; chrome gets a ``!`` before it, what may be chrome by its words (or is a form) a ``?``."""
     marks = {w for value in NAMED.findall(tag) for w in WORD.findall(value.lower())}
     plain = "#".join([name, *sorted(marks)])
-    chrome = name in CHROME_TAGS or name == "header" or not CHROME_WORDS.isdisjoint(marks)
-    return ("!" if chrome else "") + plain
+    if name in ("html", "body"):
+        return plain
+    if name != "form" and (name in CHROME_TAGS or name == "header"):
+        return "!" + plain
+    return ("?" if name == "form" or not CHROME_WORDS.isdisjoint(marks) else "") + plain
 
 
 def _key(path: str, text: str) -> int:
@@ -192,7 +197,8 @@ def host_templates(pages: DataFrame, slot_share: float = SLOT_SHARE) -> DataFram
     )
     steps = F.split(F.expr("substring(path, 2)"), "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(steps, 1, n), "/")))
-    # Text on most pages is part of the template and so no slot; the rest weighs the elements it stands in.
+    # Text on most pages is part of the template and so no slot; the rest weighs the elements it stands in,
+    # whatever words they are named by.
     varying = (
         tokens.where((F.col("kind") == "text") & (F.col("path") != "") & ~F.col("path").contains("!"))
         .join(totals, "host")
@@ -215,7 +221,7 @@ def host_templates(pages: DataFrame, slot_share: float = SLOT_SHARE) -> DataFram
         elements = set(valid.path[valid.kind == "tag"])
         slots = rows[(rows.kind == "slot") & rows.path.isin(elements)]
         total = rows.chars[rows.kind == "slot"].max() if (rows.kind == "slot").any() else 0
-        fitting = sorted(p for p, c in zip(slots.path, slots.chars) if c >= slot_share * total and c > 0)
+        fitting = sorted(p for p, c in zip(slots.path, slots.chars) if c >= slot_share * total and c > 0 and _tag(p.rsplit("/", 1)[-1]) not in TEXT_TAGS)
         root = max(fitting, key=lambda p: p.count("/"), default="")
         texts = sorted(set(valid.token[valid.kind == "text"].tolist()))
         return pd.DataFrame({"host": [rows.host.iloc[0]], "pages": [int(rows.host_pages.iloc[0])], "root": [root], "tokens": [texts]})
@@ -223,26 +229,35 @@ def host_templates(pages: DataFrame, slot_share: float = SLOT_SHARE) -> DataFram
     return template.unionByName(varying).groupBy("host").applyInPandas(nest, "host string, pages long, root string, tokens array<long>")
 
 
-def _content_paths(path: str) -> list[str]:
-    """The elements of a path, outermost first, that call themselves content."""
-    steps = path.split("/")
-    return ["/".join(steps[: i + 1]) for i, step in enumerate(steps) if step.split("#")[0] in CONTENT_TAGS]
+def _tag(step: str) -> str:
+    return step.lstrip("!?").split("#")[0]
+
+
+def _is_content(path: str) -> bool:
+    """Whether some element of the path calls itself content."""
+    return any(_tag(step) in CONTENT_TAGS for step in path.split("/"))
+
+
+def _is_chrome(path: str, slot: str) -> bool:
+    """Whether the path passes chrome inside the slot; words don't count on the way to an element that calls itself content."""
+    steps = path[len(slot) :].split("/")[1:]
+    last = max((i for i, step in enumerate(steps) if _tag(step) in CONTENT_TAGS), default=-1)
+    return any(step[0] == "!" for step in steps) or any(step[0] == "?" for step in steps[last + 1 :])
 
 
 def main_text(page: str, root: str, constant: frozenset[int]) -> str:
-    """The blocks in the article's slot, without chrome and without the template's own text.
+    """The blocks in the article's slot, without chrome inside it and without the template's own text.
 
-    A slot inside an element that calls itself content is widened to it; one around such
-    elements is narrowed to them. Without a template, or where a page lacks its host's slot,
-    such elements are taken alone, else the whole page. A page with nothing but the
-    template's text keeps that (its host has one text only).
+    Without a template, or where a page lacks its host's slot, elements that call themselves
+    content are taken alone, else the whole page. Where words of class, id or role leave
+    nothing, they are not asked. A page with nothing but the template's text keeps that (its
+    host has one text only).
     """
     blocks, _ = parse(page)
-    readable = [b for b in blocks if "!" not in b.path]
-    slot = (_content_paths(root) or [root])[0]
-    inside = [b for b in readable if b.path == slot or b.path.startswith(slot + "/")] or readable
-    content = [b for b in inside if _content_paths(b.path)]
-    chosen = content or inside
+    inside = [b for b in blocks if b.path == root or b.path.startswith(root + "/")] if root else []
+    slot, all_ = (root, inside) if inside else ("", blocks)
+    readable = [b for b in all_ if not _is_chrome(b.path, slot)] or [b for b in all_ if "!" not in b.path[len(slot) :]]
+    chosen = readable if inside else [b for b in readable if _is_content(b.path)] or readable
     own = [b for b in chosen if b.token not in constant]
     return "\n".join(b.text for b in (own or chosen))
 
