@@ -72,9 +72,9 @@ def covered_value(aggregate: Column, count: Column, intervals_per_bucket: float,
 
 
 def to_labels(
-    buckets: DataFrame, descriptor: ResultDescriptor, resolution_ms: int, count: Column
+    buckets: DataFrame, descriptor: ResultDescriptor, resolution_ms: int, count: Column, how: str = "inner"
 ) -> DataFrame:
-    """Aggregated buckets of sources to measurements of the descriptor's labels."""
+    """Aggregated buckets of sources to measurements of the descriptor's labels; with ``how`` 'left' those without a label as well."""
     functions = distinct_functions(descriptor)
     rows = [
         {
@@ -93,7 +93,7 @@ def to_labels(
     picked = F.get(F.array(*(F.col(f"_fn{i}").cast("double") for i in range(len(functions)))), F.col("pick"))
     per_bucket = resolution_ms / descriptor.step_ms
     extra = ["attributes"] if "attributes" in buckets.columns else []
-    return buckets.join(F.broadcast(labels), ["metric", HEARTBEAT]).select(
+    return buckets.join(F.broadcast(labels), ["metric", HEARTBEAT], how).select(
         "resource",
         F.col(BUCKET).alias("ts_ms"),
         "label",
@@ -109,7 +109,8 @@ def distinct_functions(descriptor: ResultDescriptor) -> list[Aggregation]:
 def _filled_by_resource(measured: DataFrame, labels: Column, grid: TimeGrid) -> DataFrame:
     """All buckets and labels of the resources that ``measured`` has, without reading its input again for their names.
 
-    What is gathered per resource are its rows of the result, a number that the request fixes.
+    Rows without a time or label only name their resource. What is gathered per resource are its
+    rows of the result, a number that the request fixes.
     """
     extra = ["attributes"] if "attributes" in measured.columns else []
     row = F.struct("ts_ms", "label", "value", *extra)
@@ -119,7 +120,7 @@ def _filled_by_resource(measured: DataFrame, labels: Column, grid: TimeGrid) ->
         ts.alias("ts_ms"), label.alias("label"), F.lit(None).cast("double").alias("value"), *(F.lit(None).cast(measured.schema[c].dataType).alias(c) for c in extra)
     )
     blanks = F.flatten(F.transform(labels, lambda label: F.transform(points, lambda ts: blank(ts, label))))
-    gathered = measured.groupBy("resource").agg(F.collect_list(row).alias("_rows"))
+    gathered = measured.groupBy("resource").agg(F.collect_list(F.when(F.col("ts_ms").isNotNull() & F.col("label").isNotNull(), row)).alias("_rows"))
     both = gathered.select("resource", F.explode(F.concat("_rows", blanks.cast(f"array<{kind}>"))).alias("_row")).select("resource", "_row.*")
     found = [F.max("value").alias("value")] + [F.any_value(c, ignoreNulls=True).alias(c) for c in extra]
     filled = both.groupBy("resource", "ts_ms", "label").agg(*found)
@@ -152,16 +153,17 @@ def roll_up(
             f"metric string, {HEARTBEAT} bigint",
         )
         primary = primary.join(F.broadcast(table), "metric")
-    intervals = (
-        primary.withColumn(BUCKET, step_ceiling(F.col("ts_ms"), resolution_ms))
-        .where(F.col(BUCKET).between(grid.lo, grid.hi))
-        .withColumnRenamed("ts_ms", INTERVAL)
-    )
+    gathers = resources is None and grid.size * len(descriptor.datasources) <= RESOURCE_ROWS
+    intervals = primary.withColumn(BUCKET, step_ceiling(F.col("ts_ms"), resolution_ms))
+    requested = F.col(BUCKET).between(grid.lo, grid.hi)
+    # Where names are gathered with the rows, those of no requested bucket stay as one row per source.
+    intervals = intervals.withColumn(BUCKET, F.when(requested, F.col(BUCKET))) if gathers else intervals.where(requested)
+    intervals = intervals.withColumnRenamed("ts_ms", INTERVAL)
     buckets = aggregate_buckets(intervals, distinct_functions(descriptor), with_attributes)
-    measured = to_labels(buckets, descriptor, resolution_ms, F.col(COUNT))
+    measured = to_labels(buckets, descriptor, resolution_ms, F.col(COUNT), "left" if gathers else "inner")
 
     labels = F.array(*(F.lit(d.label) for d in descriptor.datasources))
-    if resources is None and grid.size * len(descriptor.datasources) <= RESOURCE_ROWS:
+    if gathers:
         return _filled_by_resource(measured, labels, grid)
     if resources is None:
         resources = primary.select("resource").distinct()
