@@ -60,4 +60,38 @@ SELECT m.doc_id, g.keep_id, g.group_size, m.doc_id = g.keep_id AS kept, sha256(m
 FROM marked m JOIN groups g ON m.norm = g.norm
 """
 
-ORACLES: dict[str, str] = {"op6_mixing": OP6, "op8_urls": OP8, "op9_dedup": OP9}
+# Vectors that take part, as whole numbers; ``row`` tells repeated rows apart and breaks ties as the ids do.
+_numbers = """
+numbers AS (
+  SELECT row_number() OVER (ORDER BY vec_id NULLS LAST) AS row, vec_id, {label} AS label,
+    list_transform(embedding, lambda x: floor({scale}::DOUBLE * x::DOUBLE)::BIGINT) AS ints
+  FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND {label} IS NOT NULL
+)"""
+_product = "list_sum(list_transform(list_zip({a}.ints, {b}.ints), lambda z: coalesce(z[1] * z[2], 0)))::BIGINT"
+
+OP12 = f"""
+WITH {_numbers.format(label="0", scale=1024)}, scored AS (
+  SELECT q.row AS query, q.vec_id AS query_id, c.row, c.vec_id, coalesce({_product.format(a="q", b="c")}, 0) AS score
+  FROM numbers q JOIN numbers c ON q.row <> c.row WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, row)::INTEGER AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
+OP13 = f"""
+WITH {_numbers.format(label="(CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END)", scale=256)}, scored AS (
+  SELECT a.row AS anchor, a.vec_id AS anchor_id, c.row, c.vec_id, a.label = c.label AS same, coalesce({_product.format(a="a", b="c")}, 0) AS score
+  FROM numbers a JOIN numbers c ON a.row <> c.row WHERE a.vec_id % 50 = 0
+), positives AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY score DESC, row) AS place FROM scored WHERE same) WHERE place <= 5
+), mined AS (
+  SELECT p.anchor_id, p.vec_id AS positive_id, n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor, p.place ORDER BY n.score DESC, n.row)::INTEGER AS rank
+  FROM positives p JOIN scored n ON p.anchor = n.anchor AND NOT n.same AND 50 * p.score <= 100 * n.score AND 100 * n.score <= 95 * p.score
+)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM mined WHERE rank <= 3
+"""
+
+ORACLES: dict[str, str] = {"op6_mixing": OP6, "op8_urls": OP8, "op9_dedup": OP9, "op12_topk": OP12, "op13_negatives": OP13}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm import bpe, dedup, fingerprints, jaccard, language, licenses, lm, mixing, pages, urls
+from tideline.llm import alignment, bpe, dedup, fingerprints, jaccard, language, licenses, lm, mixing, negatives, pages, topk, urls
 from tideline.llm.common import read_table, training_rows
 
 # The rules and listed names of the url filter.
@@ -74,6 +74,24 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(documents, network).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizers = alignment.Tokenizers.load(tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return alignment.link_report(read_table(spark, sf_dir, "documents"), tokenizers)
+
+
+def op12_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(read_table(spark, sf_dir, "embeddings"), k=10, scale=1024, every=100)
+
+
+def op13_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(read_table(spark, sf_dir, "embeddings"), moved, scale=256, every=50, positives=5, negatives=3)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_lattice_lm, op2_bpe, op3_jaccard, op4_pages, op5_licenses, op6_mixing, op7_fingerprints, op8_urls, op9_dedup, op10_language)
+    f.__name__: f
+    for f in (
+        *(op1_lattice_lm, op2_bpe, op3_jaccard, op4_pages, op5_licenses, op6_mixing, op7_fingerprints, op8_urls, op9_dedup, op10_language),
+        *(op11_alignment, op12_topk, op13_negatives),
+    )
 }
