@@ -351,6 +351,11 @@ def process_counters_query() -> str:
     return unpivot(wide(ctes, names), shown, 9)
 
 
+def rollup_incremental_query() -> str:
+    ctes = f"{EVENTS}, {rates('ev', kinds(t.EVENT_KINDS))}"
+    return listing(measured(ctes, "rated", event_labels("click", "view"), q.SINCE, t.EVENTS_END, t.EVENT_STEP, t.EVENT_RESOLUTION), 9)
+
+
 def process_hot_query() -> str:
     ctes = f"{TOTALS}, {rates('totals', DERIVE)}"
     labels = [("A", "A", days(4), AVG, 0.5), ("N_max", "N", days(4), HIGH, 0.5)]
@@ -517,10 +522,12 @@ FROM ro WHERE label = 'view'""",
         },
     ),
     "process_counters": process_counters_query(),
+    "rollup_incremental": rollup_incremental_query(),
     "process_unpadded": listing(event_measured("click", pad=False)),
     "select_with_lookback": lookback_query(),
     "average_per_series": average_per_series_query(),
     "correlate_topn": f"WITH {line_scores(ALL_LINE_SERIES, True)} SELECT {COEFFICIENT} FROM sc WHERE NOT isnan(c) {TOP} 10",
+    "correlate_pruned": f"WITH {line_scores(ALL_LINE_SERIES, True)} SELECT {COEFFICIENT} FROM sc WHERE NOT isnan(c) {TOP} 10",
     "correlate_propagate": f"WITH {line_scores(ALL_LINE_SERIES, False)} SELECT {COEFFICIENT} FROM sc {TOP} 25",
     "correlate_all": f"WITH {event_scores(ALL_EVENT_SERIES)} SELECT {COEFFICIENT} FROM sc",
     "correlate_catalog_terms": f"""WITH {event_scores(

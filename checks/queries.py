@@ -5,6 +5,7 @@ Results state unknown values as NULL and round computed numbers, as the SQL does
 
 from __future__ import annotations
 
+import re
 import statistics
 import tempfile
 import uuid
@@ -31,6 +32,7 @@ from tideline.operators.consolidate import primary_data
 from tideline.operators.hierarchy import display_ids, flatten_tree, target_metric
 from tideline.operators.rate import rate
 from tideline.operators.rollup import roll_up
+from tideline.plans import pruned, rollups
 from tideline.plans.correlation import answer, correlate, correlate_catalog, run_job, score
 from tideline.plans.measurements import average_series, process, select_measurements
 from tideline.sources import catalog as cat
@@ -116,10 +118,17 @@ def timestamp_rows_wide(spark, sf):
     return timestamp_rows(samples, ["A", "N", "R"], "seq")
 
 
+def _scratch(spark, name: str) -> str:
+    """A new path in the folder for intermediate data; a machine's own folder only where that machine is all there is."""
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='tideline-')}/{name}-{uuid.uuid4().hex}"
+
+
 def _written_table(spark, sf, samples: DataFrame, later: DataFrame | None = None) -> DataFrame:
     """Samples as stored and read back, in a table of its own in the folder for intermediate data."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="samples-")
-    path = f"{shared}/samples-{uuid.uuid4().hex}"
+    path = _scratch(spark, "samples")
     write_samples(samples, path)
     if later is not None:
         upsert_samples(spark, path, later)
@@ -387,6 +396,18 @@ def process_unpadded(spark, sf):
     return tidy(process(samples, SINCE, t.EVENTS_END, d, t.EVENT_RESOLUTION, pad_first_bucket=False))
 
 
+def rollup_incremental(spark, sf):
+    """A rollup of some samples, brought up to date with the rest in two upserts."""
+    d = event_descriptor("click", "view").export("click", "view")
+    samples = t.event_samples(spark, sf, t.EVENT_KINDS)
+    turn, path = F.pmod("seq", F.lit(20)), _scratch(spark, "rollup")
+    given = (SINCE, t.EVENTS_END, d, t.EVENT_RESOLUTION)
+    rollups.write_rollup(samples.where(turn >= 2), path, *given)
+    rollups.refresh_rollup(spark, path, samples.where(turn >= 1), samples.where(turn == 1), *given)
+    rollups.refresh_rollup(spark, path, samples, samples.where(turn == 0), *given)
+    return tidy(rollups.read_rollup(spark, path).drop("period"), 9)
+
+
 def select_with_lookback(spark, sf):
     d = event_descriptor("click", "view").export("view", "click")
     start, end = t.EVENTS_START + days(9) + hours(5), t.EVENTS_START + days(16) + hours(3)
@@ -441,6 +462,15 @@ def correlate_catalog_terms(spark, sf):
     return _scored(correlate_catalog(samples, _event_request(20), cat.index_samples(tagged)))
 
 
+def correlate_pruned(spark, sf):
+    """The best by spectra stored beforehand; only what can be among them is read and compared."""
+    samples, request = t.daily_lines(spark, sf), _line_request()
+    candidates = _all_series(t.line_samples(spark, sf))
+    path = _scratch(spark, "spectra")
+    pruned.write_spectra(pruned.series_spectra(samples, candidates, request), path)
+    return _scored(pruned.correlate_pruned(samples, pruned.read_spectra(spark, path), request, candidates))
+
+
 def correlate_list(spark, sf):
     supplier = t.table(spark, sf, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("resource"), "s_suppkey")
     listed = supplier.select("resource", F.lit("A").alias("metric"), F.col("s_suppkey").alias("ordinal"))
@@ -580,12 +610,14 @@ QUERIES = {
         custom_scalar,
         process_counters,
         process_unpadded,
+        rollup_incremental,
         select_with_lookback,
         average_per_series,
         correlate_topn,
         correlate_propagate,
         correlate_all,
         correlate_catalog_terms,
+        correlate_pruned,
         correlate_list,
         correlate_job,
         result_json,

@@ -139,12 +139,14 @@ def fill(measured: DataFrame, blanks: DataFrame, key: Sequence[str], partition_b
     """Rows of ``measured`` and of the keys in ``blanks`` that it lacks, one per key.
 
     The column ``_requested`` is true for the keys in ``blanks``.  Telling apart
-    who was asked for here, after the reduction, spares the samples a join.
+    who was asked for here, after the reduction, spares the samples a join.  Columns
+    that only ``blanks`` have are kept.
     """
-    rest = [c for c in measured.columns if c not in key]
+    marks = [c for c in blanks.columns if c not in (*key, *measured.columns)]
+    rest = [c for c in measured.columns if c not in key] + marks
     merge = {"attributes": lambda c: F.any_value(c, ignoreNulls=True)}
     return (
-        measured.unionByName(blanks.select(*key, F.lit(True).alias(REQUESTED)), allowMissingColumns=True)
+        measured.unionByName(blanks.select(*key, *marks, F.lit(True).alias(REQUESTED)), allowMissingColumns=True)
         .repartition(*partition_by)
         .groupBy(*key)
         .agg(*(merge.get(c, F.max)(c).alias(c) for c in [*rest, REQUESTED]))

@@ -1,10 +1,11 @@
 """The previous sample of each sample, with hot series split over time.
 
-A window over a whole series puts that series into one task.  The samples of
-each series are therefore counted first.  Series of more than ``HOT_ROWS`` samples
-are cut into time chunks, each a window partition of its own; the first sample of a
-chunk takes its predecessor from a summary with one row per chunk, made of the
-same exchanged rows.  The result is the plain ``lag`` however a series is cut.
+A window over a whole series puts that series into one task.  Where an input is large
+enough for that to matter, the samples of each series are counted first.  Series of more
+than ``HOT_ROWS`` samples are cut into time chunks of about equal counts, each a window
+partition of its own; the first sample of a chunk takes its predecessor from a summary with
+one row per chunk, made of the same exchanged rows.  The result is the plain ``lag``
+however a series is cut.
 """
 
 from __future__ import annotations
@@ -25,30 +26,74 @@ PREV_ROW_TS = "prev_row_ts"
 # Samples one window partition should hold at most.
 HOT_ROWS = 5_000_000
 
+# An input of no more bytes is that of a task or two: whatever its series, no task gets more.
+PLAIN_BYTES = 256 * 2**20
+
+# Cuts per chunk at the least, and cuts side by side in the list of a key.
+CUTS_PER_CHUNK = 4
+CUT_BLOCK = 64
+
 
 def hot_groups(samples: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
-    """Groups of more than ``hot_rows`` samples: at most one row per ``hot_rows`` input rows."""
-    return samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(f"_rows > {hot_rows}L").select(*keys)
+    """Groups of more than ``hot_rows`` samples and their size: at most one row per ``hot_rows`` input rows."""
+    return samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).where(f"_rows > {hot_rows}L")
+
+
+def planned_bytes(rows: DataFrame) -> int:
+    """What the planner takes the size of the rows for, from the files they are read from; starts no job."""
+    return int(str(rows._jdf.queryExecution().analyzed().stats().sizeInBytes()))
+
+
+def equi_depth_cuts(samples: DataFrame, keys: Sequence[str], hot_rows: int) -> list[tuple]:
+    """Per hot group its key and the times at which its chunks begin, in blocks of ``CUT_BLOCK``.
+
+    Two jobs, the second only if there is a hot group.  Times are taken from quantile
+    summaries that tasks build and merge, so chunks follow the counts of rows: where they
+    are dense, chunks are short.  Of n rows no chunk has more than about n / ``CUTS_PER_CHUNK``
+    beyond what one moment holds; in all there are at most 2 * ``CUTS_PER_CHUNK`` cuts per ``hot_rows`` rows.
+    """
+    hot = hot_groups(samples, keys, hot_rows).collect()
+    if not hot:
+        return []
+    listed = F.broadcast(samples.sparkSession.createDataFrame(hot))
+    # As many cuts as the largest group needs; a smaller one takes each ``_every``-th.
+    cuts = -(-CUTS_PER_CHUNK * max(r["_rows"] for r in hot) // hot_rows)
+    shares = F.expr(f"array({', '.join(f'{i / cuts!r}D' for i in range(1, cuts + 1))})")
+    accuracy = F.lit(min(8 * cuts, 2**31 - 1))
+    every = F.expr(f"greatest(1L, ({cuts}L * {hot_rows}L) div (2L * _rows))")
+    found = (
+        samples.join(listed, list(keys))
+        .groupBy(*keys, every.alias("_every"))
+        .agg(F.percentile_approx("ts_ms", shares, accuracy).alias("_cuts"))
+        .select(*keys, F.expr("array_distinct(filter(_cuts, (c, i) -> (i + 1) % _every = 0))").alias("_cuts"))
+    )
+    blocks = F.expr(f"transform(sequence(0, greatest(size(_cuts) - 1, 0), {CUT_BLOCK}), i -> slice(_cuts, i + 1, {CUT_BLOCK}))")
+    return found.select(*keys, blocks.alias("_cuts")).collect()
 
 
 def chunked(samples: DataFrame, keys: Sequence[str] = SERIES, hot_rows: int | None = None) -> DataFrame:
     """The samples, with the column ``_chunk`` if a group is hot.
 
-    Runs a job that counts samples by key, reading no other column of a stored
-    table.  A chunk is ``hot_rows`` milliseconds wide.  As a series has one sample
-    per millisecond at most, no chunk of it has more than ``hot_rows`` samples,
-    however they are spread.  Chunks of other groups are all 0.  Samples without
-    resource, metric or time belong to no series and are left out.
+    Inputs of more than ``PLAIN_BYTES``, and those for which ``hot_rows`` is given, are counted by
+    key first, by a job that reads no other column of a stored table; others are left as they are
+    without one.  Hot groups are cut by their row counts (``equi_depth_cuts``).  The cuts go
+    through the driver, so that a chunk stays the same when lost tasks run again.  Chunks of
+    other groups are all 0.  Samples without resource, metric or time belong to no series
+    and are left out.
     """
     named = samples.where("resource IS NOT NULL AND metric IS NOT NULL AND ts_ms IS NOT NULL")
-    width = HOT_ROWS if hot_rows is None else hot_rows
-    hot = hot_groups(named, keys, width)
-    found = hot.collect()
+    if hot_rows is None and planned_bytes(named) <= PLAIN_BYTES:
+        return named
+    found = equi_depth_cuts(named, keys, HOT_ROWS if hot_rows is None else hot_rows)
     if not found:
         return named
-    listed = F.broadcast(samples.sparkSession.createDataFrame(found, hot.schema).withColumn("_hot", F.lit(True)))
-    chunk = F.expr(f"CASE WHEN _hot THEN (ts_ms - pmod(ts_ms, {width}L)) div {width}L ELSE 0L END")
-    return named.join(listed, list(keys), "left").withColumn(CHUNK, chunk).drop("_hot").where(f"{CHUNK} IS NOT NULL")
+    schema = ", ".join(f"{k} string" for k in keys) + ", _cuts array<array<bigint>>"
+    listed = F.broadcast(samples.sparkSession.createDataFrame([tuple(r) for r in found], schema))
+    # First the block, by its first cut, then the place in it.
+    block = "size(filter(_cuts, b -> b[0] <= ts_ms))"
+    place = f"CASE WHEN {block} = 0 THEN 0L ELSE ({block} - 1L) * {CUT_BLOCK}L + size(filter(_cuts[{block} - 1], c -> c <= ts_ms)) END"
+    chunk = F.expr(f"CASE WHEN _cuts IS NULL THEN 0L ELSE {place} END")
+    return named.join(listed, list(keys), "left").withColumn(CHUNK, chunk).drop("_cuts").where(f"{CHUNK} IS NOT NULL")
 
 
 @dataclass(frozen=True)
@@ -121,8 +166,8 @@ def adjacent_samples(samples: DataFrame, hot_rows: int | None = None) -> DataFra
     """The samples with ``prev_ts``, ``prev_value`` and ``prev_row_ts``: the latest
     earlier timestamp at which the resource has a sample of any metric.
 
-    By resource, or by resource and ``_chunk`` where one is hot; a chunk then has at
-    most ``hot_rows`` samples of each metric.
+    By resource, or by resource and ``_chunk`` where one is hot; a chunk then has about
+    ``hot_rows`` samples at most, of all metrics together, unless one moment has more.
     """
     return look_back(chunked(samples, ["resource"], hot_rows), [PREVIOUS_ROW, PREVIOUS_SAMPLE], ["resource"])
 

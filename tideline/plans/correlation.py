@@ -20,6 +20,9 @@ from tideline.sources.catalog import DEFAULT_CONTEXT, Catalog, all_metrics
 from tideline.sources.requests import candidates_from_list, prefiltered, without_target
 from tideline.sources.samples import in_range, read_samples
 
+# True on the rows of the target.
+IS_TARGET = "_is_target"
+
 SAMPLES_PATH_CONF = "spark.tideline.samples.path"
 
 
@@ -55,24 +58,21 @@ def score(
     pad_first_bucket: bool = True,
     hot_rows: int | None = None,
 ) -> DataFrame:
-    """The coefficient of every distinct candidate, unranked."""
+    """The coefficient of every distinct candidate but the target, unranked.
+
+    Candidates and target are reduced together, in one pass over the samples; the target's buckets
+    are told apart by a mark that the reduced rows carry.
+    """
     target, start, end = request.target, request.start_ms, request.end_ms
     reach = request.rollup_ms if lookback_ms is None else lookback_ms
     read = in_range(samples, start - reach, end)
-
-    def averages(rows: DataFrame, keys: DataFrame) -> DataFrame:
-        return average_series(
-            rows, keys, start, end, request.resolution_ms, request.rollup_ms, pad_first_bucket, hot_rows
-        )
-
-    keys = candidates.select(*SERIES).distinct()
-    others = prefiltered(without_target(read, target), keys, SERIES)
-    own = read.where((F.col("resource") == target.resource) & (F.col("metric") == target.metric))
-    own_key = candidates_from_list(samples.sparkSession, [target])
-
-    pairs = pair_with_target(
-        averages(others, keys), averages(own, own_key), bucket_grid(start, end, request.rollup_ms).size
+    listed = without_target(candidates.select(*SERIES).distinct(), target)
+    own = candidates_from_list(samples.sparkSession, [target]).select(*SERIES)
+    keys = listed.withColumn(IS_TARGET, F.lit(False)).unionByName(own.withColumn(IS_TARGET, F.lit(True)))
+    averages = average_series(
+        prefiltered(read, keys, SERIES), keys, start, end, request.resolution_ms, request.rollup_ms, pad_first_bucket, hot_rows
     )
+    pairs = pair_with_target(averages.where(~F.col(IS_TARGET)), averages.where(IS_TARGET), bucket_grid(start, end, request.rollup_ms).size)
     return coefficients(pairs, nan_policy, drop_nan)
 
 

@@ -51,7 +51,7 @@ def requested_buckets(
     with_attributes: bool = False,
 ) -> DataFrame:
     """Aggregates ``_fn<i>`` of every bucket of every (resource, metric, heartbeat)
-    in ``keys``; NULL where nothing is known.
+    in ``keys``; NULL where nothing is known.  Other columns of ``keys`` are kept.
 
     Series are reduced to buckets before the one exchange that adds the missing
     buckets.  Functions that must see unknown intervals have them added first.
@@ -59,8 +59,7 @@ def requested_buckets(
     if all(fn.skips_unknown for fn in functions):
         intervals = interval_values(samples, grid, max_heartbeat_ms, buckets.step, with_attributes)
         reduced = aggregate_buckets(intervals, functions, with_attributes).drop(COUNT)
-        blanks = spine(keys.select(*SOURCE_KEY), buckets, BUCKET)
-        filled = fill(reduced, blanks, [*SOURCE_KEY, BUCKET], partition_by)
+        filled = fill(reduced, spine(keys, buckets, BUCKET), [*SOURCE_KEY, BUCKET], partition_by)
     else:
         intervals = consolidate(
             samples, keys, grid, max_heartbeat_ms, buckets.step, partition_by, with_attributes
@@ -128,7 +127,7 @@ def average_series(
     hot_rows: int | None = None,
 ) -> DataFrame:
     """Bucket averages ``resource, metric, ts_ms, value`` of every series in
-    ``keys``, all under the same default datasource.
+    ``keys``, all under the same default datasource, with other columns of ``keys``.
 
     The form of ``process`` for a correlation, where the metrics are data, as
     many as the catalog holds, instead of names in a descriptor.
@@ -140,7 +139,7 @@ def average_series(
     uniform = F.lit(heartbeat).cast("bigint")
     rolled = requested_buckets(
         rated_samples(samples.select(*SERIES, "ts_ms", "metric_type", "value"), hot_rows=hot_rows).withColumn(HEARTBEAT, uniform),
-        keys.select(*SERIES).withColumn(HEARTBEAT, uniform),
+        keys.withColumn(HEARTBEAT, uniform),
         grid,
         buckets,
         heartbeat,
@@ -150,7 +149,7 @@ def average_series(
     )
     present = grid.points_within(BUCKET, resolution_ms)
     value = covered_value(F.col("_fn0"), present, resolution_ms / step_ms, F.lit(DEFAULT_XFF))
-    return rolled.select(*SERIES, F.col(BUCKET).alias("ts_ms"), value.alias("value"))
+    return rolled.select(*SERIES, F.col(BUCKET).alias("ts_ms"), value.alias("value"), *(c for c in keys.columns if c not in SERIES))
 
 
 def select_measurements(
