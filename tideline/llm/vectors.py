@@ -128,7 +128,10 @@ def stored(numbers: DataFrame, shelves: int, block_rows: int, order: list[Column
         packed = [pa.array([np.ascontiguousarray(m).tobytes()], pa.binary()) for m in (values.T.astype("<i4"), top)]
         return pa.RecordBatch.from_arrays([*numbers, *lists, *packed], names=["shelf", "block", "dim", "rows", "ids", "labels", "data", "upper"])
 
-    placed = numbers.repartitionByRange(shelves, *order, F.col("row")).sortWithinPartitions(*order, "row")
+    # As columns, so that sorting compares what was computed once.
+    names = [f"_order{i}" for i in range(len(order))]
+    keyed = numbers.withColumns(dict(zip(names, order))) if order else numbers
+    placed = keyed.repartitionByRange(shelves, *names, "row").sortWithinPartitions(*names, "row").drop(*names)
     return written(placed.mapInArrow(released(pack), STORED))
 
 
