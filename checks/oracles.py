@@ -356,6 +356,30 @@ def rollup_incremental_query() -> str:
     return listing(measured(ctes, "rated", event_labels("click", "view"), q.SINCE, t.EVENTS_END, t.EVENT_STEP, t.EVENT_RESOLUTION), 9)
 
 
+def stream_primary_query() -> str:
+    pairs = [("click", hours(24)), ("click", hours(5)), ("view", hours(24))]
+    grid = TimeGrid.covering(q.SINCE, q.STREAM_END, t.EVENT_STEP)
+    reached = f"s.ts_ms BETWEEN {grid.lo - grid.step + 1} AND {grid.hi + hours(24)}"
+    keys = f"SELECT DISTINCT s.resource, h.metric, h.hb FROM ev s JOIN pd_hb h ON s.metric = h.metric WHERE {reached}"
+    return primary_listing(EVENTS, "ev", pairs, grid, keys, True)
+
+
+def catalog_incremental_query() -> str:
+    return """WITH latest AS (
+  SELECT 's' || l_suppkey AS resource, epoch_us(l_shipdate) // 1000 AS ts_ms, l_returnflag AS metric,
+    arg_max(l_quantity, l_orderkey * 10 + l_linenumber) AS value
+  FROM lineitem GROUP BY ALL
+), pairs AS (
+  SELECT resource, ts_ms, 'quantity' AS field, CAST(CAST(trunc(value) AS BIGINT) AS VARCHAR) AS value FROM latest
+  UNION ALL SELECT resource, ts_ms, 'flag', metric FROM latest
+), newest AS (
+  SELECT *, row_number() OVER (PARTITION BY resource, field ORDER BY ts_ms DESC, value DESC) AS i FROM pairs
+)
+SELECT DISTINCT 'term' AS part, resource, field, value FROM pairs
+UNION ALL SELECT 'attribute', resource, field, value FROM newest WHERE i = 1
+UNION ALL SELECT DISTINCT 'metric', resource, '', metric FROM latest"""
+
+
 def process_hot_query() -> str:
     ctes = f"{TOTALS}, {rates('totals', DERIVE)}"
     labels = [("A", "A", days(4), AVG, 0.5), ("N_max", "N", days(4), HIGH, 0.5)]
@@ -452,6 +476,7 @@ one AS (SELECT resource, {K_OF} AS k, row_number() OVER (PARTITION BY resource O
 SELECT 'default' AS context, resource, 'k' AS attribute, k AS value FROM one WHERE i = 1""",
     "index_metrics": f"""WITH {EVENTS}
 SELECT DISTINCT 'default' AS context, resource, metric AS metric_name FROM ev""",
+    "catalog_incremental": catalog_incremental_query(),
     "catalog_any": catalog_search(f"{K_OF} IN ('7', '69')"),
     "catalog_term": catalog_search(f"{K_OF} = '42'"),
     "metrics_by_resource": f"""WITH {EVENTS}
@@ -464,6 +489,9 @@ SELECT p_partkey, c.o::BIGINT AS ordinal, c.r AS resource, c.m AS metric FROM bo
 WHERE NOT (c.r = 'Brand#17' AND c.m = 'ECONOMY')""",
     "step_floor_ceil": orders_times(),
     "spine": f"""SELECT 's' || s_suppkey AS resource,
+  {points(TimeGrid.covering(t.EVENTS_START + 1, t.EVENTS_END - 1, hours(5)))} AS ts_ms FROM supplier""",
+    "sql_steps": orders_times(),
+    "sql_spine": f"""SELECT 's' || s_suppkey AS resource,
   {points(TimeGrid.covering(t.EVENTS_START + 1, t.EVENTS_END - 1, hours(5)))} AS ts_ms FROM supplier""",
     "rate_counter": rate_listing(EVENTS, kinds(t.EVENT_KINDS)),
     "rate_reset": rate_listing(
@@ -488,6 +516,7 @@ SELECT resource, metric, ts_ms, 'GAUGE' AS metric_type,
     "primary_multi_hb": primary_listing(
         EVENTS, "ev", [("click", hours(5)), ("click", hours(60)), ("view", hours(24))], EVENT_GRID, hb=True
     ),
+    "stream_primary": stream_primary_query(),
     "primary_gapfill": gapfill_query(),
     "attr_merge": f"""WITH {attribute_rows()}
 SELECT resource, metric, t AS ts_ms, 'k' AS attribute, arg_max({K_OF}, ts_ms) AS attribute_value

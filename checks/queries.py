@@ -5,16 +5,13 @@ Results state unknown values as NULL and round computed numbers, as the SQL does
 
 from __future__ import annotations
 
-import re
 import statistics
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from checks import tables as t
-from tideline.functions import grid
+from tideline.functions import grid, sqlfunctions
 from tideline.functions.grid import TimeGrid, days, hours, step_ceiling, step_floor
 from tideline.functions.values import (
     MAX,
@@ -35,10 +32,12 @@ from tideline.operators.rollup import roll_up
 from tideline.plans import pruned, rollups
 from tideline.plans.correlation import answer, correlate, correlate_catalog, run_job, score
 from tideline.plans.measurements import average_series, process, select_measurements
+from tideline.session import scratch_path
 from tideline.sources import catalog as cat
-from tideline.sources import results
+from tideline.sources import indexing, results
 from tideline.sources.requests import candidates_from_json, without_target
 from tideline.sources.samples import (
+    SAMPLE_SCHEMA,
     in_range,
     latest_samples,
     read_samples,
@@ -47,6 +46,8 @@ from tideline.sources.samples import (
     upsert_samples,
     write_samples,
 )
+from tideline.streaming.consolidation import PRIMARY_SCHEMA, run_available, stream_primary_data
+
 
 DIGITS = 6
 
@@ -56,6 +57,11 @@ NOW = t.EVENTS_START + days(29) + hours(12)
 SINCE = t.EVENTS_START + days(1)
 
 
+# Streamed events: how late they may be, and what is closed when all are there.
+STREAM_DELAY = days(8)
+STREAM_END = t.EVENTS_START + days(20)
+
+
 def rounded(value: Column, digits: int = DIGITS) -> Column:
     """Half up in binary arithmetic, which both engines do alike; decimal ``round`` they do not."""
     scale = F.lit(float(10**digits))
@@ -118,17 +124,9 @@ def timestamp_rows_wide(spark, sf):
     return timestamp_rows(samples, ["A", "N", "R"], "seq")
 
 
-def _scratch(spark, name: str) -> str:
-    """A new path in the folder for intermediate data; a machine's own folder only where that machine is all there is."""
-    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if shared is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-    return f"{shared or tempfile.mkdtemp(prefix='tideline-')}/{name}-{uuid.uuid4().hex}"
-
-
 def _written_table(spark, sf, samples: DataFrame, later: DataFrame | None = None) -> DataFrame:
     """Samples as stored and read back, in a table of its own in the folder for intermediate data."""
-    path = _scratch(spark, "samples")
+    path = scratch_path(spark, "samples")
     write_samples(samples, path)
     if later is not None:
         upsert_samples(spark, path, later)
@@ -183,6 +181,23 @@ def index_metrics(spark, sf):
     return cat.index_samples(t.event_samples(spark, sf)).resource_metrics
 
 
+def catalog_incremental(spark, sf):
+    """A catalog of older line items, merged with those that are new or replace some."""
+    samples = t.line_samples(spark, sf).withColumn("attributes", F.expr("map('quantity', string(int(value)), 'flag', metric)"))
+    later = F.pmod("seq", F.lit(20)) >= 12
+    path = scratch_path(spark, "samples")
+    write_samples(samples.where(~later), path)
+    before = read_samples(spark, path)
+    index = indexing.index_counted(before)
+    kept = scratch_path(spark, "index")
+    index.write(kept)
+    merged = indexing.merge_index(indexing.CountedCatalog.read(spark, kept), before, samples.where(later)).catalog
+    terms = merged.terms.select(F.lit("term").alias("part"), "resource", "field", "value")
+    attributes = merged.resource_attributes.select(F.lit("attribute"), "resource", "attribute", "value")
+    metrics = merged.resource_metrics.select(F.lit("metric"), "resource", F.lit(""), "metric_name")
+    return terms.union(attributes).union(metrics)
+
+
 def catalog_any(spark, sf):
     return cat.match_any_value(cat.index_samples(t.event_samples(spark, sf)), "7", "69")
 
@@ -228,6 +243,27 @@ def spine(spark, sf):
     return grid.spine(keys, TimeGrid.covering(t.EVENTS_START + 1, t.EVENTS_END - 1, hours(5)))
 
 
+def sql_steps(spark, sf):
+    """``step_floor_ceil`` in SQL, by functions registered on the session."""
+    sqlfunctions.register(spark)
+    t.table(spark, sf, "orders", "o_orderkey bigint, o_orderdate timestamp").createOrReplaceTempView("checked_orders")
+    signed = f"(ts_ms - {t.EVENTS_START})"
+    return spark.sql(f"""
+        SELECT o_orderkey, step_floor(ts_ms, {hours(7)}) AS floor_7h, step_ceiling(ts_ms, {hours(7)}) AS ceiling_7h,
+          step_floor({signed}, {hours(5)}) AS floor_before_origin, step_ceiling({signed}, {hours(5)}) AS ceiling_before_origin,
+          epoch_seconds(ts_ms) AS seconds, ts_ms AS round_trip
+        FROM (SELECT o_orderkey, unix_millis(o_orderdate) + o_orderkey * 7919 AS ts_ms FROM checked_orders)""")
+
+
+def sql_spine(spark, sf):
+    """``spine`` in SQL."""
+    sqlfunctions.register(spark)
+    t.table(spark, sf, "supplier").createOrReplaceTempView("checked_supplier")
+    return spark.sql(f"""
+        SELECT concat('s', s_suppkey) AS resource, i.ts_ms
+        FROM checked_supplier, LATERAL intervals({t.EVENTS_START + 1}, {t.EVENTS_END - 1}, {hours(5)}) AS i""")
+
+
 # --- rates -------------------------------------------------------------------
 
 
@@ -288,6 +324,18 @@ def primary_multi_hb(spark, sf):
     return tidy(primary_data(t.event_samples(spark, sf), SINCE, t.EVENTS_END, d))
 
 
+def stream_primary(spark, sf):
+    """Events that arrive in four parts, in order of time within eight days; what is closed by the end covers the range asked for."""
+    source, sink, state = (scratch_path(spark, f"stream-{n}") for n in ("in", "out", "state"))
+    d = ResultDescriptor(t.EVENT_STEP).datasource("click", heartbeat_ms=hours(24)).datasource("click-short", "click", heartbeat_ms=hours(5)).datasource("view", heartbeat_ms=hours(24))
+    for part in range(4):
+        start = t.EVENTS_START + days(7.5) * part
+        t.event_samples(spark, sf, start_ms=start, end_ms=start + days(7.5) - 1).drop("seq", "shard").write.mode("append").parquet(source)
+        samples = spark.readStream.schema(SAMPLE_SCHEMA).parquet(source)
+        run_available(stream_primary_data(samples, SINCE, STREAM_END, d, STREAM_DELAY), sink, state)
+    return tidy(spark.read.schema(PRIMARY_SCHEMA).parquet(sink))
+
+
 def primary_gapfill(spark, sf):
     d = ResultDescriptor(hours(3)).datasource("click").datasource("error")
     keys = t.table(spark, sf, "customer").select(F.concat(F.lit("u"), "c_custkey").alias("resource"))
@@ -400,7 +448,7 @@ def rollup_incremental(spark, sf):
     """A rollup of some samples, brought up to date with the rest in two upserts."""
     d = event_descriptor("click", "view").export("click", "view")
     samples = t.event_samples(spark, sf, t.EVENT_KINDS)
-    turn, path = F.pmod("seq", F.lit(20)), _scratch(spark, "rollup")
+    turn, path = F.pmod("seq", F.lit(20)), scratch_path(spark, "rollup")
     given = (SINCE, t.EVENTS_END, d, t.EVENT_RESOLUTION)
     rollups.write_rollup(samples.where(turn >= 2), path, *given)
     rollups.refresh_rollup(spark, path, samples.where(turn >= 1), samples.where(turn == 1), *given)
@@ -466,7 +514,7 @@ def correlate_pruned(spark, sf):
     """The best by spectra stored beforehand; only what can be among them is read and compared."""
     samples, request = t.daily_lines(spark, sf), _line_request()
     candidates = _all_series(t.line_samples(spark, sf))
-    path = _scratch(spark, "spectra")
+    path = scratch_path(spark, "spectra")
     pruned.write_spectra(pruned.series_spectra(samples, candidates, request), path)
     return _scored(pruned.correlate_pruned(samples, pruned.read_spectra(spark, path), request, candidates))
 
@@ -580,12 +628,15 @@ QUERIES = {
         index_terms,
         index_attributes,
         index_metrics,
+        catalog_incremental,
         catalog_any,
         catalog_term,
         metrics_by_resource,
         candidates_json,
         step_floor_ceil,
         spine,
+        sql_steps,
+        sql_spine,
         rate_counter,
         rate_reset,
         rate_wrap64,
@@ -595,6 +646,7 @@ QUERIES = {
         primary_avg,
         primary_few_series,
         primary_multi_hb,
+        stream_primary,
         primary_gapfill,
         attr_merge,
         attr_merge_rollup,

@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from tideline.functions.grid import hours
 from tideline.model import CorrelationRequest, Metric, ResultDescriptor
+from tideline.operators import neighbours
 from tideline.operators.consolidate import primary_data
 from tideline.operators.correlate import top_candidates
+from tideline.operators.rate import rate
 from tideline.plans.correlation import correlate, score
 from tideline.plans.measurements import process
+from tideline.sources.bucketed import read_bucketed, write_bucketed
 from tideline.sources.requests import candidates_from_list
 from tideline.sources.samples import SAMPLE_SCHEMA, touched_shards, write_samples
 
@@ -66,7 +69,6 @@ def test_hot_series_are_split_without_another_scan(spark, samples, static):
     assert len(re.findall(r"ReusedExchange [^\n]*_chunk[^\n]*REPARTITION_BY_COL", plan)) == 1
     assert found.count("resource, metric, bucket_ms") == 1 and found.count("resource, bucket_ms") == 1
     assert scans(plan) == 1
-    # Besides, samples are counted by key once.
     assert scans(plan_of(process(samples, 0, hours(5), DESCRIPTOR, hours(1), resources=resources))) == 1
 
 
@@ -84,15 +86,68 @@ def test_upserts_name_the_touched_shards(spark, samples, static):
     assert re.search(r"PartitionFilters: \[[^\]]*shard#\d+L? IN \(0,600\)", plan)
 
 
-def test_correlation_joins_samples_with_keys_before_the_window(spark, samples, static):
+def test_correlation_reads_samples_once(spark, samples, static):
+    """Candidates and target come from one pass, joined with their keys before the window, exchanged once for both."""
     catalog = samples.select("resource", "metric").distinct()
     plan = plan_of(score(samples, REQUEST, catalog, "zero"))
     assert "LeftSemi" in plan and plan.index("Window") < plan.index("LeftSemi")
-    assert scans(plan_of(score(samples, REQUEST, candidates_from_list(spark, [Metric("r1", "m1")]), "zero"))) == 2
+    plan = plan_of(score(samples, REQUEST, candidates_from_list(spark, [Metric("r1", "m1")]), "zero"))
+    assert scans(plan) == 1 and "ReusedExchange" in plan
     plan = plan_of(correlate(samples, REQUEST, [Metric("r1", "m1"), Metric("r2", "m0")], "zero"))
     assert plan.startswith("TakeOrderedAndProject")
 
 
+def test_adaptive_correlation_reads_samples_once(spark, samples):
+    """As run: of the stages, one scans the samples."""
+    scored = score(samples, REQUEST, candidates_from_list(spark, [Metric("r1", "m1")]), "zero")
+    assert len(scored.collect()) == 1
+    final = plan_of(scored).split("Initial Plan")[0]
+    assert final.count("FileScan parquet") == 1 and "ReusedExchange" in final
+
+
+def jobs_of(spark, run):
+    """How many jobs a call starts."""
+    context = spark.sparkContext
+    context.setJobGroup("counted", "counted")
+    try:
+        run()
+        return len(context.statusTracker().getJobIdsForGroup("counted"))
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_building_a_frame_starts_no_job(spark, samples):
+    resources = spark.createDataFrame([("r1",)], "resource string")
+    keys = candidates_from_list(spark, [Metric("r1", "m1")])
+    assert jobs_of(spark, lambda: rate(samples)) == 0
+    assert jobs_of(spark, lambda: rate(samples, strict_adjacency=True)) == 0
+    assert jobs_of(spark, lambda: primary_data(samples, 0, hours(5), DESCRIPTOR)) == 0
+    assert jobs_of(spark, lambda: process(samples, 0, hours(5), DESCRIPTOR, hours(1), resources=resources)) == 0
+    assert jobs_of(spark, lambda: correlate(samples, REQUEST, keys, "zero")) == 0
+    assert jobs_of(spark, lambda: rate(samples, hot_rows=10)) > 0
+
+
+def test_large_inputs_are_counted(spark, samples, monkeypatch):
+    monkeypatch.setattr(neighbours, "PLAIN_BYTES", 0)
+    assert jobs_of(spark, lambda: rate(samples)) > 0
+    assert neighbours.planned_bytes(samples) > 0
+
+
+def test_bucketed_samples_are_looked_back_without_exchange_and_sort(spark, samples):
+    write_bucketed(samples, "bucketed_samples", 4)
+    try:
+        stored = read_bucketed(spark, "bucketed_samples")
+        plan = plan_of(rate(stored))
+        below = plan[plan.index("Window") :]
+        assert "Exchange" not in below and "Sort" not in below and "Bucketed: true" in below
+        values = lambda rows: {(r["resource"], r["metric"], r["ts_ms"]): r["value"] for r in rows.collect()}
+        counters = [rows.withColumn("metric_type", F.lit("DERIVE")) for rows in (stored, samples)]
+        got, want = (values(rate(rows).where("NOT isnan(value)")) for rows in counters)
+        assert got == want and len(want) == 285
+    finally:
+        spark.sql("DROP TABLE bucketed_samples")
+
+
 def test_long_candidate_lists_are_spread(spark, samples):
     listed = [Metric(f"r{i}", "m1") for i in range(5000)]
     candidates = candidates_from_list(spark, listed)
@@ -106,14 +161,6 @@ def test_unlisted_series_stay_out(spark, samples):
     assert [(r["resource"], r["metric"]) for r in rows] == [("r1", "m1")]
 
 
-def test_target_filter_reaches_its_scan(spark, samples, static):
-    scored = score(samples, REQUEST, candidates_from_list(spark, [Metric("r1", "m1")]))
-    formatted = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted")
-    plan = scored._jdf.queryExecution().explainString(formatted)
-    pushed = [line for line in plan.split("\n") if line.startswith("PushedFilters")]
-    assert any("EqualTo(resource,r0)" in line and "EqualTo(metric,m0)" in line for line in pushed)
-
-
 def test_ranking_keeps_no_full_sort(spark, static):
     scored = spark.createDataFrame([("r", "a", 0.5)], "resource string, metric string, coefficient double")
     plan = plan_of(top_candidates(scored.select("resource", "metric"), scored, 3))

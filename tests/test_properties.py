@@ -9,7 +9,7 @@ from helpers import samples_of
 from tideline.functions.grid import TimeGrid
 from tideline.model import Metric, ResultDescriptor, CorrelationRequest
 from tideline.operators.consolidate import primary_data
-from tideline.operators.neighbours import adjacent_samples, previous_samples, with_previous
+from tideline.operators.neighbours import adjacent_samples, chunked, previous_samples, with_previous
 from tideline.plans.correlation import score
 from tideline.plans.measurements import process
 
@@ -104,6 +104,31 @@ def test_a_burst_is_split_as_well(spark):
     assert rows.where("prev_ts IS NULL").count() == 1 and rows.where("ts_ms - prev_ts = 1").count() == 99_989
 
 
+def test_a_resource_of_many_metrics_is_cut_by_its_rows(spark):
+    """Thousands of series, none of them long, most rows in a short time: chunks hold what they may, and the look back is right."""
+    rows = spark.range(40_000).selectExpr(
+        "'wide' AS resource", "CASE WHEN id < 30000 THEN 1000000 + id div 200 ELSE (id - 30000) * 1000 END AS ts_ms", "concat('m', id % 2000) AS metric"
+    )
+    small = spark.range(500).selectExpr("'small' AS resource", "id AS ts_ms", "'m' AS metric")
+    samples = rows.unionByName(small).distinct().selectExpr("*", "'GAUGE' AS metric_type", "1.0 AS value")
+    chunks = chunked(samples, ["resource"], 2000)
+    sizes = {(r["resource"], r["_chunk"]): r["count"] for r in chunks.groupBy("resource", "_chunk").count().collect()}
+    assert max(sizes.values()) <= 2000 and sum(sizes.values()) == samples.count()
+    assert {c for r, c in sizes if r == "small"} == {0} and len(sizes) < 200
+    split, whole = ({(r["resource"], r["metric"], r["ts_ms"]): (r["prev_ts"], r["prev_row_ts"]) for r in adjacent_samples(samples, n).collect()} for n in (2000, 10**9))
+    assert split == whole
+
+
+def test_groups_of_any_size_are_cut(spark):
+    """From just above the limit to many times it, in one table."""
+    series = {f"m{n}": {t: 1.0 for t in range(n)} for n in (99, 100, 101, 250, 1000, 5000)}
+    sizes = {}
+    for r in previous_samples(samples_of(spark, series, unit=1), hot_rows=100).groupBy("metric", "_chunk").count().collect():
+        sizes.setdefault(r["metric"], []).append(r["count"])
+    assert max(max(s) for s in sizes.values()) <= 100 and {m: sum(s) for m, s in sizes.items()} == {m: len(p) for m, p in series.items()}
+    assert len(sizes["m99"]) == len(sizes["m100"]) == 1 < len(sizes["m101"]) and len(sizes["m5000"]) <= 400
+
+
 def test_split_pipeline_gives_the_same(spark):
     rng = random.Random(3)
     series = random_series(rng, 6, 600)

@@ -1,8 +1,12 @@
-"""Session settings the engine is written for."""
+"""Session settings the engine is written for, and where it keeps intermediate tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import re
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     # Timestamps are epoch milliseconds; the zone matters for parsing only.
@@ -10,8 +14,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Resource trees may be larger than the default of a million rows.
-    "spark.sql.cteRecursionRowLimit": "-1",
+    # Files of bucketed tables are sorted; reading them in that order spares a sort.
+    "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
 }
 
 
@@ -19,3 +23,18 @@ def configured(builder: SparkSession.Builder) -> SparkSession.Builder:
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
     return builder
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder of ``spark.checkpoint.dir``; a folder of the machine only where there is no other machine."""
+    shared = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    if shared is None and not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+    return f"{shared or tempfile.mkdtemp(prefix='tideline-')}/{name}-{uuid.uuid4().hex}"
+
+
+def staged(rows: DataFrame, name: str) -> DataFrame:
+    """The rows, written once and read from there: computed once, and not again when an executor is lost."""
+    path = scratch_path(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
