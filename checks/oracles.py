@@ -343,6 +343,12 @@ def custom_agg_ordered_query() -> str:
     return listing(measured(EVENTS, "ev", labels, q.SINCE, t.EVENTS_END, t.EVENT_STEP, t.EVENT_RESOLUTION))
 
 
+def custom_agg_merged_query() -> str:
+    deviation = "stddev_pop(value) FILTER (NOT isnan(value))"
+    labels = [(n, n, t.EVENT_HEARTBEAT, deviation, 0.5) for n in ("click", "view")]
+    return listing(measured(EVENTS, "ev", labels, q.SINCE, t.EVENTS_END, t.EVENT_STEP, t.EVENT_RESOLUTION))
+
+
 def process_counters_query() -> str:
     ctes = f"{EVENTS}, {rates('ev', kinds(t.EVENT_KINDS))}"
     names = ["click", "error", "purchase"]
@@ -543,6 +549,7 @@ SELECT resource, b AS ts_ms, CASE WHEN isnan(value) THEN 0 ELSE {rounded('value'
 FROM ro WHERE label = 'view'""",
     "custom_agg": custom_agg_query(),
     "custom_agg_ordered": custom_agg_ordered_query(),
+    "custom_agg_merged": custom_agg_merged_query(),
     "custom_scalar": unpivot(
         wide(event_measured("click", "view"), ["click", "view"]),
         {

@@ -21,6 +21,7 @@ from tideline.functions.values import (
     collection_aggregation,
     known_or_null,
     known_or_zero,
+    mergeable_aggregation,
     vectorized,
 )
 from tideline.model import CorrelationRequest, Metric, ResultDescriptor
@@ -32,7 +33,7 @@ from tideline.operators.rollup import roll_up
 from tideline.plans import pruned, rollups
 from tideline.plans.correlation import answer, correlate, correlate_catalog, run_job, score
 from tideline.plans.measurements import average_series, process, select_measurements
-from tideline.session import scratch_path
+from tideline.session import scratch_path, staged
 from tideline.sources import catalog as cat
 from tideline.sources import indexing, results
 from tideline.sources.requests import candidates_from_json, without_target
@@ -185,9 +186,7 @@ def catalog_incremental(spark, sf):
     """A catalog of older line items, merged with those that are new or replace some."""
     samples = t.line_samples(spark, sf).withColumn("attributes", F.expr("map('quantity', string(int(value)), 'flag', metric)"))
     later = F.pmod("seq", F.lit(20)) >= 12
-    path = scratch_path(spark, "samples")
-    write_samples(samples.where(~later), path)
-    before = read_samples(spark, path)
+    before = staged(latest_samples(samples.where(~later)), "samples")
     index = indexing.index_counted(before)
     kept = scratch_path(spark, "index")
     index.write(kept)
@@ -409,13 +408,34 @@ def measurement_values(spark, sf):
 def custom_agg(spark, sf):
     spread = Aggregation("SPREAD", lambda v: F.max(v) - F.min(v))
     middle = collection_aggregation("MEDIAN", statistics.median, skips_unknown=True)
-    seen = collection_aggregation("COUNT", len)
+    seen = mergeable_aggregation("COUNT", lambda: [0.0], lambda s, v: [s[0] + len(v)], lambda a, b: [a[0] + b[0]], lambda s: s[0])
     d = ResultDescriptor(t.EVENT_STEP)
     for label, fn in (("spread", spread), ("middle", middle), ("seen", seen)):
         d = d.datasource(label, "click", fn, t.EVENT_HEARTBEAT)
     return _measured(spark, sf, d.export("spread", "middle", "seen"))
 
 
+def custom_agg_merged(spark, sf):
+    """Standard deviations from counts, means and squared deviations that merge."""
+
+    def merge(a, b):
+        n = a[0] + b[0]
+        return [n, a[1] + (b[1] - a[1]) * b[0] / n, a[2] + b[2] + (b[1] - a[1]) ** 2 * a[0] * b[0] / n]
+
+    deviation = mergeable_aggregation(
+        "STDDEV",
+        lambda: [0.0, 0.0, 0.0],
+        lambda s, v: merge(s, [len(v), v.mean(), ((v - v.mean()) ** 2).sum()]),
+        merge,
+        lambda s: (s[2] / s[0]) ** 0.5,
+        skips_unknown=True,
+    )
+    d = ResultDescriptor(t.EVENT_STEP)
+    for label in ("click", "view"):
+        d = d.datasource(label, label, deviation, t.EVENT_HEARTBEAT)
+    return _measured(spark, sf, d.export("click", "view"))
+
+
 def custom_agg_ordered(spark, sf):
     last = collection_aggregation("LAST", lambda values: values[-1], skips_unknown=True)
     d = ResultDescriptor(t.EVENT_STEP).datasource("last", "click", last, t.EVENT_HEARTBEAT)
@@ -659,6 +679,7 @@ QUERIES = {
         measurement_values,
         custom_agg,
         custom_agg_ordered,
+        custom_agg_merged,
         custom_scalar,
         process_counters,
         process_unpadded,

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.grid import TimeGrid, spine, step_ceiling
-from tideline.functions.values import Aggregation, known_or_nan, unknown
+from tideline.functions.values import Aggregation, known_or_nan, merged_states, partial_states, unknown
 from tideline.model import ResultDescriptor
 from tideline.operators import attributes as attrs
 from tideline.operators.consolidate import BUCKET, HEARTBEAT, INTERVAL, REQUESTED, SOURCE_KEY
@@ -39,11 +39,26 @@ def aggregate_buckets(
     intervals: DataFrame, functions: Sequence[Aggregation], with_attributes: bool = False
 ) -> DataFrame:
     """One row per source and bucket with a column ``_fn<i>`` for each function
-    and the number of interval rows.  Keeps the partitioning of its input."""
+    and the number of interval rows.  Keeps the partitioning of its input, unless a
+    function merges states: then one row per bucket and task is exchanged."""
+    merged = {i: fn for i, fn in enumerate(functions) if fn.merged is not None}
+    plain = {i: fn for i, fn in enumerate(functions) if fn.merged is None}
+    buckets = _aggregated(intervals, plain, with_attributes)
+    if not merged:
+        return buckets
+    key = [*SOURCE_KEY, BUCKET]
+    finished = merged_states(partial_states(intervals, key, merged), key, merged)
+    rest = [c for c in [*buckets.columns, *(f"_fn{i}" for i in merged)] if c not in key]
+    one = {"attributes": lambda c: F.any_value(c, ignoreNulls=True)}
+    both = buckets.unionByName(finished, allowMissingColumns=True)
+    return both.groupBy(*key).agg(*(one.get(c, F.max)(c).alias(c) for c in rest))
+
+
+def _aggregated(intervals: DataFrame, functions: Mapping[int, Aggregation], with_attributes: bool) -> DataFrame:
     key = [*SOURCE_KEY, BUCKET]
     asked = [F.max(REQUESTED).alias(REQUESTED)] if REQUESTED in intervals.columns else []
     if not with_attributes:
-        named = [fn(F.col("value")).alias(f"_fn{i}") for i, fn in enumerate(functions)]
+        named = [fn(F.col("value")).alias(f"_fn{i}") for i, fn in functions.items()]
         return intervals.groupBy(*key).agg(F.count(F.lit(1)).alias(COUNT), *named, *asked)
 
     value = attrs.measure_only(F.col("value"))
@@ -52,12 +67,12 @@ def aggregate_buckets(
         .groupBy(*key, attrs.ENTRY_KEY)
         .agg(
             F.count(value).alias(COUNT),
-            *(fn(value).alias(f"_fn{i}") for i, fn in enumerate(functions)),
+            *(fn(value).alias(f"_fn{i}") for i, fn in functions.items()),
             F.max_by(attrs.ENTRY_VALUE, INTERVAL).alias(attrs.ENTRY_VALUE),
             *asked,
         )
     )
-    measures = [COUNT, *(f"_fn{i}" for i in range(len(functions)))]
+    measures = [COUNT, *(f"_fn{i}" for i in functions)]
     return reduced.groupBy(*key).agg(
         *(F.max(attrs.measure_only(F.col(name))).alias(name) for name in measures),
         attrs.folded_map().alias("attributes"),
