@@ -269,3 +269,36 @@ def test_tree(spark):
     shown = {(r["id"], r["attribute"], r["coefficient"]) for r in display_ids(found, flat).collect()}
     # The first row of a resource counts, whatever its metric.
     assert shown == {("b", "in", 0.5), ("a[1]", "x", 0.4), (None, "y", 0.1)}
+
+
+def rows_scanned(frame):
+    """Rows that the scan of a frame that was run gave."""
+    nodes, found = [frame._jdf.queryExecution().executedPlan()], []
+    while nodes:
+        node = nodes.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            nodes.append(node.executedPlan())
+        if node.nodeName().startswith("Scan parquet"):
+            found.append(node.metrics().apply("numOutputRows").value())
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    return sum(found)
+
+
+def test_row_groups_without_a_resource_are_skipped(spark, tmp_path):
+    """Too many resources for a dictionary, and none of them out of the range of the others: only the filter knows."""
+    many = spark.range(0, 400_000, 1, 1).selectExpr(
+        "concat('resource-with-a-longish-name-', lpad(string(id * 2), 8, '0')) AS resource", "id AS ts_ms", "'m' AS metric", "'GAUGE' AS metric_type", "1.0D AS value",
+        "CAST(NULL AS map<string,string>) AS attributes", "id AS seq",
+    )
+    path = str(tmp_path / "many")
+    write_samples(many, path)
+    stored = read_samples(spark, path)
+    absent = select_samples(stored, ["resource-with-a-longish-name-00200001"], 0, days(1))
+    assert absent.collect() == [] and rows_scanned(absent) == 0
+    present = select_samples(stored, ["resource-with-a-longish-name-00200002"], 0, days(1))
+    assert [r["ts_ms"] for r in present.collect()] == [100_001] and rows_scanned(present) > 0
+    # Without the filter the row group is read.
+    plain = str(tmp_path / "plain")
+    stored.drop("shard").write.parquet(plain)
+    found = spark.read.parquet(plain).where("resource = 'resource-with-a-longish-name-00200001'")
+    assert found.collect() == [] and rows_scanned(found) > 0

@@ -25,6 +25,10 @@ SAMPLE_KEY = ["resource", "ts_ms", "metric"]
 # Width of a storage shard.
 SHARD_MS = seconds(600_000)
 
+# Where a row group has too many resources for a dictionary, a Bloom filter tells which it does not have;
+# the writer picks its size by what it has seen.
+BLOOM_FILTER = {"parquet.bloom.filter.enabled#resource": "true", "parquet.bloom.filter.adaptive.enabled": "true"}
+
 # Longest list of resources handed to the scan as an IN predicate.
 PUSHED_RESOURCES = 1_000
 
@@ -132,4 +136,5 @@ def upsert_samples(spark: SparkSession, path: str, incoming: DataFrame, order: s
 
 def _writer(rows: DataFrame, order: str):
     stored = rows.withColumnRenamed(order, "seq").select(*SAMPLE_COLUMNS, "seq", "shard")
-    return stored.hint("rebalance", "shard").sortWithinPartitions("shard", *SAMPLE_KEY).write.partitionBy("shard")
+    writer = stored.hint("rebalance", "shard").sortWithinPartitions("shard", *SAMPLE_KEY).write.partitionBy("shard")
+    return writer.options(**BLOOM_FILTER)
