@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.session import staged
+
 # The white space of the contracts, U+0020 and U+0009 to U+000D.
 WHITE_CHARS = " \t\n\x0b\x0c\r"
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -23,24 +23,13 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a folder of its own only where none is named."""
-    named = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if named is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tideline-checkpoint-"))
-        named = spark.sparkContext.getCheckpointDir()
-    return named
-
-
 def written(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: the rows, stored once in the shared folder and read from there.
+    """Cuts the lineage: the rows, stored once in the folder that the cluster names in spark.checkpoint.dir, and read from there.
 
     Whoever reads them later neither computes them again nor depends on the
     executor that did. The folder is the cluster's to clean.
     """
-    path = f"{checkpoint_dir(df.sparkSession)}/tideline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return staged(df, "tideline")
 
 
 def sliced(batches, rows: int = 512):

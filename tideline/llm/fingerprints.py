@@ -10,6 +10,7 @@ cut alike, whatever stands before them, except near their ends.
 from __future__ import annotations
 
 import hashlib
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,7 @@ KEPT = 48
 CHARS_AT_ONCE = 400_000
 IDS_PER_BUCKET = 500
 MAX_BUCKETS = 100_000
+CUTS_TOGETHER = 256
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _DE_BRUIJN = np.uint64(0x03F79D71B4CB0A89)
@@ -127,17 +129,23 @@ def in_order(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     Order is descending id (null ids last, repeated ids by text); after the last row comes the first. Buckets are
     ranges of ids and meet in one task each, one after the other, so each text is exchanged
-    once. A bucket is streamed; its size doesn't matter to memory. Only one id per
-    bucket goes through the driver, MAX_BUCKETS at most.
+    once. They begin at ids drawn by their hash, so they hold about as many different ids
+    each, wherever these lie. A bucket is streamed; its size doesn't matter to memory. Only one id per
+    bucket goes through the driver, about MAX_BUCKETS at most.
     """
     smallest = -(1 << 63)
     keyed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(id_col).cast("long"), F.lit(smallest)).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    spread = docs.select(F.col(id_col).cast("long").alias("doc_id")).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"), F.count(F.lit(1)).alias("n")).first()
-    low, high = spread["low"] or 0, spread["high"] or 0
-    buckets = max(1, min(MAX_BUCKETS, spread["n"] // IDS_PER_BUCKET))
-    width = (high - low) // buckets + 1
-    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.floor((F.col("key") - F.lit(low)) / F.lit(width)).cast("long"))
-    keyed = keyed.withColumn("bucket", bucket)
+    ids = docs.select(F.col(id_col).cast("long").alias("id"))
+    every = max(IDS_PER_BUCKET, ids.count() // MAX_BUCKETS)
+    drawn = ids.where(F.col("id").isNotNull() & (F.pmod(F.xxhash64("id"), F.lit(every)) == 0)).distinct()
+    cuts = sorted(r["id"] for r in drawn.collect())
+    blocks = [cuts[i : i + CUTS_TOGETHER] for i in range(0, len(cuts), CUTS_TOGETHER)]
+    # One text each, read once when the query is planned: first the block is found by its first cut, then the place in it.
+    firsts, places = F.from_json(F.lit(json.dumps([b[0] for b in blocks])), "array<bigint>"), F.from_json(F.lit(json.dumps(blocks)), "array<array<bigint>>")
+    block = F.size(F.filter(firsts, lambda c: c <= F.col("key"))) - 1
+    within = F.size(F.filter(F.get(places, F.col("block")), lambda c: c <= F.col("key")))
+    bucket = F.when(F.col("doc_id").isNull(), F.lit(-1)).when(F.col("block") < 0, F.lit(0)).otherwise(F.col("block") * CUTS_TOGETHER + within)
+    keyed = keyed.withColumn("block", block).withColumn("bucket", bucket.cast("long"))
     tops = sorted(((r["bucket"], r["key"]) for r in keyed.groupBy("bucket").agg(F.max("key").alias("key")).collect()), reverse=True)
     guests = [(tops[(i + 1) % len(tops)][1], b) for i, (b, _) in enumerate(tops)]
     visits = F.broadcast(docs.sparkSession.createDataFrame(guests, "guest_key long, visited long"))

@@ -7,10 +7,12 @@ verifies the whole notice under the bound and reports where it stands.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -56,6 +58,11 @@ class Notice:
         return cls(raw, label, edits, [(a, raw[a:b]) for a, b in zip(cuts, cuts[1:])])
 
 
+def spaces_of(text: bytes) -> np.ndarray:
+    """Where the spaces are; how many stand before a place is then found by bisection."""
+    return np.flatnonzero(np.frombuffer(text, np.uint8) == 0x20)
+
+
 class Scanner:
     def __init__(self, phrases: dict[str, str], notices: dict[str, str], chars_per_edit: int):
         self.phrases = [(f" {text} ".encode(), label) for text, label in phrases.items()]
@@ -76,9 +83,10 @@ class Scanner:
         for phrase, label in self.phrases:
             at = text.find(phrase)
             while at >= 0:
-                found.append((label, text.count(b" ", 0, at)))
+                found.append((label, at))
                 at = text.find(phrase, at + 1)
-        return found
+        spaces = spaces_of(text) if found else None
+        return [(label, int(np.searchsorted(spaces, at))) for label, at in found]
 
     def fuzzy(self, text: bytes) -> list[tuple[str, int, int, int, float]]:
         """Label, first and last word, edits and similarity of every verified notice."""
@@ -86,7 +94,9 @@ class Scanner:
         for end, (size, places) in self.seeds.iter(text.decode("latin-1")):
             for notice, offset in places:
                 windows.add((notice, end + 1 - size - offset - self.notices[notice].edits))
-        found = {}
+        if not windows:
+            return []
+        found, spaces = {}, spaces_of(text)
         for notice, start in sorted(windows):
             n = self.notices[notice]
             # A window of its own for each hit: the best match of a wider one would hide others left of it.
@@ -94,7 +104,7 @@ class Scanner:
                 inner = matched.strip(b" ")
                 if not inner:
                     continue
-                first = text.count(b" ", 0, at + matched.find(inner)) - 1
+                first = int(np.searchsorted(spaces, at + matched.find(inner))) - 1
                 last = first + inner.count(b" ")
                 held = found.get((n.label, first))
                 if held is None or edits < held[3]:
@@ -102,10 +112,14 @@ class Scanner:
         # Wordings that differ in a word or two match in each other's places, and a window that ends inside
         # a notice has a part of it; there the closest one stands.
         closest: list[tuple[str, int, int, int, float]] = []
+        starts: list[int] = []
         for one in sorted(found.values(), key=lambda f: (-f[4], f[1], f[0])):
-            if all(one[2] < other[1] or one[1] > other[2] for other in closest):
-                closest.append(one)
-        return sorted(closest, key=lambda f: (f[1], f[0]))
+            # Those that stand are disjoint and in order, so only the neighbours can overlap.
+            at = bisect_left(starts, one[1])
+            if (at == 0 or closest[at - 1][2] < one[1]) and (at == len(starts) or starts[at] > one[2]):
+                starts.insert(at, one[1])
+                closest.insert(at, one)
+        return closest
 
     def _verified(self, notice: int, text: bytes, start: int, stop: int) -> Iterator[tuple[int, bytes, int]]:
         """Place, bytes and edits of the best match in a window, and of those left and right of it."""
