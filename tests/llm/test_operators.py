@@ -93,7 +93,7 @@ def test_hot_group_of_copies(spark):
 def test_documents_without_copies_keep_their_columns(odd_documents, no_documents):
     kept = dedup.without_copies(odd_documents)
     assert kept.columns == odd_documents.columns
-    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "1", "10", "2", "5", "6", "7", "8", "9", "None", "None"]
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "10", "2", "5", "6", "7", "8", "9", "None"]
     assert dedup.without_copies(no_documents).count() == 0
 
 

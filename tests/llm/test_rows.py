@@ -2,7 +2,7 @@
 
 from collections import Counter
 
-from tideline.llm import jaccard, mixing
+from tideline.llm import dedup, jaccard, mixing
 
 
 def words(name, n=40):
@@ -39,3 +39,12 @@ def test_copies_of_null_and_repeated_ids(spark):
         wanted[r.doc_id, r.size] += r.copies
     found = Counter((r.doc_id, len(r.text.split())) for r in mixed)
     assert found == +wanted
+
+
+def test_exact_copies_of_null_and_repeated_ids(spark):
+    rows = [(1, "a b"), (1, "a b"), (None, "x"), (3, "x"), (None, "y"), (None, " y "), (4, "z"), (-5, "z"), (6, "z z"), (7, ""), (None, None), (8, "w"), (8, "v")]
+    rows += [(100 + i, "hot") for i in range(300)]
+    frame = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, row_key long").repartition(5)
+    kept = Counter((r.doc_id, r.text) for r in dedup.without_copies(frame).collect())
+    # Null and empty are one text, of no length, so the named row stays.
+    assert kept == Counter([(1, "a b"), (3, "x"), (None, " y "), (-5, "z"), (6, "z z"), (7, ""), (8, "w"), (8, "v"), (100, "hot")])

@@ -14,7 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -231,17 +231,21 @@ def learn(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     length = F.length("text")
     starts = [F.floor(length * i / EXCERPTS_PER_TEXT).cast("int") + 1 for i in range(EXCERPTS_PER_TEXT)]
     excerpts = F.array(*[F.substring(F.col("text"), start, F.lit(EXCERPT_BYTES)) for start in starts])
-    small = labelled.select("lang", "draw", excerpts.alias("excerpts"))
+    if not sizes:
+        return None
+    # Of large languages a few times as many rows as are wanted are drawn by the hash first, so that no task orders or sends many;
+    # all languages in one pass.
+    shares = [(language, int(min(1.0, 4 * TEXTS_PER_LANGUAGE / size) * (1 << 30))) for language, size in sizes.items()]
+    drawn = labelled.join(F.broadcast(docs.sparkSession.createDataFrame(shares, "lang string, share long")), "lang")
+    small = drawn.where(F.pmod("draw", F.lit(1 << 30)) < F.col("share")).select("lang", "draw", excerpts.alias("excerpts"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "excerpts"))
+    rows = small.withColumn("place", place).where(F.col("place") <= TEXTS_PER_LANGUAGE).select("lang", "place", "excerpts").collect()
     texts, labels = [], []
-    for language in sorted(sizes):
-        # Of large languages a few times as many rows as are wanted are drawn by the hash first, so that no task sends many.
-        share = min(1.0, 4 * TEXTS_PER_LANGUAGE / sizes[language])
-        drawn = small.where((F.col("lang") == language) & (F.pmod("draw", F.lit(1 << 30)) < F.lit(int(share * (1 << 30)))))
-        for row in drawn.orderBy("draw", "excerpts").limit(TEXTS_PER_LANGUAGE).collect():
-            for excerpt in row["excerpts"]:
-                if excerpt:
-                    texts.append(excerpt.encode("utf-8", "replace"))
-                    labels.append(language)
+    for r in sorted(rows, key=lambda r: (r["lang"], r["place"])):
+        for excerpt in r["excerpts"]:
+            if excerpt:
+                texts.append(excerpt.encode("utf-8", "replace"))
+                labels.append(r["lang"])
     return train(texts, labels) if texts else None
 
 
