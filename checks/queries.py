@@ -259,8 +259,9 @@ def sql_spine(spark, sf):
     sqlfunctions.register(spark)
     t.table(spark, sf, "supplier").createOrReplaceTempView("checked_supplier")
     return spark.sql(f"""
-        SELECT concat('s', s_suppkey) AS resource, i.ts_ms
-        FROM checked_supplier, LATERAL intervals({t.EVENTS_START + 1}, {t.EVENTS_END - 1}, {hours(5)}) AS i""")
+        SELECT concat('s', s_suppkey) AS resource, ts_ms
+        FROM (SELECT s_suppkey, interval_list({t.EVENTS_START + 1}, {t.EVENTS_END - 1}, {hours(5)}) AS listed FROM checked_supplier)
+        LATERAL VIEW explode(listed) AS ts_ms""")
 
 
 # --- rates -------------------------------------------------------------------

@@ -60,6 +60,8 @@ def test_intervals_are_the_grid(spark, bounds):
         want = sorted(r["ts_ms"] for r in spine(spark.createDataFrame([("r",)], "resource string"), grid).collect())
     assert sorted(r["ts_ms"] for r in spark.sql(f"SELECT * FROM intervals({bounds[0]}, {bounds[1]}, {bounds[2]})").collect()) == want
     assert len(want) == grid.size
+    listed = spark.sql(f"SELECT interval_list({bounds[0]}, {bounds[1]}, {bounds[2]}) AS ts").first()["ts"]
+    assert sorted(listed) == want
 
 
 def test_sql_functions_leave_plans_whole(spark):

@@ -12,6 +12,7 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.functions.values import unknown
 from tideline.model import DEFAULT_TOP_N, SERIES, CorrelationRequest, JobConfig, Metric
 from tideline.operators.correlate import coefficients, pair_with_target, top_candidates
 from tideline.operators.rollup import bucket_grid
@@ -44,7 +45,7 @@ def correlate(
     if not isinstance(candidates, DataFrame):
         candidates = candidates_from_list(samples.sparkSession, candidates)
     listed = without_target(candidates, request.target)
-    scored = score(samples, request, listed, nan_policy, drop_nan, lookback_ms, pad_first_bucket, hot_rows)
+    scored = _others_scored(samples, request, listed, nan_policy, drop_nan, lookback_ms, pad_first_bucket, hot_rows)
     return top_candidates(listed, scored, request.top_n)
 
 
@@ -58,7 +59,17 @@ def score(
     pad_first_bucket: bool = True,
     hot_rows: int | None = None,
 ) -> DataFrame:
-    """The coefficient of every distinct candidate but the target, unranked.
+    """The coefficient of every distinct candidate, unranked; NaN for the target itself."""
+    scored = _others_scored(samples, request, candidates, nan_policy, drop_nan, lookback_ms, pad_first_bucket, hot_rows)
+    if drop_nan:
+        return scored
+    own = (F.col("resource") == request.target.resource) & (F.col("metric") == request.target.metric)
+    itself = candidates.where(own).select(*SERIES).distinct()
+    return scored.unionByName(itself.withColumn("coefficient", unknown()))
+
+
+def _others_scored(samples, request, candidates, nan_policy, drop_nan, lookback_ms, pad_first_bucket, hot_rows) -> DataFrame:
+    """The coefficient of every distinct candidate but the target.
 
     Candidates and target are reduced together, in one pass over the samples; the target's buckets
     are told apart by a mark that the reduced rows carry.
