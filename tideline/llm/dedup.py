@@ -99,5 +99,6 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     marked = keyed.select(normalised(text_col).alias("norm"), order.alias("order"), F.pmod(F.xxhash64(row), F.lit(salts)).alias("salt"))
     marked = marked.select("*", F.sha2("norm", 256).alias("digest"))
     salted = marked.groupBy("digest", "norm", "salt").agg(F.max("order").alias("order"))
-    kept = salted.groupBy("digest", "norm").agg(F.max("order").alias("order")).select((-F.col("order.row")).alias(kept_row))
+    # Written, so that what the groups were exchanged through can go before the rows are joined.
+    kept = written(salted.groupBy("digest", "norm").agg(F.max("order").alias("order")).select((-F.col("order.row")).alias(kept_row)))
     return keyed.join(kept, F.col(row) == F.col(kept_row), "left_semi").drop(row)
