@@ -29,20 +29,27 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code del dfn em font i ins
 VOID = frozenset("area base br col embed hr img input link meta param source track".split())
 UNREAD = "script|style|noscript|template|textarea|iframe|svg|math|object|select|button|canvas|audio|video"
 # Elements and words of class or id that mark menus, headers, footers, sidebars, notices, adverts, forms and comments.
-CHROME_TAGS = frozenset("head nav footer aside form dialog menu".split())
+CHROME_TAGS = frozenset("head nav footer aside dialog menu".split())
 CHROME_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disclaimer "
-    "footer gdpr header masthead menu nav navbar navigation newsletter notice notices popup promo related respond share sharing sidebar "
-    "signup social sponsor sponsored subscribe toolbar widget".split()
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs consent cookie cookies footer gdpr masthead nav navbar "
+    "navigation newsletter popup promo sidebar signup sponsored subscribe toolbar widget".split()
 )
+# Words that mean furniture only where a name begins with them: share-buttons, not market-share.
+LEADING_WORDS = frozenset("banner disclaimer header menu notice notices related respond share sharing social sponsor".split())
+COMMENT_WORDS = frozenset("comment comments commentlist discussion disqus replies responses".split())
+# Words by which a name says what an element has or how it is set, not what it is.
+NO_NOUNS = frozenset("allowed closed disabled enabled has hidden is no off on open show with without".split())
 # Elements that say themselves that they are the content, asked only where no template tells it.
 CONTENT_TAGS = ("article", "main")
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Elements of single paragraphs and titles, too small for a slot.
 TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre blockquote figure figcaption option".split())
 
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({UNREAD})\b[^>]*>.*?(?:</\1\s*>|\Z)|<[/!?a-zA-Z][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
+# Inside of a tag: quoted values may hold ``>``.
+INSIDE = r"""(?:=\s*(?:"[^"]*"|'[^']*')|[^>])*+"""
+TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({UNREAD})\b{INSIDE}>.*?(?:</\1\s*>|\Z)|<[/!?a-zA-Z]{INSIDE}(?:>|\Z)|[^<]+|<", re.S | re.I)
 TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*)")
-NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
+NAMED = re.compile(r"""(?<![\w-])(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 WORD = re.compile(r"[a-z]+")
 
 # A class belongs to the template if it has so many tokens, and so many pages, among them this share of its host's.
@@ -64,14 +71,21 @@ class Block:
 
 
 def _element(name: str, tag: str) -> str:
-    """The name of an element in a path; chrome gets a ``!`` before it, what may be chrome by its words (or is a form) a ``?``."""
-    marks = {w for value in NAMED.findall(tag) for w in WORD.findall(value.lower())}
-    plain = "#".join([name, *sorted(marks)])
+    """The name of an element in a path. Before it: ``!`` chrome by its tag, ``^`` a header, ``%`` comments, ``?`` chrome by its words, or a form."""
+    given = [WORD.findall(single.lower()) for value in NAMED.findall(tag) for single in value.strip("\"'").split()]
+    plain = "#".join([name, *sorted({w for words in given for w in words})])
     if name in ("html", "body"):
         return plain
-    if name != "form" and (name in CHROME_TAGS or name == "header"):
+    if name in CHROME_TAGS:
         return "!" + plain
-    return ("?" if name == "form" or not CHROME_WORDS.isdisjoint(marks) else "") + plain
+    if name == "header":
+        return "^" + plain
+    nouns = [words for words in given if words and NO_NOUNS.isdisjoint(words)]
+    if any(not COMMENT_WORDS.isdisjoint(words) for words in nouns):
+        return "%" + plain
+    # Single paragraphs and titles are named for what they say.
+    furniture = name not in TEXT_TAGS and any(words[0] in LEADING_WORDS for words in nouns)
+    return ("?" if name == "form" or furniture or any(not CHROME_WORDS.isdisjoint(words) for words in nouns) else "") + plain
 
 
 def _key(path: str, text: str) -> int:
@@ -198,16 +212,19 @@ def host_templates(pages: DataFrame, slot_share: float = SLOT_SHARE) -> DataFram
     steps = F.split(F.expr("substring(path, 2)"), "/")
     prefixes = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(steps, 1, n), "/")))
     # Text on most pages is part of the template and so no slot; the rest weighs the elements it stands in,
-    # whatever words they are named by.
+    # whatever words they are named by. Rare texts, nearly all of a host's, are added up without its number of pages.
+    texts = tokens.where((F.col("kind") == "text") & (F.col("path") != "") & ~F.col("path").rlike("[!^]"))
+    rare = texts.where(F.col("pages") < CLASS_PAGES)
+    others = texts.where(F.col("pages") >= CLASS_PAGES).join(totals, "host").where(F.col("pages") < CLASS_SHARE * F.col("host_pages"))
     varying = (
-        tokens.where((F.col("kind") == "text") & (F.col("path") != "") & ~F.col("path").contains("!"))
-        .join(totals, "host")
-        .where(F.col("pages") < F.greatest(F.lit(CLASS_PAGES), CLASS_SHARE * F.col("host_pages")))
-        .groupBy("host", "host_pages", "path")
+        rare.select("host", "path", "chars")
+        .unionByName(others.select("host", "path", "chars"))
+        .groupBy("host", "path")
         .agg(F.sum("chars").alias("chars"))
-        .select("host", "host_pages", "chars", F.explode(prefixes).alias("path"))
-        .groupBy("host", "host_pages", "path")
+        .select("host", "chars", F.explode(prefixes).alias("path"))
+        .groupBy("host", "path")
         .agg(F.sum("chars").alias("chars"))
+        .join(totals, "host")
         .select("host", "host_pages", F.lit("slot").alias("kind"), "path", F.lit(0).cast("long").alias("token"), F.lit(0).cast("long").alias("class"), F.lit(0.0).alias("place"), "chars")
     )
 
@@ -230,7 +247,7 @@ def host_templates(pages: DataFrame, slot_share: float = SLOT_SHARE) -> DataFram
 
 
 def _tag(step: str) -> str:
-    return step.lstrip("!?").split("#")[0]
+    return step.lstrip("!?^%").split("#")[0]
 
 
 def _is_content(path: str) -> bool:
@@ -239,10 +256,23 @@ def _is_content(path: str) -> bool:
 
 
 def _is_chrome(path: str, slot: str) -> bool:
-    """Whether the path passes chrome inside the slot; words don't count on the way to an element that calls itself content."""
+    """Whether the path passes chrome inside the slot, or comments or a header there.
+
+    Other words don't count on the way to an element that calls itself content, nor do headers.
+    """
     steps = path[len(slot) :].split("/")[1:]
     last = max((i for i, step in enumerate(steps) if _tag(step) in CONTENT_TAGS), default=-1)
-    return any(step[0] == "!" for step in steps) or any(step[0] == "?" for step in steps[last + 1 :])
+    return any(step[0] in "!%^" for step in steps) or any(step[0] == "?" for step in steps[last + 1 :])
+
+
+def _is_title(path: str, slot: str) -> bool:
+    """Whether the path is that of a heading in an article's own header: one inside content or a slot narrower than the page, and no other chrome."""
+    steps = path[len(slot) :].split("/")[1:]
+    headers = [i for i, step in enumerate(steps) if step[0] == "^"]
+    if not headers or _tag(steps[-1]) not in HEADINGS:
+        return False
+    narrow = slot.count("/") > 2 or any(_tag(step) in CONTENT_TAGS for step in steps[: headers[0]])
+    return narrow and not _is_chrome("/" + "/".join(step for step in steps if step[0] != "^"), "")
 
 
 def main_text(page: str, root: str, constant: frozenset[int]) -> str:
@@ -250,13 +280,16 @@ def main_text(page: str, root: str, constant: frozenset[int]) -> str:
 
     Without a template, or where a page lacks its host's slot, elements that call themselves
     content are taken alone, else the whole page. Where words of class, id or role leave
-    nothing, they are not asked. A page with nothing but the template's text keeps that (its
+    nothing, they are not asked. The title in an article's own header is read where the
+    article has no other heading. A page with nothing but the template's text keeps that (its
     host has one text only).
     """
     blocks, _ = parse(page)
     inside = [b for b in blocks if b.path == root or b.path.startswith(root + "/")] if root else []
     slot, all_ = (root, inside) if inside else ("", blocks)
-    readable = [b for b in all_ if not _is_chrome(b.path, slot)] or [b for b in all_ if "!" not in b.path[len(slot) :]]
+    headed = any(_tag(b.path.rsplit("/", 1)[-1]) in HEADINGS and not _is_chrome(b.path, slot) for b in all_)
+    readable = [b for b in all_ if not _is_chrome(b.path, slot) or (not headed and _is_title(b.path, slot))]
+    readable = readable or [b for b in all_ if not any(mark in b.path[len(slot) :] for mark in "!^%")]
     chosen = readable if inside else [b for b in readable if _is_content(b.path)] or readable
     own = [b for b in chosen if b.token not in constant]
     return "\n".join(b.text for b in (own or chosen))
