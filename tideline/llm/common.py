@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.session import staged
+from tideline.session import scratch_path, staged
 
 # The white space of the contracts, U+0020 and U+0009 to U+000D.
 WHITE_CHARS = " \t\n\x0b\x0c\r"
@@ -23,13 +23,18 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame) -> DataFrame:
+def written(df: DataFrame, *by: str) -> DataFrame:
     """Cuts the lineage: the rows, stored once in the folder that the cluster names in spark.checkpoint.dir, and read from there.
 
     Whoever reads them later neither computes them again nor depends on the
-    executor that did. The folder is the cluster's to clean.
+    executor that did; with ``by``, in folders by the values of these columns, so that
+    readers of one value read no other. The folder is the cluster's to clean.
     """
-    return staged(df, "tideline")
+    if not by:
+        return staged(df, "tideline")
+    path = scratch_path(df.sparkSession, "tideline")
+    df.write.partitionBy(*by).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def sliced(batches, rows: int = 512):
