@@ -10,8 +10,10 @@ from tideline.llm.common import WORD_PATTERN, fresh, written
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
 MAX_COPIES = 2
-# Documents of one source and size are ranked in this many strands, so no rank needs them all in one task.
-STRANDS = 1024
+# Documents are put in order in ranges of about this many, so no rank needs a whole source, size or turn in one task.
+RANGE_ROWS = 1_000_000
+# Documents of one size take turns by id modulo this, so that neighbours in id don't stand side by side.
+TURNS = 1024
 
 
 def _source_key(column):
@@ -63,15 +65,16 @@ def mix(
     total_share: float = TOTAL_SHARE,
     max_copies: int = MAX_COPIES,
     row_col: str | None = None,
+    range_rows: int = RANGE_ROWS,
 ) -> DataFrame:
     """Per document: doc_id, source, size, source_size, target, copies (0 to ``max_copies``), taken; and row, if ``row_col`` has a key of rows.
 
     Within a source every document expects target/size copies. Documents are laid
-    end to end by size, strand and id; the prefix sum of expected copies plus the
+    end to end by size, turn and id; the prefix sum of expected copies plus the
     source's one offset passes an integer boundary once per copy taken. Ordering by
-    size makes the words taken follow the target closely. The rank is the sum of
-    counts before the document's size, before its strand and within its strand:
-    small grouped tables and windows over one strand, never over a source.
+    size makes the words taken follow the target closely. Their numbers (no texts) are
+    exchanged by ranges of that order, which cut any source, size or turn; a rank is the
+    sum of counts before the document's size, before its range and within its range.
 
     Defined for odd input: a null text has size 0; a null source is the last one;
     a source without words has target 0 and takes nothing; rows repeated under one
@@ -83,23 +86,27 @@ def mix(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD_PATTERN)), F.lit(0)).cast("long").alias("size"),
-        F.coalesce(F.pmod(F.col(id_col).cast("long"), F.lit(STRANDS)), F.lit(-1)).alias("strand"),
-        *([] if row_col is None else [F.col(row_col).alias("row")]),
+        F.coalesce(F.pmod(F.col(id_col).cast("long"), F.lit(TURNS)), F.lit(-1)).alias("turn"),
+        F.xxhash64(F.col(text_col)).alias("text_hash"),
+        (F.monotonically_increasing_id() if row_col is None else F.col(row_col)).alias("row"),
     )
     row = [] if row_col is None else ["row"]
     sized = written(sized)
-    counts = sized.groupBy("source", "size", "strand").agg(F.count(F.lit(1)).alias("n_docs"))
+    order = ["turn", "doc_id", "text_hash", "row"]
+    ranges = max(1, -(-sized.count() // range_rows))
+    sized = written(sized.repartitionByRange(ranges, "source", "size", *order).withColumn("range", F.spark_partition_id()))
+    counts = sized.groupBy("source", "size", "range").agg(F.count(F.lit(1)).alias("n_docs"))
     by_size = counts.groupBy("source", "size").agg(F.sum("n_docs").alias("n_docs"))
     before_size = Window.partitionBy("source").orderBy("size").rowsBetween(Window.unboundedPreceding, -1)
-    before_strand = Window.partitionBy("source", "size").orderBy("strand").rowsBetween(Window.unboundedPreceding, -1)
+    before_range = Window.partitionBy("source", "size").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     targets = source_targets(by_size.select("source", (F.col("size") * F.col("n_docs")).alias("size")), weights, total_share, max_copies)
     sizes = (
         by_size.select("source", "size", F.coalesce(F.sum("n_docs").over(before_size), F.lit(0)).alias("size_base"))
         .join(targets.withColumnRenamed("source", "t_source"), F.col("source").eqNullSafe(F.col("t_source")))
         .drop("t_source")
     )
-    strands = (
-        counts.select("source", "size", "strand", F.coalesce(F.sum("n_docs").over(before_strand), F.lit(0)).alias("strand_base"))
+    starts = (
+        counts.select("source", "size", "range", F.coalesce(F.sum("n_docs").over(before_range), F.lit(0)).alias("range_base"))
         .join(
             sizes.withColumnsRenamed({"source": "z_source", "size": "z_size"}),
             F.col("source").eqNullSafe(F.col("z_source")) & (F.col("size") == F.col("z_size")),
@@ -107,18 +114,18 @@ def mix(
         .select(
             F.col("source").alias("g_source"),
             F.col("size").alias("g_size"),
-            F.col("strand").alias("g_strand"),
-            (F.col("size_base") + F.col("strand_base")).alias("base"),
+            F.col("range").alias("g_range"),
+            (F.col("size_base") + F.col("range_base")).alias("base"),
             "source_size",
             "target",
             "copies_each",
             "offset",
         )
     )
-    within = Window.partitionBy("source", "size", "strand").orderBy("doc_id", *row)
+    within = Window.partitionBy("source", "size", "range").orderBy(*order)
     ranked = sized.join(
-        strands,
-        F.col("source").eqNullSafe(F.col("g_source")) & (F.col("size") == F.col("g_size")) & (F.col("strand") == F.col("g_strand")),
+        starts,
+        F.col("source").eqNullSafe(F.col("g_source")) & (F.col("size") == F.col("g_size")) & (F.col("range") == F.col("g_range")),
     ).withColumn("rank", F.col("base") + F.row_number().over(within))
     # Whole copies apart, so that rounding can't pass one boundary too many.
     whole = F.floor("copies_each")
