@@ -188,10 +188,24 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc
 
 
 def token_digests(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256."""
-    return encode_documents(docs, vocabulary, id_col, text_col).select(
-        "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("text").cast("binary"), 256).alias("decoded_sha256"),
-    )
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of what ``encode_documents`` gives.
+
+    Digests are taken where texts are encoded, one text after the other, so a task
+    never holds the ids or decoded texts of more than one document.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = encoder_for(sent.value)
+        for batch in sliced(batches):
+            sizes, of_ids, of_texts = [], [], []
+            for text in utf8_column(batch.column(1)):
+                ids = encoder.encode(text.decode("utf-8", "replace"))
+                sizes.append(len(ids) // 4)
+                of_ids.append(hashlib.sha256(ids).hexdigest())
+                of_texts.append(hashlib.sha256(encoder.decode(ids).encode()).hexdigest())
+            columns = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.mapInArrow(released(digest), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
