@@ -6,6 +6,7 @@ import ctypes
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,6 +38,21 @@ def written(df: DataFrame, *by: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def row_keyed(docs: DataFrame, row: str) -> DataFrame:
+    """The rows with a key ``row`` of their own, the same in every read; keys can be compared and ordered.
+
+    Rows of stored files, read as they stand, have their place there: file and number in it.
+    Others are written with a number first.
+    """
+    if docs._jdf.queryExecution().analyzed().nodeName() == "LogicalRelation":
+        try:
+            place = docs.metadataColumn("_metadata")
+            return docs.select("*", F.struct(place["file_path"], place["row_index"]).alias(row))
+        except AnalysisException:
+            pass  # The files' format has no numbers of rows.
+    return written(docs.withColumn(row, F.monotonically_increasing_id()))
+
+
 def sliced(batches, rows: int = 512):
     """Batches of fewer rows, so that only so many texts are held as Python objects at a time."""
     for batch in batches:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tideline.llm.common import WHITE_CHARS, fresh, written
+from tideline.llm.common import WHITE_CHARS, fresh, row_keyed, written
 
 SALTS = 16
 # A group above 1/HOT_SHARE of all rows is hot; there are at most HOT_SHARE of them.
@@ -87,18 +87,18 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS) -> DataFrame:
     """One row of each group of equal texts, with all its columns: most code points, then the smallest id, null ids last.
 
-    Rows are told apart by a key written with them, so null and repeated ids decide nothing but that order; of rows
+    Rows are told apart by their place in stored files or a key written with them, so null and repeated ids decide nothing but that order; of rows
     that agree in it too any one stays. Copies are combined as in ``exact_groups``, by the normalised text itself at every stage.
     """
     row, kept_row = fresh("row_key", docs.columns), fresh("kept_row", docs.columns)
-    keyed = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    keyed = row_keyed(docs, row)
     doc_id = F.col(id_col).cast("long")
     order = F.struct(
-        F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"), doc_id.isNotNull().alias("named"), (-doc_id.cast("decimal(20,0)")).alias("id"), (-F.col(row)).alias("row")
+        F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"), doc_id.isNotNull().alias("named"), (-doc_id.cast("decimal(20,0)")).alias("id"), F.col(row).alias("row")
     )
     marked = keyed.select(normalised(text_col).alias("norm"), order.alias("order"), F.pmod(F.xxhash64(row), F.lit(salts)).alias("salt"))
     marked = marked.select("*", F.sha2("norm", 256).alias("digest"))
     salted = marked.groupBy("digest", "norm", "salt").agg(F.max("order").alias("order"))
     # Written, so that what the groups were exchanged through can go before the rows are joined.
-    kept = written(salted.groupBy("digest", "norm").agg(F.max("order").alias("order")).select((-F.col("order.row")).alias(kept_row)))
+    kept = written(salted.groupBy("digest", "norm").agg(F.max("order").alias("order")).select(F.col("order.row").alias(kept_row)))
     return keyed.join(kept, F.col(row) == F.col(kept_row), "left_semi").drop(row)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import WORD_PATTERN, fresh, written
+from tideline.llm.common import WORD_PATTERN, fresh, row_keyed, written
 
 WEIGHTS = (3, 1, 2)
 TOTAL_SHARE = 1.5
@@ -139,10 +139,10 @@ def mix(
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **columns) -> DataFrame:
     """The documents as the mix takes them: each row once per copy of its own, with all its columns.
 
-    Rows are told apart by a key written with them, also where ids are null or repeated.
+    Rows are told apart by their place in stored files or a key written with them, also where ids are null or repeated.
     """
     row, mixed_row, copies, copy = (fresh(name, docs.columns) for name in ("row_key", "mixed_row", "mixed_copies", "mixed_copy"))
-    keyed = written(docs.withColumn(row, F.monotonically_increasing_id()))
+    keyed = row_keyed(docs, row)
     taken = mix(keyed, id_col, row_col=row, **columns).select(F.col("row").alias(mixed_row), F.col("copies").alias(copies)).where(F.col(copies) > 0)
     repeated = keyed.join(taken, F.col(row) == F.col(mixed_row))
     return repeated.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias(copy)).drop(copy)
