@@ -141,29 +141,30 @@ def _add_counts(counts: np.ndarray, sets: list[np.ndarray], n_docs: int) -> np.n
     return merged[merged[:, 1] >= n_docs * HOT_SHARE / 4]
 
 
-def _prefixes(docs: DataFrame, words: int, threshold: Fraction, hot: np.ndarray) -> DataFrame:
+def _prefixes(docs: DataFrame, words: int, threshold: Fraction, hot: np.ndarray, counts: np.ndarray) -> DataFrame:
     """shingle, set, least, hot: the first shingles of every set, once per task and set.
 
-    ``hot`` are shingles that come last, in their order. Any pair above the threshold
-    has at least ``least`` of these rows in common.
+    ``hot`` are shingles that come last, in their order; their rows tell their ``counts``, others null. Any
+    pair above the threshold has at least ``least`` of these rows in common.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(hot)
+    sent = docs.sparkSession.sparkContext.broadcast((hot, counts.astype(np.int64)))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, seen = Shingler(words), set()
-        by_value = np.argsort(sent.value)
-        values = sent.value[by_value]
+        by_value = np.argsort(sent.value[0])
+        values, frequent = sent.value[0][by_value], np.append(sent.value[1], 0)
         for batch in batches:
             keys, sets, least, ranks = [], [], [], []
 
             def block() -> pa.RecordBatch:
                 sizes = [len(k) for k in keys]
+                places = np.concatenate(ranks) if ranks else np.zeros(0, np.int32)
                 return pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate(keys).view(np.int64) if keys else [], pa.int64()),
                         pa.array(np.repeat(np.array(sets, np.int64), sizes), pa.int64()),
                         pa.array(np.repeat(np.array(least, np.int32), sizes), pa.int32()),
-                        pa.array(np.concatenate(ranks) if ranks else [], pa.int32()),
+                        pa.array(frequent[places], pa.int64(), mask=places < 0),
                     ],
                     names=["shingle", "set", "least", "hot"],
                 )
@@ -192,33 +193,36 @@ def _prefixes(docs: DataFrame, words: int, threshold: Fraction, hot: np.ndarray)
             if keys:
                 yield block()
 
-    return docs.mapInArrow(released(cut), "shingle long, set long, least int, hot int")
+    return docs.mapInArrow(released(cut), "shingle long, set long, least int, hot long")
 
 
-def _candidate_edges(prefixes: DataFrame, hot_counts: list[int]) -> DataFrame:
+def _candidate_edges(prefixes: DataFrame) -> DataFrame:
     """Edges (a, b) between sets that connect all pairs above the threshold.
 
     A set keeps only shingles that others have too; with fewer than it must share
     it has no partner. Of the rest, the ``least - 1`` most frequent can go as well: a
-    pair shares ``least``, and the rarest of those stays with both.
+    pair shares ``least``, and the rarest of those stays with both. Hot shingles
+    bring their counts and are spread by their sets, so one pass over the texts and one
+    exchange count the others. The smallest set of a shingle comes from partial
+    aggregates that are joined back.
     """
-    counts = F.array(*[F.lit(c) for c in hot_counts]) if hot_counts else F.array(F.lit(0).cast("long"))
-    by_shingle = Window.partitionBy("shingle")
-    cold = prefixes.where("hot < 0").withColumn("df", F.count(F.lit(1)).over(by_shingle)).where(F.col("df") > 1).select("shingle", "set", "least", "hot", "df")
-    hot = prefixes.where("hot >= 0").select("shingle", "set", "least", "hot", F.element_at(counts, F.col("hot") + 1).cast("long").alias("df"))
+    salt = F.when(F.col("hot").isNull(), F.lit(0).cast("long")).otherwise(F.col("set"))
+    counted = (
+        prefixes.withColumn("salt", salt)
+        .withColumn("met", F.count(F.lit(1)).over(Window.partitionBy("shingle", "salt")))
+        .select("shingle", "set", "least", F.coalesce("hot", "met").alias("df"))
+        .where("df > 1")
+    )
     by_set = Window.partitionBy("set")
     ranked = (
-        cold.unionByName(hot)
+        counted
         .withColumn("place", F.dense_rank().over(by_set.orderBy("df", "shingle")))
         .withColumn("shared", F.max("place").over(by_set))
         .where((F.col("shared") >= F.col("least")) & (F.col("place") <= F.col("shared") - F.col("least") + 1))
     )
-    kept = written(ranked.select("shingle", "set", "hot"))
-    cold_edges = kept.where("hot < 0").select(F.min("set").over(by_shingle).alias("a"), F.col("set").alias("b"))
-    # One row per hot shingle, of which there are at most HOT_SHINGLES.
-    firsts = kept.where("hot >= 0").groupBy("shingle").agg(F.min("set").alias("a"))
-    hot_edges = kept.where("hot >= 0").join(F.broadcast(firsts), "shingle").select("a", F.col("set").alias("b"))
-    return cold_edges.unionByName(hot_edges).where("a <> b").distinct()
+    kept = written(ranked.select("shingle", "set"))
+    firsts = kept.groupBy("shingle").agg(F.min("set").alias("a"), F.max("set").alias("z")).where("a <> z").select("shingle", "a")
+    return kept.join(firsts, "shingle").select("a", F.col("set").alias("b")).where("a <> b").distinct()
 
 
 def _linked(common: np.ndarray, n: np.ndarray, size: int, threshold: Fraction) -> np.ndarray:
@@ -427,8 +431,8 @@ def shingle_components(
         described.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.col("n").desc(), "id").limit(HOT_SHINGLES).collect()
     )
     hot = sorted(((r["n"], r["id"]) for r in hot))
-    prefixes = _prefixes(rows, words, threshold, np.array([i for _, i in hot], np.int64).view(np.uint64))
-    regions = written(components(_candidate_edges(prefixes, [n for n, _ in hot])).withColumnsRenamed({"node": "set", "component": "region"}))
+    prefixes = _prefixes(rows, words, threshold, np.array([i for _, i in hot], np.int64).view(np.uint64), np.array([n for n, _ in hot], np.int64))
+    regions = written(components(_candidate_edges(prefixes)).withColumnsRenamed({"node": "set", "component": "region"}))
 
     sets = documents.where("set IS NOT NULL").groupBy("set").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("copies"), F.first("n_shingles").alias("n"))
     sets = written(sets)
