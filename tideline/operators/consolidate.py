@@ -19,7 +19,7 @@ from tideline.functions.grid import INTERVAL, SPINE_BLOCK, TimeGrid, ceiling_sql
 from tideline.functions.values import known_or_nan
 from tideline.model import SERIES, ResultDescriptor
 from tideline.operators import attributes as attrs
-from tideline.operators.neighbours import CHUNK, PREV_TS, previous_samples
+from tideline.operators.neighbours import CHUNK, PREV_TS, previous_samples, spread, spread_keys
 from tideline.sources.requests import literal_rows
 
 HEARTBEAT = "heartbeat_ms"
@@ -125,7 +125,7 @@ def interval_values(
         merged = [F.sum(name).alias(name) for name in _SUMS]
         if with_attributes:
             merged.append(F.max_by(attrs.ENTRY_VALUE, "ts_ms").alias(attrs.ENTRY_VALUE))
-        sums = sums.drop(CHUNK).repartition(*SERIES, BUCKET).groupBy(*key, *entry).agg(*merged)
+        sums = spread(sums.drop(CHUNK), [*SERIES, BUCKET]).groupBy(*key, *entry).agg(*merged)
     if not with_attributes:
         return sums.select(*key, _interval_value())
     totals = sums.groupBy(*key).agg(
@@ -145,12 +145,8 @@ def fill(measured: DataFrame, blanks: DataFrame, key: Sequence[str], partition_b
     marks = [c for c in blanks.columns if c not in (*key, *measured.columns)]
     rest = [c for c in measured.columns if c not in key] + marks
     merge = {"attributes": lambda c: F.any_value(c, ignoreNulls=True)}
-    return (
-        measured.unionByName(blanks.select(*key, *marks, F.lit(True).alias(REQUESTED)), allowMissingColumns=True)
-        .repartition(*partition_by)
-        .groupBy(*key)
-        .agg(*(merge.get(c, F.max)(c).alias(c) for c in [*rest, REQUESTED]))
-    )
+    both = measured.unionByName(blanks.select(*key, *marks, F.lit(True).alias(REQUESTED)), allowMissingColumns=True)
+    return spread(both, partition_by).groupBy(*key).agg(*(merge.get(c, F.max)(c).alias(c) for c in [*rest, REQUESTED]))
 
 
 def consolidate(
@@ -165,7 +161,7 @@ def consolidate(
     """Every interval of every (resource, metric, heartbeat) in ``keys``."""
     measured = interval_values(samples, grid, max_heartbeat_ms, resolution_ms, with_attributes)
     bucket = F.expr(ceiling_sql(INTERVAL, resolution_ms or grid.step))
-    blanks = spine(keys.select(*SOURCE_KEY), grid, INTERVAL).withColumn(BUCKET, bucket)
+    blanks = spine(spread_keys(keys.select(*SOURCE_KEY)), grid, INTERVAL).withColumn(BUCKET, bucket)
     filled = fill(measured, blanks, [*SOURCE_KEY, BUCKET, INTERVAL], partition_by)
     return filled.withColumn("value", known_or_nan(F.col("value")))
 

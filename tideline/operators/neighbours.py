@@ -29,6 +29,12 @@ HOT_ROWS = 5_000_000
 # An input of no more bytes is that of a task or two: whatever its series, no task gets more.
 PLAIN_BYTES = 256 * 2**20
 
+# Stored input that one task should stand for where it makes more rows than it reads.
+TASK_BYTES = 4 * 2**20
+
+# From here on the planner says that it doesn't know a size.
+UNKNOWN_BYTES = 2**60
+
 # Cuts per chunk at the least, and cuts side by side in the list of a key.
 CUTS_PER_CHUNK = 4
 CUT_BLOCK = 64
@@ -44,6 +50,36 @@ def planned_bytes(rows: DataFrame) -> int:
     return int(str(rows._jdf.queryExecution().analyzed().stats().sizeInBytes()))
 
 
+def input_bytes(rows: DataFrame) -> int:
+    """The size of what the rows are read from, each table once; starts no job."""
+    leaves = rows._jdf.queryExecution().analyzed().collectLeaves()
+    found = (leaves.apply(i) for i in range(leaves.size()))
+    return sum({leaf.canonicalized().hashCode(): int(str(leaf.stats().sizeInBytes())) for leaf in found}.values())
+
+
+def is_large(rows: DataFrame) -> bool:
+    """Whether what the rows are read from is more than a task's, as far as the planner knows."""
+    return TASK_BYTES < input_bytes(rows) < UNKNOWN_BYTES
+
+
+def spread(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The rows, exchanged by ``keys``, into parts small enough for tasks that make many rows of each.
+
+    Adaptive execution joins parts by the bytes that are exchanged, which say little of the
+    intervals and gaps that a task makes of them; it keeps a number that is given. That is the
+    session's, or more where the input asks for them.
+    """
+    if not is_large(rows):
+        return rows.repartition(*keys)
+    session = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(max(session, -(-input_bytes(rows) // TASK_BYTES)), *keys)
+
+
+def spread_keys(keys: DataFrame) -> DataFrame:
+    """Keys of a spine: a few bytes each, so that one task would get them all, and make all rows of theirs."""
+    return spread(keys, SERIES) if is_large(keys) else keys
+
+
 def equi_depth_cuts(samples: DataFrame, keys: Sequence[str], hot_rows: int) -> list[tuple]:
     """Per hot group its key and the times at which its chunks begin, in blocks of ``CUT_BLOCK``.
 
@@ -138,13 +174,13 @@ def look_back(samples: DataFrame, looks: Sequence[LookBack], partition_by: Seque
     serves all their windows, and the summaries of chunks where there are any.
     """
     if CHUNK not in samples.columns:
-        rows = samples if list(partition_by) == SERIES else samples.repartition(*partition_by)
+        rows = samples if list(partition_by) == SERIES else spread(samples, partition_by)
         for look in looks:
             rows = rows.withColumns(look.within([]))
         return rows
 
     # Without this a preceding exchange by the keys alone would do for the windows.
-    pieces = samples.repartition(*partition_by, CHUNK)
+    pieces = spread(samples, [*partition_by, CHUNK])
     rows = pieces
     for look in looks:
         rows = rows.withColumns(look.within([CHUNK], "_lag_"))
@@ -157,9 +193,18 @@ def look_back(samples: DataFrame, looks: Sequence[LookBack], partition_by: Seque
     return rows
 
 
+def _stored_by_key(rows: DataFrame) -> bool:
+    """Whether the rows come from buckets, so that an exchange may be spared."""
+    return rows._jdf.queryExecution().sparkPlan().outputPartitioning().toString().startswith("hashpartitioning")
+
+
 def previous_samples(samples: DataFrame, hot_rows: int | None = None) -> DataFrame:
     """The samples with ``prev_ts`` and ``prev_value``, by series, or by series and ``_chunk`` where one is hot."""
-    return look_back(chunked(samples, SERIES, hot_rows), [PREVIOUS_SAMPLE])
+    pieces = chunked(samples, SERIES, hot_rows)
+    # Samples stored by series stay where they are; what a task or two can read needs no number.
+    if CHUNK not in pieces.columns and is_large(pieces) and not _stored_by_key(pieces):
+        pieces = spread(pieces, SERIES)
+    return look_back(pieces, [PREVIOUS_SAMPLE])
 
 
 def adjacent_samples(samples: DataFrame, hot_rows: int | None = None) -> DataFrame:

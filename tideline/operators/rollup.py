@@ -12,6 +12,7 @@ from tideline.functions.values import Aggregation, known_or_nan, merged_states,
 from tideline.model import ResultDescriptor
 from tideline.operators import attributes as attrs
 from tideline.operators.consolidate import BUCKET, HEARTBEAT, INTERVAL, REQUESTED, SOURCE_KEY
+from tideline.operators.neighbours import spread
 from tideline.sources.requests import literal_rows
 
 COUNT = "_count"
@@ -135,7 +136,7 @@ def _filled_by_resource(measured: DataFrame, labels: Column, grid: TimeGrid) ->
         ts.alias("ts_ms"), label.alias("label"), F.lit(None).cast("double").alias("value"), *(F.lit(None).cast(measured.schema[c].dataType).alias(c) for c in extra)
     )
     blanks = F.flatten(F.transform(labels, lambda label: F.transform(points, lambda ts: blank(ts, label))))
-    gathered = measured.groupBy("resource").agg(F.collect_list(F.when(F.col("ts_ms").isNotNull() & F.col("label").isNotNull(), row)).alias("_rows"))
+    gathered = spread(measured, ["resource"]).groupBy("resource").agg(F.collect_list(F.when(F.col("ts_ms").isNotNull() & F.col("label").isNotNull(), row)).alias("_rows"))
     both = gathered.select("resource", F.explode(F.concat("_rows", blanks.cast(f"array<{kind}>"))).alias("_row")).select("resource", "_row.*")
     found = [F.max("value").alias("value")] + [F.any_value(c, ignoreNulls=True).alias(c) for c in extra]
     filled = both.groupBy("resource", "ts_ms", "label").agg(*found)

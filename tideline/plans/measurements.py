@@ -22,6 +22,7 @@ from tideline.operators.consolidate import (
     source_keys,
     with_heartbeats,
 )
+from tideline.operators.neighbours import spread_keys
 from tideline.operators.rate import rated_samples
 from tideline.operators.rollup import (
     COUNT,
@@ -59,7 +60,7 @@ def requested_buckets(
     if all(fn.skips_unknown for fn in functions):
         intervals = interval_values(samples, grid, max_heartbeat_ms, buckets.step, with_attributes)
         reduced = aggregate_buckets(intervals, functions, with_attributes).drop(COUNT)
-        filled = fill(reduced, spine(keys, buckets, BUCKET), [*SOURCE_KEY, BUCKET], partition_by)
+        filled = fill(reduced, spine(spread_keys(keys), buckets, BUCKET), [*SOURCE_KEY, BUCKET], partition_by)
     else:
         intervals = consolidate(
             samples, keys, grid, max_heartbeat_ms, buckets.step, partition_by, with_attributes
