@@ -118,3 +118,25 @@ def test_setting_is_put_back(spark):
         assert "RocksDB" in spark.conf.get(name)
     assert spark.conf.get(name, None) == before
     assert hours(1) > DELAY
+
+
+@pytest.mark.parametrize("groups", [1, 3])
+def test_series_of_a_group_share_calls_and_state(spark, tmp_path, groups):
+    """Series that begin, pause and end apart, in fewer groups than series: each as in a batch of its own."""
+    source, sink, state = (str(tmp_path / n) for n in ("in", "out", "state"))
+    spans = {"a": (600, 4000), "b": (600, 1000), "c": (2500, 2600), "d": (900, 3900)}
+    samples = None
+    for place, (resource, (first, last)) in enumerate(spans.items()):
+        own = samples_of(spark, {"m0": {t: float(t % 7 + place) for t in range(first, last, 90)}, "m1": {first: 1.0, last: 2.0}}, resource)
+        samples = own if samples is None else samples.unionByName(own)
+    samples = samples.cache()
+    parts = [samples.where(F.col("ts_ms").between(1_500_000 * k, 1_500_000 * (k + 1) - 1)) for k in range(3)]
+    for part in [*parts, mark(spark)]:
+        part.select("resource", "ts_ms", "metric", "metric_type", "value", "attributes").coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(SAMPLE_SCHEMA).parquet(source)
+        run_available(stream_primary_data(stream, START, END, descriptor(), DELAY, groups), sink, state)
+        keys = spark.read.format("statestore").option("path", state).option("stateVarName", "group").load().count() if part is not parts[0] else 1
+        assert 0 < keys <= groups
+    got = spark.read.schema("resource string, ts_ms long, metric string, heartbeat_ms long, value double").parquet(sink)
+    want = rows_of(primary_data(samples, START, END, descriptor()))
+    assert rows_of(got) == want and got.count() == len(want) == 8 // 2 * 3 * 51

@@ -5,7 +5,7 @@ not passed, and the sums of intervals that later samples may still reach.  A sam
 when the watermark passes it: nothing earlier can come then, so it meets the
 predecessor that it has in a batch.  An interval is closed, and comes out once, when the watermark has
 passed every sample that reaches it.  The state of a series is bounded by the delay and the
-heartbeat, however long it lives.
+heartbeat, however long it lives.  Calls, timers and state are one for a group of series.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import chain
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -29,10 +30,15 @@ ROCKS_DB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 PRIMARY_SCHEMA = f"resource string, ts_ms bigint, metric string, {HEARTBEAT} bigint, value double"
 STATE_SCHEMA = (
-    "previous bigint, next bigint, waiting_ts array<bigint>, waiting array<double>, "
-    f"interval array<bigint>, {HEARTBEAT} array<bigint>, weighted array<double>, known array<bigint>, unknown array<bigint>"
+    "series array<struct<resource: string, metric: string, previous: bigint, next: bigint, waiting_ts: array<bigint>, waiting: array<double>, "
+    f"interval: array<bigint>, {HEARTBEAT}: array<bigint>, weighted: array<double>, known: array<bigint>, unknown: array<bigint>>>"
 )
 
+# Groups that series are dealt to by hash, each a key of the state: a call and its round trips to the
+# state cost milliseconds, whatever they are for. Fixed while a stream keeps its checkpoint.
+GROUP = "_group"
+GROUPS = 4096
+
 
 def _ceiling(ts: int, step: int) -> int:
     return ts + -ts % step
@@ -112,7 +118,7 @@ class Consolidation:
 
 
 class PrimaryProcessor(StatefulProcessor):
-    """``Consolidation`` per series; a timer per series wakes it where no sample does."""
+    """``Consolidation`` of the series of a group; a timer per group wakes those that no sample does."""
 
     def __init__(self, pairs: list[tuple[str, int]], reach: int, grid: TimeGrid):
         self.heartbeats: dict[str, list[int]] = {}
@@ -122,16 +128,18 @@ class PrimaryProcessor(StatefulProcessor):
 
     def init(self, handle) -> None:
         self.handle = handle
-        self.state = handle.getValueState("series", STATE_SCHEMA)
+        self.state = handle.getValueState("group", STATE_SCHEMA)
+
+    def _fresh(self, metric: str) -> Consolidation:
+        return Consolidation(self.heartbeats[metric], self.reach, self.grid)
 
-    def _restored(self, key) -> Consolidation:
-        fresh = Consolidation(self.heartbeats[key[1]], self.reach, self.grid)
-        state = self.state.get() if self.state.exists() else None
-        return fresh if state is None else fresh.unpack(tuple(state))
+    def _restored(self) -> dict[tuple[str, str], Consolidation]:
+        state = self.state.get()
+        return {} if state is None else {(r[0], r[1]): self._fresh(r[1]).unpack(tuple(r[2:])) for r in state[0]}
 
-    def _advanced(self, key, series: Consolidation, watermark: int) -> Iterator[pd.DataFrame]:
-        closed = series.advance(watermark)
-        due = series.due()
+    def _advanced(self, group: dict[tuple[str, str], Consolidation], watermark: int) -> Iterator[pd.DataFrame]:
+        closed = [(key, series.advance(watermark)) for key, series in group.items()]
+        due = min((at for at in (series.due() for series in group.values()) if at is not None), default=None)
         # The one that has just fired is still listed, and goes by itself.
         set_for = [at for at in self.handle.listTimers() if at > watermark]
         if due is None:
@@ -142,32 +150,36 @@ class PrimaryProcessor(StatefulProcessor):
                 self.handle.deleteTimer(at)
             # A timer fires when the watermark is beyond it.
             self.handle.registerTimer(max(due, watermark + 1))
-        self.state.update(series.packed())
-        if closed:
-            intervals, heartbeats, values = zip(*closed)
-            columns = {"resource": key[0], "ts_ms": intervals, "metric": key[1], HEARTBEAT: heartbeats, "value": values}
-            yield pd.DataFrame(columns)
+        self.state.update(([(*key, *series.packed()) for key, series in group.items()],))
+        if any(rows for _, rows in closed):
+            intervals, heartbeats, values = zip(*chain.from_iterable(rows for _, rows in closed))
+            resources, metrics = ([name for key, rows in closed for name in [key[i]] * len(rows)] for i in (0, 1))
+            yield pd.DataFrame({"resource": resources, "ts_ms": intervals, "metric": metrics, HEARTBEAT: heartbeats, "value": values})
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        series = self._restored(key)
+        group = self._restored()
         for batch in rows:
-            series.waiting.update(zip(batch["ts_ms"].tolist(), batch["value"].tolist()))
-        yield from self._advanced(key, series, timerValues.getCurrentWatermarkInMs())
+            for resource, metric, ts, value in zip(*(batch[c].tolist() for c in (*SERIES, "ts_ms", "value"))):
+                if (resource, metric) not in group:
+                    group[resource, metric] = self._fresh(metric)
+                group[resource, metric].waiting[ts] = value
+        yield from self._advanced(group, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        yield from self._advanced(key, self._restored(key), timerValues.getCurrentWatermarkInMs())
+        yield from self._advanced(self._restored(), timerValues.getCurrentWatermarkInMs())
 
     def close(self) -> None:
         pass
 
 
-def stream_primary_data(samples: DataFrame, start_ms: int, end_ms: int, descriptor: ResultDescriptor, delay_ms: int) -> DataFrame:
+def stream_primary_data(samples: DataFrame, start_ms: int, end_ms: int, descriptor: ResultDescriptor, delay_ms: int, groups: int = GROUPS) -> DataFrame:
     """Primary data of the series of a stream of samples, each interval appended once it is closed.
 
     The rows are those of ``primary_data`` over the samples that arrive in time, for every series that
     has one, as far as the watermark, ``delay_ms`` behind the latest sample, has passed an interval and
     the widest heartbeat.  A sample at or before the watermark when it arrives is late and left out, the
     same for all intervals.  Of repeated samples that wait, the one arriving last counts.
+    A task holds one of the ``groups`` at a time; like the number of shuffle partitions theirs stays the same while the checkpoint is kept.
     The session's state store has to be RocksDB (``with_rocks_db``).
     """
     grid = TimeGrid.covering(start_ms, end_ms, descriptor.step_ms)
@@ -178,9 +190,10 @@ def stream_primary_data(samples: DataFrame, start_ms: int, end_ms: int, descript
     # time keeps the optimizer from dropping them before.
     timed = named.withColumn("_time", F.timestamp_millis("ts_ms")).withWatermark("_time", f"{delay_ms} milliseconds")
     asked = F.when(within, F.col("metric").isin(descriptor.source_names)).otherwise(False)
-    own = timed.where(asked).select(*SERIES, "_time", "ts_ms", F.col("value").cast("double").alias("value"))
+    group = F.pmod(F.xxhash64(*SERIES), F.lit(groups)).cast("int").alias(GROUP)
+    own = timed.where(asked).select(group, *SERIES, "_time", "ts_ms", F.col("value").cast("double").alias("value"))
     processor = PrimaryProcessor(descriptor.source_heartbeats, reach, grid)
-    closed = own.groupBy(*SERIES).transformWithStateInPandas(processor, PRIMARY_SCHEMA, "Append", "EventTime")
+    closed = own.groupBy(GROUP).transformWithStateInPandas(processor, PRIMARY_SCHEMA, "Append", "EventTime")
     # Arrow takes NaN in pandas for a missing value.
     return closed.withColumn("value", known_or_nan(F.col("value")))
 
