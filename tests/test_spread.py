@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from checks import tables
 from tideline.functions.grid import hours
 from tideline.model import ResultDescriptor
 from tideline.operators import neighbours
@@ -62,3 +63,21 @@ def test_few_keys_are_made_a_spine_by_many_tasks(spark, stored, monkeypatch):
     monkeypatch.setattr(neighbours, "TASK_BYTES", neighbours.input_bytes(stored) // 9)
     keys = neighbours.spread_keys(stored.select("resource", "metric").distinct())
     assert keys.rdd.getNumPartitions() >= 9 and keys.count() == 80
+
+
+def test_daily_sums_are_made_where_rows_are_exchanged(spark, tmp_path, monkeypatch):
+    """No hash table over a scan's rows; how many tasks sum follows the input."""
+    columns = "l_orderkey long, l_linenumber int, l_suppkey long, l_quantity double, l_returnflag string, day int"
+    rows = [(i, i % 7, None if i % 50 == 0 else i % 9, None if i % 31 == 0 else float(i % 11), "AN"[i % 2], i % 5) for i in range(900)]
+    given = spark.createDataFrame(rows, columns).withColumn("l_shipdate", F.timestamp_seconds(F.col("day") * 86_400))
+    given.write.parquet(f"{tmp_path}/lineitem.parquet")
+    monkeypatch.setattr(neighbours, "TASK_BYTES", 1000)
+    sums = tables.daily_lines(spark, str(tmp_path))
+    plan = sums._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan[plan.index("Exchange") :] and plan.count("Exchange") == 1
+    assert sums.rdd.getNumPartitions() >= neighbours.input_bytes(given.sparkSession.read.parquet(f"{tmp_path}/lineitem.parquet")) // 1000
+    want = {}
+    for _, _, supplier, quantity, flag, day in rows:
+        key = (None if supplier is None else f"s{supplier}", flag, day * 86_400_000)
+        want[key] = want.get(key) if quantity is None else (want.get(key) or 0.0) + quantity
+    assert {(r["resource"], r["metric"], r["ts_ms"]): r["value"] for r in sums.collect()} == want and sums.count() == len(want)
