@@ -4,8 +4,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from checks import tables
-from tideline.functions.grid import hours
+from tideline.functions import grid as grids
+from tideline.functions.grid import TimeGrid, hours
 from tideline.model import ResultDescriptor
+from tideline.operators import consolidate as consolidation
 from tideline.operators import neighbours
 from tideline.operators.consolidate import primary_data
 from tideline.operators.rollup import roll_up
@@ -81,3 +83,22 @@ def test_daily_sums_are_made_where_rows_are_exchanged(spark, tmp_path, monkeypat
         key = (None if supplier is None else f"s{supplier}", flag, day * 86_400_000)
         want[key] = want.get(key) if quantity is None else (want.get(key) or 0.0) + quantity
     assert {(r["resource"], r["metric"], r["ts_ms"]): r["value"] for r in sums.collect()} == want and sums.count() == len(want)
+
+
+def test_gaps_are_made_after_the_exchange(spark, monkeypatch):
+    """Blocks of a few points, keys asked for twice, without samples, without a name; unasked ones are left out."""
+    monkeypatch.setattr(consolidation, "SPINE_BLOCK", 7)
+    monkeypatch.setattr(grids, "SPINE_BLOCK", 7)
+    given = {("r0", "a"): {1_000: 1.0, 8_000: 8.0, 9_000: 9.0, 31_000: 3.0, 40_000: 4.0}, (None, "a"): {20_000: 2.0}, ("r9", "a"): {5_000: 5.0}}
+    rows = [(r, m, 5, t, t, v) for (r, m), points in given.items() for t, v in points.items()]
+    measured = spark.createDataFrame(rows, "resource string, metric string, heartbeat_ms long, bucket_ms long, interval_ms long, value double")
+    asked = [("r0", "a", 5), ("r0", "a", 5), ("r1", "a", 5), (None, "a", 5)]
+    filled = consolidation.fill_gaps(measured, spark.createDataFrame(asked, "resource string, metric string, heartbeat_ms long"), TimeGrid(1_000, 40_000, 1_000))
+    got = sorted((str(r["resource"]), r["bucket_ms"], r["interval_ms"], r["value"] or 0.0) for r in filled.collect())
+    assert got == sorted((str(r), t, t, given.get((r, "a"), {}).get(t, 0.0)) for r in ("r0", "r1", None) for t in range(1_000, 40_001, 1_000))
+
+
+def test_gaps_of_primary_data_are_not_exchanged(stored):
+    plan = primary(stored)._jdf.queryExecution().executedPlan().toString()
+    # Read from the end: the exchange of measured rows and heads is below the rows of the grid.
+    assert plan.index("sequence(interval_ms") < plan.index("Exchange hashpartitioning")

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.grid import INTERVAL, SPINE_BLOCK, TimeGrid, ceiling_sql, floor_sql, spine
@@ -149,6 +149,33 @@ def fill(measured: DataFrame, blanks: DataFrame, key: Sequence[str], partition_b
     return spread(both, partition_by).groupBy(*key).agg(*(merge.get(c, F.max)(c).alias(c) for c in [*rest, REQUESTED]))
 
 
+def fill_gaps(measured: DataFrame, keys: DataFrame, grid: TimeGrid) -> DataFrame:
+    """Every grid point of every key in ``keys``, with what ``measured`` has for it; measured rows of other keys are left out.
+
+    Exchanged are the measured rows and one head per key and block of the grid, which stands before the block's first
+    point.  A row is followed by the gap up to the next one, so gaps are neither exchanged nor sorted.
+    """
+    first, step, width = grid.lo, grid.step, grid.step * SPINE_BLOCK
+    rest = [c for c in measured.columns if c not in (*SOURCE_KEY, BUCKET, INTERVAL)]
+    block = F.expr(f"{first}L + ({INTERVAL} - {first}L) div {width}L * {width}L").alias("_block")
+    points = measured.select(*SOURCE_KEY, INTERVAL, block, F.lit(False).alias("_head"), *rest)
+    blocks = spine(keys.select(*SOURCE_KEY), TimeGrid(first, grid.hi, width), "_block")
+    heads = blocks.select(*SOURCE_KEY, F.expr(f"_block - {step}L").alias(INTERVAL), "_block", F.lit(True).alias("_head"))
+    rows = spread(points.unionByName(heads, allowMissingColumns=True), [*SERIES, "_block"])
+
+    ordered = Window.partitionBy(*SOURCE_KEY, "_block").orderBy(INTERVAL)
+    end = F.least(F.lit(grid.hi).cast("bigint"), F.col("_block") + F.lit(width - step)) + F.lit(step)
+    followed = rows.withColumns(
+        {"_next": F.coalesce(F.lead(INTERVAL).over(ordered), end), REQUESTED: F.max("_head").over(ordered.rowsBetween(Window.unboundedPreceding, 0))}
+    )
+    # Of a key that was asked for more than once the last head is followed by points.
+    reaching = followed.where(f"{REQUESTED} AND _next > {INTERVAL}")
+    spanned = reaching.withColumn("_point", F.explode(F.expr(f"sequence({INTERVAL}, _next - {step}L, {step}L)")))
+    own = F.col("_point") == F.col(INTERVAL)
+    kept = spanned.where(~(F.col("_head") & own))
+    return kept.select(*SOURCE_KEY, *(F.when(own, F.col(c)).alias(c) for c in rest), REQUESTED, F.col("_point").alias(INTERVAL), F.col("_point").alias(BUCKET))
+
+
 def consolidate(
     samples: DataFrame,
     keys: DataFrame,
@@ -158,11 +185,14 @@ def consolidate(
     partition_by: Sequence[str] = (*SERIES, BUCKET),
     with_attributes: bool = False,
 ) -> DataFrame:
-    """Every interval of every (resource, metric, heartbeat) in ``keys``."""
+    """Every interval of every (resource, metric, heartbeat) in ``keys``; with a resolution by ``partition_by``, so that a rollup needs no exchange."""
     measured = interval_values(samples, grid, max_heartbeat_ms, resolution_ms, with_attributes)
-    bucket = F.expr(ceiling_sql(INTERVAL, resolution_ms or grid.step))
-    blanks = spine(spread_keys(keys.select(*SOURCE_KEY)), grid, INTERVAL).withColumn(BUCKET, bucket)
-    filled = fill(measured, blanks, [*SOURCE_KEY, BUCKET, INTERVAL], partition_by)
+    if resolution_ms is None:
+        filled = fill_gaps(measured, keys, grid)
+    else:
+        bucket = F.expr(ceiling_sql(INTERVAL, resolution_ms))
+        blanks = spine(spread_keys(keys.select(*SOURCE_KEY)), grid, INTERVAL).withColumn(BUCKET, bucket)
+        filled = fill(measured, blanks, [*SOURCE_KEY, BUCKET, INTERVAL], partition_by)
     return filled.withColumn("value", known_or_nan(F.col("value")))
 
 
