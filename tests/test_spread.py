@@ -102,3 +102,10 @@ def test_gaps_of_primary_data_are_not_exchanged(stored):
     plan = primary(stored)._jdf.queryExecution().executedPlan().toString()
     # Read from the end: the exchange of measured rows and heads is below the rows of the grid.
     assert plan.index("sequence(interval_ms") < plan.index("Exchange hashpartitioning")
+
+
+def test_a_list_sent_to_all_tasks_does_not_hide_the_size(spark, stored, monkeypatch):
+    monkeypatch.setattr(neighbours, "TASK_BYTES", neighbours.input_bytes(stored) // 9)
+    pieces = neighbours.chunked(stored, hot_rows=10)
+    assert neighbours.CHUNK in pieces.columns and neighbours.input_bytes(pieces) == neighbours.input_bytes(stored)
+    assert neighbours.previous_samples(stored, hot_rows=10).rdd.getNumPartitions() >= 9

@@ -51,10 +51,26 @@ def planned_bytes(rows: DataFrame) -> int:
 
 
 def input_bytes(rows: DataFrame) -> int:
-    """The size of what the rows are read from, each table once; starts no job."""
-    leaves = rows._jdf.queryExecution().analyzed().collectLeaves()
-    found = (leaves.apply(i) for i in range(leaves.size()))
-    return sum({leaf.canonicalized().hashCode(): int(str(leaf.stats().sizeInBytes())) for leaf in found}.values())
+    """The size of what the rows are read from, each table once; starts no job.
+
+    What is sent to all tasks, such as a list of hot groups, has a size the planner doesn't know; it doesn't count.
+    """
+    plan = rows._jdf.queryExecution().analyzed()
+    leaves = plan.collectLeaves()
+    total = _total_bytes(leaves.apply(i) for i in range(leaves.size()))
+    return total if total < UNKNOWN_BYTES else _total_bytes(_exchanged_leaves(plan))
+
+
+def _total_bytes(leaves) -> int:
+    return sum({leaf.canonicalized().hashCode(): int(str(leaf.stats().sizeInBytes())) for leaf in leaves}.values())
+
+
+def _exchanged_leaves(plan) -> list:
+    if plan.nodeName() == "ResolvedHint" and "broadcast" in plan.hints().toString():
+        return []
+    children = plan.children()
+    below = [leaf for i in range(children.size()) for leaf in _exchanged_leaves(children.apply(i))]
+    return below if children.size() else [plan]
 
 
 def is_large(rows: DataFrame) -> bool:
