@@ -41,6 +41,19 @@ def test_merged_is_built_anew(spark, seed, tmp_path):
         assert content(index) == content(index_counted(stored))
 
 
+def test_incoming_samples_are_reduced_once(spark, tmp_path):
+    """What is merged reads incoming samples where they were reduced, not where they came from."""
+    rng = random.Random(7)
+    stored = latest_samples(random_samples(spark, rng, 25, range(500))).cache()
+    given = str(tmp_path / "given")
+    random_samples(spark, rng, 20, range(300, 900)).write.parquet(given)
+    incoming = spark.read.parquet(given)
+    merged = merge_index(index_counted(stored), stored, incoming)
+    for part in (merged.terms, merged.resource_attributes, merged.resource_metrics):
+        assert not [f for f in part.inputFiles() if given in f]
+    assert content(merged.catalog) == content(index_samples(latest_samples(stored.unionByName(incoming))))
+
+
 def test_nothing_new(spark):
     stored = latest_samples(random_samples(spark, random.Random(9), 20, range(100)))
     index = index_counted(stored)

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.session import staged
 from tideline.sources.catalog import DEFAULT_CONTEXT, RESOURCE_ATTRIBUTES, RESOURCE_METRICS, TERMS, Catalog
 from tideline.sources.samples import SAMPLE_KEY, latest_samples
 
@@ -82,17 +83,22 @@ def merge_index(index: CountedCatalog, before: DataFrame, incoming: DataFrame, c
     samples that incoming ones replace, by their keys, and, where a replaced sample had set the value of an attribute,
     for the next latest one of that resource.  Of incoming samples of one key the last written counts, and one
     written earlier than the stored sample changes nothing, as in the upsert.
+
+    Incoming samples, the stored ones of their keys and what counts of them are written to the folder for
+    intermediate tables: each part of the index reads them, and none reduces or joins them again.
     """
     columns = [*SAMPLE_KEY, "metric_type", "value", "attributes", order]
     stored = before.withColumnRenamed("seq", order) if order != "seq" else before
     stored = stored.select(*columns)
-    newest = latest_samples(incoming.select(*columns), order)
+    newest = staged(latest_samples(incoming.select(*columns), order), "newest")
     # What latest_samples compares.
     rank = F.struct(order, "metric_type", "value")
     ranked = newest.withColumn("_rank", rank).select(*SAMPLE_KEY, "_rank")
-    replaced = stored.withColumn("_old", rank).join(ranked, SAMPLE_KEY).where("_rank > _old").select(*columns)
-    kept_back = stored.withColumn("_old", rank).join(ranked, SAMPLE_KEY).where("NOT _rank > _old").select(*SAMPLE_KEY)
-    counted = newest.join(kept_back, SAMPLE_KEY, "left_anti")
+    matched = stored.withColumn("_old", rank).join(ranked, SAMPLE_KEY)
+    matched = staged(matched.select(*columns, F.expr("_rank > _old").alias("_replaced")), "matched")
+    replaced = matched.where("_replaced").select(*columns)
+    kept_back = matched.where("NOT _replaced").select(*SAMPLE_KEY)
+    counted = staged(newest.join(kept_back, SAMPLE_KEY, "left_anti"), "counted")
 
     more_terms, more_metrics = _counts(counted, context, 1)
     less_terms, less_metrics = _counts(replaced, context, -1)
