@@ -37,6 +37,10 @@ HOT_SHINGLES = 100_000
 REGION_SHINGLES = 4_000_000
 PIVOTS = 16
 SALTS = 32
+# Shingles in at least this part of a region's sets have a bit in each set.
+FREQUENT_PART = 64
+# A cut by shingles that leaves more than this of what is in large regions is the last one.
+LEAST_CUT = 0.9
 WORD_CACHE = 300_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -230,7 +234,7 @@ def _linked(common: np.ndarray, n: np.ndarray, size: int, threshold: Fraction) -
 
 
 class Region:
-    """Sets of one region, held by one task: dense shingle numbers and a mark per shingle."""
+    """Sets of one region, held by one task, by what they share: a bit for each shingle that many have, lists of sets for the others."""
 
     def __init__(self, sets: np.ndarray, shingles: list[np.ndarray], settled: np.ndarray, threshold: Fraction):
         self.threshold = threshold
@@ -240,24 +244,38 @@ class Region:
         self.sets, self.settled = sets[keep], settled[keep]
         kept = [shingles[i] for i in keep]
         self.sizes = np.array([len(s) for s in kept], np.int64)
-        self.starts = np.append(0, np.cumsum(self.sizes))[:-1]
-        values, self.dense = np.unique(np.concatenate(kept), return_inverse=True)
-        self.mark = np.zeros(len(values), np.int32)
-
-    def distances(self, pivot: int, among: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Whether linked to the pivot, and the distance to it, of the sets ``among``."""
-        own = self.dense[self.starts[pivot] : self.starts[pivot] + self.sizes[pivot]]
-        self.mark[own] = 1
-        if len(among) == len(self.sets):
-            common = np.add.reduceat(self.mark[self.dense], self.starts)[among]
+        m, starts = len(kept), np.append(0, np.cumsum(self.sizes))
+        _, dense, met = np.unique(np.concatenate(kept), return_inverse=True, return_counts=True)
+        self.partners = np.add.reduceat(met[dense] > 1, starts[:-1]) >= [needed(int(n), threshold) for n in self.sizes]
+        owner = np.repeat(np.arange(m, dtype=np.int32), self.sizes)
+        frequent = met >= max(2, m / FREQUENT_PART)
+        at = np.flatnonzero(frequent[dense])
+        column = (np.cumsum(frequent) - 1)[dense[at]]
+        self.bits = np.zeros((m, int(frequent.sum()) // 64 + 1), np.uint64)
+        np.bitwise_or.at(self.bits.reshape(-1), owner[at].astype(np.int64) * self.bits.shape[1] + column // 64, np.uint64(1) << (column % 64).astype(np.uint64))
+        self.n_frequent = np.bincount(owner[at], minlength=m)
+        # The other shingles, those of one set left out: of each set, and the sets of each.
+        at = np.flatnonzero((~frequent & (met > 1))[dense])
+        self.rare = (np.cumsum(~frequent & (met > 1)) - 1)[dense[at]]
+        self.rare_starts = np.searchsorted(owner[at], np.arange(m + 1))
+        by_shingle = np.argsort(self.rare, kind="stable")
+        self.having = owner[at][by_shingle]
+        self.having_starts = np.append(0, np.cumsum(np.bincount(self.rare, minlength=0)))
+
+    def near(self, pivot: int, live: np.ndarray, all_live: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Live sets, all within twice the radius of the pivot among them, and how many shingles they share with it."""
+        own = self.rare[self.rare_starts[pivot] : self.rare_starts[pivot + 1]]
+        lists = [self.having[self.having_starts[k] : self.having_starts[k + 1]] for k in own.tolist()]
+        met = np.concatenate(lists) if lists else np.zeros(0, np.int32)
+        # Within twice the radius lies only who shares so many; with fewer frequent ones it shares another as well.
+        least = self.sizes[pivot] * max(0.0, float(2 * self.threshold - 1)) - 1e-6
+        if self.n_frequent[pivot] < least:
+            among, common = np.unique(met[live[met]], return_counts=True)
         else:
-            sizes = self.sizes[among]
-            ends = np.cumsum(sizes)
-            at = np.arange(ends[-1]) + np.repeat(self.starts[among] - (ends - sizes), sizes)
-            common = np.add.reduceat(self.mark[self.dense[at]], ends - sizes)
-        self.mark[own] = 0
-        n, size = self.sizes[among], int(self.sizes[pivot])
-        return _linked(common, n, size, self.threshold), 1 - common / (n + size - common)
+            among, common = all_live, np.bincount(met, minlength=len(live))[all_live]
+        if self.n_frequent[pivot]:
+            common = common + np.bitwise_count(self.bits[among] & self.bits[pivot]).sum(axis=1, dtype=np.int64)
+        return among, common
 
     def links(self) -> Iterator[tuple[int, int]]:
         """Pairs of sets that connect whatever is linked in the region.
@@ -265,28 +283,43 @@ class Region:
         A pivot's own are settled: linked to it, so connected. Others may be linked to one
         of them only within twice the radius of the pivot. If no one is there, the settled
         ones are done; else those stay that lie within the radius of the nearest other. They
-        stay open where that other is settled itself, but in another component.
+        stay open where that other is settled itself, but in another component. Sets that
+        share too little with the whole region are linked to none and left out.
         """
         radius = float(1 - self.threshold) + 1e-9
-        label = np.arange(len(self.sets))
-        open_, passive = np.flatnonzero(~self.settled), np.flatnonzero(self.settled)
-        while len(open_) and len(open_) + len(passive) > 1:
-            pivot, among = open_[0], np.concatenate([open_, passive])
-            linked, distance = self.distances(pivot, among)
-            for other in among[linked]:
-                if label[other] != label[pivot]:
+        label, groups = np.arange(len(self.sets)), {}
+        open_, live = self.partners & ~self.settled, self.partners.copy()
+        all_live, n_live = np.flatnonzero(live), int(live.sum())
+        for pivot in np.flatnonzero(open_).tolist():
+            if not open_[pivot]:
+                continue
+            if n_live < 2:
+                return
+            if n_live < 0.8 * len(all_live):
+                all_live = np.flatnonzero(live)
+            among, common = self.near(pivot, live, all_live)
+            among, common = among[live[among]], common[live[among]]
+            n, size = self.sizes[among], int(self.sizes[pivot])
+            linked, distance, is_open = _linked(common, n, size, self.threshold), 1 - common / (n + size - common), open_[among]
+            for other in among[linked].tolist():
+                a, b = int(label[pivot]), int(label[other])
+                if a != b:
                     yield int(self.sets[pivot]), int(self.sets[other])
-                    label[label == label[other]] = label[pivot]
-            n = len(open_)
-            own = linked[:n] & (open_ != pivot)
-            to_open = _nearest(distance[:n][~linked[:n]], radius)
-            foreign = ~linked[n:] & (label[passive] != label[pivot])
-            to_foreign = _nearest(distance[n:][foreign], radius)
-            reopened = own & (distance[:n] >= to_foreign - radius)
-            joined = open_[own & ~reopened & (distance[:n] >= to_open - radius)]
+                    a, b = (a, b) if len(groups.get(a, "1")) >= len(groups.get(b, "1")) else (b, a)
+                    label[groups.get(b, [b])] = a
+                    groups.setdefault(a, [a]).extend(groups.pop(b, [b]))
+            own = linked & is_open & (among != pivot)
+            to_open = _nearest(distance[is_open & ~linked], radius)
+            to_foreign = _nearest(distance[~is_open & ~linked & (label[among] != label[pivot])], radius)
+            reopened = own & (distance >= to_foreign - radius)
+            joined = own & ~reopened & (distance >= to_open - radius)
             # Settled ones linked to the pivot are covered by its window as well.
-            stays = ~linked[n:] | (distance[n:] >= min(to_open, to_foreign) - radius)
-            open_, passive = open_[~linked[:n] | reopened], np.concatenate([passive[stays], joined])
+            covered = ~is_open & linked & ~(distance >= min(to_open, to_foreign) - radius)
+            open_[among[own & ~reopened]] = False
+            gone = among[(own & ~reopened & ~joined) | covered]
+            open_[pivot] = live[pivot] = False
+            live[gone] = False
+            n_live -= len(gone) + 1
 
 
 def _nearest(distances: np.ndarray, radius: float) -> float:
@@ -333,6 +366,46 @@ def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["a", "b"])
 
 
+def _cut_by_shingles(members: DataFrame, threshold: Fraction) -> DataFrame:
+    """Of each region the smaller ones that hold all its pairs above the threshold; none is settled yet.
+
+    Prefixes of unlike documents meet by chance, the more the larger the table. Within a region
+    all shingles are counted: a set whose partner is there shares as many as it must have in
+    common with it. Of those each set may leave out any less than half of that many: what both
+    leave out is then not all that they have in common. Those go that are in far more or far fewer sets
+    than its others, like a line that is in many unlike texts.
+    """
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 500):
+                part = batch.slice(at, 500)
+                sizes = np.array(part.column(2).to_pylist(), np.int64)
+                least = np.array([needed(int(n), threshold) for n in sizes], np.int64)
+                shingles = np.frombuffer(b"".join(part.column(3).to_pylist()), np.int64)
+                repeated = [np.repeat(np.array(x, np.int64), sizes) for x in (part.column(0).to_pylist(), part.column(1).to_pylist(), least)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (*repeated, shingles)], names=["region", "set", "least", "shingle"])
+
+    rows = members.select("region", "set", "n", "shingles").mapInArrow(released(spread), "region long, set long, least long, shingle long")
+    # Partial aggregates are joined back, so that a shingle of very many sets needs no task of its own.
+    met = rows.groupBy("region", "shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    by_set = Window.partitionBy("region", "set")
+    kept = written(
+        rows.join(met, ["region", "shingle"])
+        .withColumn("place", F.dense_rank().over(by_set.orderBy("df", "shingle")))
+        .withColumn("shared", F.max("place").over(by_set))
+        .where("shared >= least")
+        .withColumn("usual", F.max(F.when(F.col("place") == F.ceil(F.col("shared") / 2), F.col("df"))).over(by_set))
+        .withColumn("unusual", F.dense_rank().over(by_set.orderBy(F.abs(F.log(F.col("df") / F.col("usual"))).desc(), "shingle")))
+        .where("unusual > (least - 1) DIV 2")
+        .select("region", "shingle", "set")
+    )
+    firsts = kept.groupBy("region", "shingle").agg(F.min("set").alias("a"), F.max("set").alias("z")).where("a <> z").select("region", "shingle", "a")
+    edges = kept.join(firsts, ["region", "shingle"]).select("a", F.col("set").alias("b")).where("a <> b").distinct()
+    smaller = components(edges).select(F.col("node").alias("set"), F.col("component").alias("smaller"))
+    return members.join(smaller, "set").select(F.col("smaller").alias("region"), "set", "n", "settled", "shingles")
+
+
 def _cut_by_pivots(members: DataFrame, threshold: Fraction, round_: int, limit: int) -> tuple[DataFrame, DataFrame]:
     """One round over regions too large for a task: links to their pivots, and smaller regions that hold all other pairs.
 
@@ -478,14 +551,28 @@ def shingle_components(
 
 
 def _all_links(members: DataFrame, sizes: DataFrame, threshold: Fraction, limit: int) -> DataFrame:
-    """Cuts regions above ``limit`` shingles round by round; the rest is joined region by region."""
+    """Cuts regions above ``limit`` shingles round by round, by their shingles as long as that helps, then by pivots; the rest is joined region by region."""
     sizes = written(sizes)
     if sizes.where(F.col("size") > limit).isEmpty():
         return _join_regions(members, threshold)
     members = written(members)
-    large = sizes.where((F.col("size") > limit) & (F.col("sets") > 1)).select("region")
-    links = _join_regions(members.join(large, "region", "left_anti"), threshold)
-    work, round_ = members.join(large, "region", "left_semi"), 0
+    large = sizes.where((F.col("size") > limit) & (F.col("sets") > 1))
+    links = _join_regions(members.join(large.select("region"), "region", "left_anti"), threshold)
+    work, round_ = members.join(large.select("region"), "region", "left_semi"), 0
+    before = large.agg(F.sum("size")).first()[0]
+    if not before:
+        return links
+    while True:
+        cut = written(_cut_by_shingles(work, threshold))
+        sizes = written(cut.groupBy("region").agg(F.sum("n").alias("size"), F.count(F.lit(1)).alias("sets")))
+        large = sizes.where((F.col("size") > limit) & (F.col("sets") > 2))
+        links = links.unionByName(_join_regions(cut.join(large.select("region"), "region", "left_anti"), threshold))
+        work, after = cut.join(large.select("region"), "region", "left_semi"), large.agg(F.sum("size")).first()[0]
+        if not after:
+            return links
+        if after > LEAST_CUT * before:
+            break
+        before = after
     while True:
         found, cut = _cut_by_pivots(work, threshold, round_, limit)
         cut = written(cut)
