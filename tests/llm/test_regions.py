@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from tests.llm.test_operators import brute_components
+from test_operators import brute_components
 from tideline.llm import jaccard
 
 
