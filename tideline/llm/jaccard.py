@@ -6,7 +6,8 @@ such shingles hold all pairs. In a region, pivots take the documents near them:
 whoever is within the threshold of a pivot is linked to it, and by the triangle
 inequality can be linked to no one beyond twice the threshold distance. Only
 documents in that window are compared again, and the region without the pivots'
-documents is joined the same way.
+documents is joined the same way. Regions too large for a task are first cut by
+what their documents share, counted within the region.
 
 Pivots alone can't cut the whole table: unrelated documents share no shingle, lie
 at distance 1 of every pivot and would all fall in every window.
@@ -33,7 +34,7 @@ THRESHOLD = Fraction(4, 5)
 # last in the order. That is only about speed: any order finds all pairs.
 HOT_SHARE = 1 / 256
 HOT_SHINGLES = 100_000
-# A region of more shingles than this is cut by pivots across tasks before it is joined in one.
+# A region of more shingles than this is cut across tasks, by shared shingles and then by pivots, before it is joined in one.
 REGION_SHINGLES = 4_000_000
 PIVOTS = 16
 SALTS = 32
